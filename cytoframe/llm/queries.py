@@ -42,5 +42,17 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir)).drop("clean_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op7_line_rules)}
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_components
+
+    return similarity_components(_documents(spark, sf_dir))
+
+
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompress import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op7_line_rules, op9_partenum_join, op10_recompression)}
 SQL: dict[str, str] = {}
