@@ -36,6 +36,20 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_documents(spark, sf_dir), n_shards=40)
 
 
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import section_token_counts
+
+    return section_token_counts(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -54,5 +68,5 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op7_line_rules, op9_partenum_join, op10_recompression)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op4_section_tokens, op5_large_item_packing, op7_line_rules, op9_partenum_join, op10_recompression)}
 SQL: dict[str, str] = {}
