@@ -50,12 +50,24 @@ def op5_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")))
 
 
+def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans
+
+    return secret_spans(_documents(spark, sf_dir))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
     return judge(_documents(spark, sf_dir)).drop("clean_text")
 
 
+def op8_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similarity_components
 
@@ -68,5 +80,5 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op4_section_tokens, op5_large_item_packing, op7_line_rules, op9_partenum_join, op10_recompression)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_streams, op2_piece_encoding, op3_feistel_shards, op4_section_tokens, op5_large_item_packing, op6_secret_randomness, op7_line_rules, op8_language_bigru, op9_partenum_join, op10_recompression)}
 SQL: dict[str, str] = {}
