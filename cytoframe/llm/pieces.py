@@ -26,7 +26,7 @@ from .words import batch_of
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Entries of a worker's segment cache and of its pair cache; a full one is emptied, which costs time only.
-CACHE = 400_000
+CACHE = 600_000
 
 
 class UnsupportedModel(ValueError):
@@ -50,13 +50,16 @@ class PieceEncoder:
         self.byte_id = {int(self.pieces[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.mark_sizes = sorted((len(p) for p in self.ids if not p.strip(SPACE)), reverse=True)
+        #: Characters that some piece has side by side; between any others a text falls into independent segments.
+        self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        self.length = [len(p) for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        for p, i in self.ids.items():
+            if self.merged(p) == [p]:  # others BPE never makes
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
-        self.segments: dict[str, tuple[str, int, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.segments: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE by repeated best merge, leftmost first among equals; for strings of one or two pieces."""
@@ -72,36 +75,33 @@ class PieceEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        pieces = [self.pieces[left], self.pieces[right]]
+        found = self.pairs[left << 20 | right] = self.merged(pieces[0] + pieces[1]) == pieces
         return found
 
-    def is_sound(self, piece: str) -> bool:
-        """Whether BPE makes the piece at all."""
-        found = self.sound.get(piece)
-        if found is None:
-            found = self.sound[piece] = self.merged(piece) == [piece]
-        return found
-
-    def last_tokens(self, text: str) -> list[str]:
-        """The prefix table: entry i is the last token of the encoding of text[:i + 1]."""
-        ending: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
-        table: list[str] = []
-        for end, found in enumerate(ending):
-            for piece in found:
-                start = end + 1 - len(piece)
-                if self.is_sound(piece) and (start == 0 or table[start - 1] not in self.ids or self.compatible(table[start - 1], piece)):
-                    table.append(piece)
-                    break
-            else:
-                table.append(text[end])  # a character outside the vocabulary, which falls back to bytes
-        return table
+    def last_tokens(self, text: str) -> list[int]:
+        """The prefix table: entry i is the last token of the encoding of text[:i + 1], -1 a character that falls back to bytes."""
+        table: list[int] = []
+        have, length, known = 0, self.length, self.pairs.get
+        for end, token in self.automaton.iter(text):  # by end, the longest first
+            if end < have:
+                continue
+            while have < end:
+                table.append(-1)
+                have += 1
+            before = end - length[token]
+            if before >= 0 and (left := table[before]) >= 0:
+                fits = known(left << 20 | token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+                if not fits:
+                    continue
+            table.append(token)
+            have += 1
+        return table + [-1] * (len(text) - have)
 
     def spaces(self, n: int) -> list[str]:
         """Marks alone: the longest piece of marks that fits, again and again."""
@@ -112,56 +112,76 @@ class PieceEncoder:
             n -= size
         return out
 
-    def tokens(self, segment: str) -> list[str]:
-        """The pieces of a segment: marks, then characters other than marks."""
+    def tokens(self, segment: str) -> list[int]:
+        """The ids of a segment: marks, then characters other than marks."""
         body = segment.lstrip(SPACE)
         marks = len(segment) - len(body)
         if not body:
-            return self.spaces(marks)
+            return [self.ids[p] for p in self.spaces(marks)]
         text = SPACE * (marks > 0) + body
         table, out, at = self.last_tokens(text), [], len(text)
         while at:
-            out.append(table[at - 1])
-            at -= len(out[-1])
+            token = table[at - 1]
+            if token < 0:
+                at -= 1
+                out += [self.byte_id[b] for b in reversed(text[at].encode())]
+            else:
+                at -= self.length[token]
+                out.append(token)
         out.reverse()
         if marks > 1:  # marks merge among themselves after all other merges
-            out = self.spaces(marks) + out[1:] if out[0] == SPACE else self.spaces(marks - 1) + out
+            alone = out[0] == self.ids[SPACE]
+            out = [self.ids[p] for p in self.spaces(marks if alone else marks - 1)] + out[alone:]
         return out
 
-    def piece_ids(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.byte_id[b] for b in piece.encode()]
-
     def decode_ids(self, ids: list[int]) -> str:
         """Pieces joined, byte runs as UTF-8, marks as spaces; the mark put before a text is the caller's to drop."""
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
-        return out.decode("utf-8", "replace").replace(SPACE, " ")
-
-    def segment(self, segment: str) -> tuple[str, int, str]:
-        """Ids as decimal text, their count, and their decoding."""
-        found = self.segments.get(segment)
-        if found is None:
+        if any(i in self.byte_of for i in ids):
+            out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids).decode("utf-8", "replace")
+        else:
+            out = "".join([self.pieces[i] for i in ids])
+        return out.replace(SPACE, " ")
+
+    def segment(self, segment: str, key: str) -> tuple[str, str]:
+        """Ids of a segment as decimal text, and their decoding; remembered under ``key``."""
+        ids = self.tokens(segment)
+        found = (",".join(map(str, ids)), self.decode_ids(ids))
+        if len(segment) <= 64:
             if len(self.segments) >= CACHE:
                 self.segments.clear()
-            ids = [i for piece in self.tokens(segment) for i in self.piece_ids(piece)]
-            found = (",".join(map(str, ids)), len(ids), self.decode_ids(ids))
-            if len(segment) <= 64:
-                self.segments[segment] = found
+            self.segments[key] = found
         return found
 
-    def split(self, text: str) -> list[str]:
-        """Segments of the text with the mark that the model puts before it.
+    def word(self, word: str) -> tuple[str, str]:
+        """Ids and decoding of what stands between two spaces; a mark goes before it unless it begins with a line feed.
 
-        A line feed is no part of any longer piece, so it also begins a segment.
+        A last mark of punctuation that no piece joins to what is before it is looked up by itself.
         """
-        if not text:
-            return []
-        if "\n" in self.ids or SPACE in text or "  " in text or text[0] in " \n" or text[-1] == " " or " \n" in text:
-            return _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        return [w if w[0] == "\n" else SPACE + w for w in text.replace("\n", " \n").split(" ")]
+        full = word if word[0] == "\n" else SPACE + word
+        if len(word) > 1 and not word[-1].isalnum() and word[-1] != SPACE and full[-2:] not in self.joined:
+            stem = self.segments.get(word[:-1]) or self.segment(full[:-1], word[:-1])
+            tail = self.segments.get("\0" + word[-1]) or self.segment(word[-1], "\0" + word[-1])
+            return stem[0] + "," + tail[0], stem[1] + tail[1]
+        return self.segment(full, word)
+
+    def words(self, text: str) -> list[str] | None:
+        """What stands between single spaces, line feeds (no part of a longer piece) beginning words of their own; None if marks or spaces meet."""
+        if not text or SPACE in text or "  " in text or text[0] in " \n" or text[-1] == " " or " \n" in text or "\0" in text or "\n" in self.ids:
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """Ids and decoding of the text's segments, in order, with the mark that the model puts before a text."""
+        words = self.words(text)
+        if words is None:
+            return [self.segment(s, "\0" + s) for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))] if text else []
+        found = list(map(self.segments.get, words))
+        if None in found:
+            found = [self.word(w) if f is None else f for w, f in zip(words, found)]
+        return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self.split(text) for piece in self.tokens(s) for i in self.piece_ids(piece)]
+        return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_ids(ids).removeprefix(" ")
@@ -183,14 +203,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Ite
         for lo in range(0, batch.num_rows, 500):
             part, out = batch.slice(lo, 500), []
             for text in part.column(1):
-                segments, known = model.split(text.as_py() or ""), model.segments
-                try:
-                    found = [known[s] for s in segments]
-                except KeyError:
-                    found = [model.segment(s) for s in segments]
-                ids = ",".join([f[0] for f in found])
-                decoded = "".join([f[2] for f in found])[1:]
-                row = (sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                parts = model.parts(text.as_py() or "")
+                ids = ",".join([p[0] for p in parts])
+                decoded = "".join([p[1] for p in parts])[1:]
+                row = (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 out.append(row + ([int(i) for i in ids.split(",") if i], decoded) * with_ids)
             yield batch_of(schema, part.column(0), *(list(c) for c in zip(*out)))
 
