@@ -103,12 +103,12 @@ def _signed(x: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(x).view(kind)
 
 
-_NAMES = "name long, check int, key long, n int"
+_NAMES = "name long, check int, key long"
 
 
 def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(name, 0, key, windows under it) for each core name of a row, and (name, check, key, 0) for the row as a whole."""
-    schema = pa.schema([("name", pa.int64()), ("check", pa.int32()), ("key", pa.int64()), ("n", pa.int32())])
+    """(name, 0, key) for each core name of a row, and (name, check, key) for the row as a whole."""
+    schema = pa.schema([("name", pa.int64()), ("check", pa.int32()), ("key", pa.int64())])
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(1)):
@@ -120,7 +120,6 @@ def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             new = np.ones(len(names), bool)
             new[1:] = (names[1:] != names[:-1]) | (who[1:] != who[:-1])
             first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(names)))
             whole, check = document_names(h, s)
             long = np.flatnonzero(np.diff(s.words) >= k)
             yield batch_of(
@@ -128,7 +127,6 @@ def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                 np.concatenate([_signed(names[first], np.int64), _signed(whole[long], np.int64)]),
                 np.concatenate([np.zeros(len(first), np.int32), _signed(check[long], np.int32) | 1]),
                 np.concatenate([keys[s.first + who[first]], keys[s.first + long]]),
-                np.concatenate([np.minimum(count, 1 << 20).astype(np.int32), np.zeros(len(long), np.int32)]),
             )
 
 
@@ -208,7 +206,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     """
     source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.col(text).alias("text"))
     names = source.mapInArrow(lambda it: _names(it, window), _NAMES)
-    shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.sum(F.greatest("n", F.lit(1))).alias("total")).where("total > 1")
+    shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
     met = names.join(shared, ["name", "check"])
     per_row = cut(
         met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.max(F.expr("check <> 0 and key > first")).alias("copy")),
