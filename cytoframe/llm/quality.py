@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +117,24 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", key: str =
     each row in, null and repeated keys too; other columns are not read. Nothing is shuffled.
     """
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: _judge(it, rules), _OUT)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], rules: Rules, at: int, chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        inner = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+        judged = pa.Table.from_batches(_judge(iter([inner]), rules), _SCHEMA)
+        text = judged["clean_text"].combine_chunks().cast(batch.schema.field(at).type)
+        columns = list(batch.columns)
+        columns[at] = text
+        if chars >= 0:
+            columns[chars] = pa.compute.utf8_length(text).cast(batch.schema.field(chars).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(judged["kept"].combine_chunks())
+
+
+def clean_documents(df: DataFrame, rules: Rules = Rules(), text: str = "text", chars: str | None = None) -> DataFrame:
+    """The rows of ``df`` that pass :func:`judge`, with their text cleaned; ``chars`` names a column of its length.
+
+    All columns stay; a row with a null text goes, having no words. Nothing is shuffled.
+    """
+    at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
+    return df.mapInArrow(lambda it: _clean(it, rules, at, length), df.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,7 +27,7 @@ def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_pieces
 
-    return encode_pieces(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return encode_pieces(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,13 @@ def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_counts import section_token_counts
 
-    return section_token_counts(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return section_token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
-    return pack(token_pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")))
+    return pack(token_pieces(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
 
 
 def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,56 +155,71 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 _OUT = "key long, n_words long, n_removed long, kept_text string"
 
 
+def _kept(s: Slice, copies: np.ndarray, seen: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, or that the row itself repeats."""
+    h, owner, at = s.hashes(), s.owner(), windows(s, k)
+    who = owner[at]
+    code, _ = window_hashes(s, h, at, k)
+    salt = mix(np.arange(1, s.n + 1, dtype=U) * _RIGHT)
+    mine = code ^ salt[who]
+    _, first = np.unique(mine, return_index=True)
+    later = np.ones(len(mine), bool)
+    later[first] = False
+    listed = [np.zeros(0, U) if x.values is None else x.values.to_numpy(zero_copy_only=False).view(U) ^ salt[i] for i, x in enumerate(seen)]
+    later |= np.isin(mine, np.concatenate(listed))
+    later |= copies[who]
+    edge = np.zeros(len(h) + 1, np.int32)
+    np.add.at(edge, at[later], 1)
+    np.add.at(edge, at[later] + k, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    n_words, n_removed = np.diff(s.words), np.bincount(owner[gone], minlength=s.n)
+    texts = []
+    for i in range(s.n):
+        lo, hi = s.words[i], s.words[i + 1]
+        if n_removed[i] == hi - lo:
+            texts.append("")
+            continue
+        words = s.data[s.rows[i] : s.rows[i + 1]].tobytes().split()
+        if n_removed[i]:
+            words = [w for w, x in zip(words, gone[lo:hi].tolist()) if not x]
+        texts.append(b" ".join(words).decode())
+    return n_words, n_removed, texts
+
+
 def _remove(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Drop the words of windows that are listed as seen in an earlier row, or that the row itself repeats."""
     schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     for batch in batches:
-        copy, seen = batch.column(2), batch.column(3)
+        copies = np.array(batch.column(2).to_pylist(), bool)
         for s in slices(batch.column(1)):
-            h, owner, at = s.hashes(), s.owner(), windows(s, k)
-            who = owner[at]
-            code, _ = window_hashes(s, h, at, k)
-            salt = mix(np.arange(1, s.n + 1, dtype=U) * _RIGHT)
-            mine = code ^ salt[who]
-            _, first = np.unique(mine, return_index=True)
-            later = np.ones(len(mine), bool)
-            later[first] = False
-            own = seen.slice(s.first, s.n)
-            listed = [np.zeros(0, U) if x.values is None else x.values.to_numpy(zero_copy_only=False).view(U) ^ salt[i] for i, x in enumerate(own)]
-            later |= np.isin(mine, np.concatenate(listed))
-            copies = np.array([bool(x.as_py()) for x in copy.slice(s.first, s.n)])
-            later |= copies[who]
-            edge = np.zeros(len(h) + 1, np.int32)
-            np.add.at(edge, at[later], 1)
-            np.add.at(edge, at[later] + k, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            n_words, n_removed = np.diff(s.words), np.bincount(owner[gone], minlength=s.n)
-            texts = []
-            for i in range(s.n):
-                lo, hi = s.words[i], s.words[i + 1]
-                if n_removed[i] == hi - lo:
-                    texts.append("")
-                    continue
-                words = s.data[s.rows[i] : s.rows[i + 1]].tobytes().split()
-                if n_removed[i]:
-                    words = [w for w, x in zip(words, gone[lo:hi].tolist()) if not x]
-                texts.append(b" ".join(words).decode())
-            yield batch_of(schema, batch.column(0).slice(s.first, s.n), n_words, n_removed, texts)
-
+            own = slice(s.first, s.first + s.n)
+            yield batch_of(schema, batch.column(0).slice(s.first, s.n), *_kept(s, copies[own], batch.column(3).slice(s.first, s.n), k))
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Each row without the words of windows that start earlier: under a smaller key, or before in the row.
 
-    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space). Null
-    texts count as empty. A null key sorts before all others. Rows that share a key
-    are one identity: neither is earlier than the other, and each gets the removals of
-    both. Other columns are not read; an empty table gives no rows.
+def _rewrite(batches: Iterator[pa.RecordBatch], k: int, at: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """The last two columns are copy and seen; the others come back, the text without what goes, rows of which nothing stays left out."""
+    for batch in batches:
+        schema = pa.schema(list(batch.schema)[:-2])
+        copies = np.array(batch.column(batch.num_columns - 2).to_pylist(), bool)
+        seen = batch.column(batch.num_columns - 1)
+        for s in slices(batch.column(at)):
+            n_words, n_removed, kept = _kept(s, copies[s.first : s.first + s.n], seen.slice(s.first, s.n), k)
+            columns = [batch.column(i).slice(s.first, s.n) for i in range(len(schema))]
+            texts = [new if gone else old for new, gone, old in zip(kept, n_removed.tolist(), columns[at].to_pylist())]
+            columns[at] = pa.array(texts, schema.field(at).type)
+            if chars >= 0:
+                columns[chars] = pa.array([len(t or "") for t in texts], schema.field(chars).type)
+            stays = pa.array((n_removed == 0) | (n_removed < n_words))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(stays)
+
+
+def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For rows (key, text): key, copy (the whole row repeats an earlier one), seen (hashes of its windows that an earlier row has).
 
     What moves: a hash for each name and row, one for each window under a shared name, and
-    twice the text, to meet its lists. A frequent window is one row of each document that
-    has it; sums before the exchange and splittable joins take it. Lists are of one row's windows.
+    the text of rows with such names. A frequent window is one row of each document that
+    has it; minima taken before the exchange and splittable joins take it. Lists are of one
+    row's windows.
     """
-    source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.col(text).alias("text"))
     names = source.mapInArrow(lambda it: _names(it, window), _NAMES)
     shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
     met = names.join(shared, ["name", "check"])
@@ -216,6 +231,39 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     found = cut(source.join(candidates, "key").select("key", "text", "names").mapInArrow(lambda it: _windows(it, window), _WINDOWS), "windows")
     first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
     seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list("hash").alias("seen"))
-    marks = cut(seen.join(per_row.where("copy").select("key", "copy"), "key", "full_outer"), "repeats")
-    removed = source.join(marks, "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "seen").mapInArrow(lambda it: _remove(it, window), _OUT)
+    marks = seen.join(per_row.where("copy").select("key", "copy"), "key", "full_outer")
+    return cut(marks.select("key", F.coalesce("copy", F.lit(False)).alias("copy"), "seen"), "repeats")
+
+
+def _key(key: str):
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
+
+
+def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Each row without the words of windows that start earlier: under a smaller key, or before in the row.
+
+    Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space). Null
+    texts count as empty. A null key sorts before all others. Rows that share a key
+    are one identity: neither is earlier than the other, and each gets the removals of
+    both. Other columns are not read; an empty table gives no rows. The text moves once
+    more, to meet its marks.
+    """
+    source = df.select(_key(key).alias("key"), F.col(text).alias("text"))
+    marked = source.join(repeats(source, window), "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "seen")
+    removed = marked.mapInArrow(lambda it: _remove(it, window), _OUT)
     return removed.select(F.expr(f"nullif(key, {_NO_KEY + 1}L - 1L)").alias("doc_id"), "n_words", "n_removed", "kept_text")
+
+
+def rewrite_documents(df: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", chars: str | None = None) -> DataFrame:
+    """``df`` with the removals of :func:`remove_repeats` made in its text; ``chars`` names a column of its length.
+
+    All columns stay. A text of which nothing is removed stays as it is, one of which
+    nothing is left goes with its row.
+    """
+    marks = repeats(df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text")), window)
+    own = [f"in{i}_" for i in range(len(df.columns))]
+    rows = df.toDF(*own).withColumn("key_", _key(own[df.columns.index(key)]))
+    marked = rows.join(marks, rows.key_ == marks.key, "left").select(*own, F.coalesce("copy", F.lit(False)).alias("copy_"), F.col("seen").alias("seen_"))
+    at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
+    out = marked.select(*own).schema
+    return marked.mapInArrow(lambda it: _rewrite(it, window, at, length), out).toDF(*df.columns)
