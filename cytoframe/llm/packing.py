@@ -28,8 +28,11 @@ CAPACITY, END_ID = 4096, 1
 SALTS = 256
 #: Pieces of a salted group, on average, of a length that all pieces share.
 GROUP = 1_000_000
-#: Chunks of a worker's cache; a full one is emptied, which costs time only.
-CACHE = 500_000
+#: Chunks of each of a worker's two generations of cache; a full young one replaces the old one, which costs time only.
+CACHE = 400_000
+_ENDINGS = frozenset(b".,!?;:")
+_LETTERS = bytes(b for b in range(256) if bytes([b]).decode("latin-1").isalpha())
+_WORD_BYTES = frozenset(_LETTERS + b"0123456789")
 
 
 class ChunkEncoder:
@@ -44,60 +47,109 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
+        #: For lower-case words of letters alone, which neither normaliser nor word pattern changes: the model without them.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks together, marks between them, and cut the ids at the marks."""
-        if len(self.chunks) + len(chunks) > CACHE:
-            self.chunks.clear()
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Encode chunks many at a time and cut the ids: runs of letters at word ends, others at marks put between them."""
+        out: dict[bytes, bytes] = {}
+        words = [c for c in chunks if not c.translate(None, _LETTERS)]
+        others = [c for c in chunks if c.translate(None, _LETTERS)]
         size = 256
-        groups = [chunks[i : i + size] for i in range(0, len(chunks), size)]
-        texts = [f" {self.MARK} ".join(c.decode("latin-1") for c in g) for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(at) != len(group) - 1:
-                self.chunks.update((c, self.whole(c.decode("latin-1"))) for c in group)
-                continue
-            begin, end = np.append(0, at + len(self.mark)), np.append(at, len(ids))
-            raw = ids.tobytes()
-            self.chunks.update((c, raw[4 * b : 4 * e]) for c, b, e in zip(group, begin.tolist(), end.tolist()))
+        for model, own, between in ((self.plain, words, " "), (self.tokenizer, others, f" {self.MARK} ")):
+            groups = [own[i : i + size] for i in range(0, len(own), size)]
+            texts = [between.join([c.decode("latin-1") for c in g]) for g in groups]
+            for group, found in zip(groups, model.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                if between == " ":
+                    end = np.flatnonzero(self.ends_word[ids]) + 1
+                    begin = np.append(0, end[:-1])
+                else:
+                    at = np.flatnonzero(ids == self.mark[0])
+                    begin, end = np.append(0, at + len(self.mark)), np.append(at, len(ids))
+                if len(begin) != len(group):
+                    out.update((c, self.whole(c.decode("latin-1"))) for c in group)
+                    continue
+                raw = ids.tobytes()
+                out.update((c, raw[4 * b : 4 * e]) for c, b, e in zip(group, begin.tolist(), end.tolist()))
+        return out
+
+    def remember(self, chunks: dict[bytes, bytes]) -> None:
+        if len(self.young) + len(chunks) > CACHE:
+            self.old, self.young = self.young, {}
+        self.young.update(chunks)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
         pending: list[tuple[int, list[bytes], list[bytes | None]]] = []
-        missing: set[bytes] = set()
-        known = self.chunks.get
+        missing: dict[bytes, bytes] = {}
+        young, old = self.young.get, self.old.get
         for text in texts:
             text = text or ""
             try:
-                plain = None if "<|" in text else text.lower().encode("latin-1").split()
+                chunks = None if "<|" in text else text.lower().encode("latin-1").split()
             except UnicodeEncodeError:
-                plain = None
-            if plain is None:
+                chunks = None
+            if chunks is None:
                 out.append(self.whole(text))
                 continue
-            parts = list(map(known, plain))
+            parts = list(map(young, chunks))
             if None in parts:
-                missing.update(c for c, p in zip(plain, parts) if p is None)
-                pending.append((len(out), plain, parts))
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
+                waiting = False
+                for i, p in enumerate(parts):
+                    if p is None:
+                        c = chunks[i]
+                        found = old(c)
+                        if found is not None:
+                            self.young[c] = parts[i] = found
+                        else:
+                            waiting = True
+                            stem, last = self._parted(c)
+                            if young(stem) is None and old(stem) is None:
+                                missing[stem] = b""
+                            if last and young(last) is None and old(last) is None:
+                                missing[last] = b""
+                if waiting:
+                    pending.append((len(out), chunks, parts))
+                    out.append(b"")
+                    continue
+            out.append(b"".join(parts))
         if pending:
-            self.learn(sorted(missing))
-            for i, plain, parts in pending:
-                parts = [self.chunks[c] if p is None else p for c, p in zip(plain, parts)]
+            learned = self.learn(list(missing))
+            fresh: dict[bytes, bytes] = dict(learned)
+            ids = lambda c: learned.get(c) or young(c) or old(c) or b""
+            for i, chunks, parts in pending:
+                for k, p in enumerate(parts):
+                    if p is None:
+                        c = chunks[k]
+                        stem, last = self._parted(c)
+                        parts[k] = fresh[c] = ids(stem) + ids(last) if last else ids(stem)
                 out[i] = b"".join(parts)
+            self.remember(fresh)
         return out
 
+    @staticmethod
+    def _parted(chunk: bytes) -> tuple[bytes, bytes]:
+        """A chunk without its last mark, and that mark if it follows a letter or digit: it is then a token of its own."""
+        if chunk[-1] in _ENDINGS and len(chunk) > 1 and chunk[-2] in _WORD_BYTES:
+            return chunk[:-1], chunk[-1:]
+        return chunk, b""
+
 
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
