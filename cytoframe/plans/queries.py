@@ -1,2 +1,523 @@
-QUERIES = {}
-SQL = {}
+"""One query for each operator, over the driver's tables, and the same in SQL where SQL can say it.
+
+Cells are customers, genes are parts, counts are quantities bought; text queries have
+documents as cells and words as genes; graphs and embeddings come from ``embeddings``.
+Doubles are rounded, as the last bits of sums depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cluster, de, norm, outputs, qc, reduce
+from ..sources import canonicalize, matrix_from_events, matrix_from_text, read_long, read_wide
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    items, orders = _table(spark, d, "lineitem"), _table(spark, d, "orders")
+    return items.join(orders, items.l_orderkey == orders.o_orderkey)
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return matrix_from_events(_events(spark, d), "o_custkey", "l_partkey", "l_quantity")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("batch"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("x"))
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d).select("cell_id", F.col("batch").alias("grp"))
+
+
+def _genes(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("gene_name"))
+
+
+def _gene_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_type").alias("set_name"), F.col("p_partkey").alias("gene_id"))
+
+
+def _layer(spark: SparkSession, d: str) -> DataFrame:
+    return norm.log_norm(_counts(spark, d))
+
+
+def _emb(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between embeddings and their five nearest, each pair once, weight 1."""
+    near = reduce.knn(_emb(spark, d), 5)
+    return near.select(F.least("cell_id", "neighbor").alias("i"), F.greatest("cell_id", "neighbor").alias("j")).distinct().withColumn("w", F.lit(1.0))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("label"))
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; -0.0 becomes 0.0."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+_BASE = """WITH counts AS (SELECT o_custkey AS cell_id, l_partkey AS gene_id, CAST(sum(l_quantity) AS BIGINT) AS cnt
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+cells AS (SELECT c_custkey AS cell_id, c_mktsegment AS batch, c_nationkey AS nation, c_acctbal AS x FROM customer),
+genes AS (SELECT p_partkey AS gene_id FROM part), sets AS (SELECT p_type AS set_name, p_partkey AS gene_id FROM part),
+totals AS (SELECT cell_id, CAST(sum(cnt) AS BIGINT) AS total FROM counts GROUP BY 1),
+nc AS (SELECT count(*) AS n FROM cells)"""
+_LAYER = _BASE + """, layer AS (SELECT cell_id, gene_id, ln(1 + cnt * 1e4 / CAST(total AS DOUBLE)) AS v FROM counts JOIN totals USING (cell_id))"""
+_METRICS = _BASE + """, own AS (SELECT cell_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n_genes, max(cnt) AS max_count FROM counts GROUP BY 1),
+metrics AS (SELECT cell_id, coalesce(total, 0) AS total, coalesce(n_genes, 0) AS n_genes, coalesce(max_count, 0) AS max_count, batch FROM cells LEFT JOIN own USING (cell_id))"""
+_MOMENTS = _LAYER + """, moments AS (SELECT gene_id, sum(v) / n AS mean, greatest(0, (sum(v * v) - sum(v) * sum(v) / n) / (n - 1)) AS variance FROM layer, nc GROUP BY gene_id, n)"""
+_EMB = """WITH emb AS (SELECT vec_id AS cell_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"""
+_KNN = _EMB + """, sims AS (SELECT a.cell_id, b.cell_id AS neighbor, round(list_cosine_similarity(a.vec, b.vec), 6) + 0.0 AS similarity FROM emb a, emb b WHERE a.cell_id <> b.cell_id),
+near AS (SELECT * FROM (SELECT cell_id, neighbor, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY similarity DESC, neighbor) AS INTEGER) AS rank, similarity FROM sims) WHERE rank <= 5)"""
+_GRAPH = _KNN + """, graph AS (SELECT DISTINCT least(cell_id, neighbor) AS i, greatest(cell_id, neighbor) AS j, 1.0::DOUBLE AS w FROM near)"""
+_EDGES = _GRAPH + """, edges AS (SELECT i AS node, j AS other, w FROM graph UNION ALL SELECT j, i, w FROM graph)"""
+
+
+# ---- ingest
+
+@query("SELECT l_orderkey AS cell_id, l_partkey AS gene_id, CAST(l_quantity AS BIGINT) AS cnt FROM lineitem WHERE l_quantity <> 0")
+def i1_read_long(spark, d):
+    return read_long(spark, f"{d}/lineitem.parquet", "l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("SELECT p_partkey AS cell_id, 'p_size' AS gene_name, CAST(p_size AS BIGINT) AS cnt FROM part WHERE p_size <> 0 UNION ALL SELECT p_partkey, 'p_retailprice', CAST(trunc(p_retailprice) AS BIGINT) FROM part WHERE trunc(p_retailprice) <> 0")
+def i2_read_wide(spark, d):
+    return read_wide(spark, f"{d}/part.parquet", "p_partkey", ["p_size", "p_retailprice"])
+
+
+@query("SELECT l_orderkey AS cell_id, l_partkey AS gene_id, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem GROUP BY 1, 2")
+def i4_canonicalize(spark, d):
+    return canonicalize(read_long(spark, f"{d}/lineitem.parquet", "l_orderkey", "l_partkey", "l_quantity"))
+
+
+@query(_BASE + " SELECT * FROM counts")
+def i5_matrix_from_events(spark, d):
+    return _counts(spark, d)
+
+
+@query("SELECT doc_id AS cell_id, w AS gene_name, count(*) AS cnt FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2")
+def i6_matrix_from_text(spark, d):
+    return matrix_from_text(_table(spark, d, "documents"))
+
+
+# ---- quality control
+
+@query(_METRICS + " SELECT cell_id, total, n_genes, max_count, round(max_count / CAST(nullif(total, 0) AS DOUBLE), 6) AS top_share FROM metrics")
+def q1_cell_metrics(spark, d):
+    return _rounded(qc.cell_metrics(_counts(spark, d), _cells(spark, d)))
+
+
+@query(_BASE + """ SELECT gene_id, coalesce(total, 0) AS total, coalesce(n_cells, 0) AS n_cells, round(coalesce(total, 0) / CAST(n AS DOUBLE), 6) AS mean, round(100 - 100 * coalesce(n_cells, 0) / CAST(n AS DOUBLE), 6) AS dropout_pct
+FROM genes LEFT JOIN (SELECT gene_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n_cells FROM counts GROUP BY 1) USING (gene_id), nc""")
+def q2_gene_metrics(spark, d):
+    return _rounded(qc.gene_metrics(_counts(spark, d), _genes(spark, d), _cells(spark, d).count()))
+
+
+@query(_BASE + " SELECT cell_id, set_name, CAST(sum(cnt) AS BIGINT) AS in_set, round(sum(cnt) / CAST(max(total) AS DOUBLE), 6) AS fraction FROM counts JOIN sets USING (gene_id) JOIN totals USING (cell_id) GROUP BY 1, 2")
+def q3_gene_set_fraction(spark, d):
+    return _rounded(qc.gene_set_fraction(_counts(spark, d), _gene_sets(spark, d)))
+
+
+@query(_BASE + " SELECT cell_id, CAST(sum(cnt) AS BIGINT) AS top, round(sum(cnt) / CAST(max(total) AS DOUBLE), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cnt DESC, gene_id) AS r FROM counts) JOIN totals USING (cell_id) WHERE r <= 10 GROUP BY 1")
+def q4_top_k_share(spark, d):
+    return _rounded(qc.top_k_share(_counts(spark, d), 10))
+
+
+@query(_METRICS + " SELECT counts.* FROM counts WHERE cell_id IN (SELECT cell_id FROM metrics WHERE n_genes BETWEEN 20 AND 60)")
+def q5_filter_cells(spark, d):
+    counts = _counts(spark, d)
+    return qc.filter_cells(counts, qc.keep_between(qc.cell_metrics(counts, _cells(spark, d)), "cell_id", "n_genes", 20, 60))
+
+
+@query(_BASE + " SELECT counts.* FROM counts WHERE gene_id IN (SELECT gene_id FROM counts GROUP BY 1 HAVING count(*) >= 30)")
+def q5_filter_genes(spark, d):
+    counts = _counts(spark, d)
+    return qc.filter_genes(counts, qc.keep_between(qc.gene_metrics(counts, _genes(spark, d), _cells(spark, d).count()), "gene_id", "n_cells", 30))
+
+
+@query(_METRICS + """, c AS (SELECT batch, median(total) AS median FROM metrics GROUP BY 1), m AS (SELECT batch, median(abs(total - median)) AS mad FROM metrics JOIN c USING (batch) GROUP BY 1)
+SELECT cell_id, total, CAST(median AS DOUBLE) AS median, CAST(mad AS DOUBLE) AS mad, abs(total - median) <= 3 * 1.4826::DOUBLE * mad AS keep FROM metrics JOIN c USING (batch) JOIN m USING (batch)""")
+def q6_mad_outliers(spark, d):
+    metrics = qc.cell_metrics(_counts(spark, d), _cells(spark, d)).join(_cells(spark, d).select("cell_id", "batch"), "cell_id")
+    return _rounded(qc.mad_outliers(metrics, "total", 3, by="batch").select("cell_id", "total", "median", "mad", "keep"))
+
+
+@query("SELECT c_custkey AS cell_id FROM customer WHERE substr(md5('7:' || c_custkey), 1, 8) < '40000000'")
+def q7_downsample_cells(spark, d):
+    return qc.downsample_cells(_cells(spark, d), 0.25, 7).select("cell_id")
+
+
+@query(_METRICS + """ SELECT batch, count(*) AS n_before, CAST(sum(CASE WHEN n_genes >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS n_after, CAST(sum(total) AS BIGINT) AS total_before, CAST(sum(CASE WHEN n_genes >= 30 THEN total ELSE 0 END) AS BIGINT) AS total_after FROM metrics GROUP BY ROLLUP (batch)""")
+def q8_qc_summary(spark, d):
+    metrics = qc.cell_metrics(_counts(spark, d), _cells(spark, d)).join(_cells(spark, d).select("cell_id", "batch"), "cell_id")
+    return qc.qc_summary(metrics.withColumn("keep", F.col("n_genes") >= 30), "batch")
+
+
+# ---- normalization
+
+@query(_BASE + " SELECT cell_id, round(total / (SELECT CAST(median(total) AS DOUBLE) FROM totals), 6) AS size_factor FROM totals")
+def n1_size_factors(spark, d):
+    return _rounded(norm.size_factors(_counts(spark, d)))
+
+
+@query(_LAYER + " SELECT cell_id, gene_id, round(v, 6) AS v FROM layer")
+def n2_log_norm(spark, d):
+    return _rounded(_layer(spark, d))
+
+
+@query(_BASE + " SELECT cell_id, gene_id, round(cnt * 1e6 / CAST(total AS DOUBLE), 4) AS v FROM counts JOIN totals USING (cell_id)")
+def n3_cpm(spark, d):
+    return _rounded(norm.cpm(_counts(spark, d)), 4)
+
+
+@query(_MOMENTS + " SELECT gene_id, round(mean, 6) AS mean, round(variance, 6) AS variance FROM moments")
+def n4_gene_moments(spark, d):
+    return _rounded(norm.gene_moments(_layer(spark, d), _cells(spark, d).count()))
+
+
+@query(_MOMENTS + """ SELECT cell_id, gene_id, round(least(coalesce((v - mean) / nullif(sqrt(variance), 0), 0), 10), 5) + 0.0 AS z, round(greatest(coalesce(-mean / nullif(sqrt(variance), 0), 0), -10), 5) + 0.0 AS zero_score FROM layer JOIN moments USING (gene_id)""")
+def n5_scale(spark, d):
+    layer = _layer(spark, d)
+    return _rounded(norm.scale(layer, norm.gene_moments(layer, _cells(spark, d).count()), 10.0), 5)
+
+
+_HVG = _MOMENTS + """, some AS (SELECT gene_id, round(mean, 9) AS mean, round(variance, 9) AS variance FROM moments WHERE round(mean, 9) > 0 AND round(variance, 9) > 0),
+binned AS (SELECT *, ln(variance / mean) AS dd, CAST(ntile(20) OVER (ORDER BY mean, gene_id) AS INTEGER) AS bin FROM some),
+scored AS (SELECT gene_id, mean, variance, bin, round(coalesce((dd - avg(dd) OVER (PARTITION BY bin)) / nullif(stddev_samp(dd) OVER (PARTITION BY bin), 0), 0), 6) AS dispersion FROM binned),
+hvg AS (SELECT *, CAST(row_number() OVER (ORDER BY dispersion DESC, gene_id) AS INTEGER) AS rank FROM scored)"""
+
+
+@query(_HVG + " SELECT gene_id, round(mean, 6) AS mean, round(variance, 6) AS variance, bin, round(dispersion, 4) + 0.0 AS dispersion, rank <= 200 AS is_hvg FROM hvg")
+def n6_hvg(spark, d):
+    found = norm.hvg(norm.gene_moments(_layer(spark, d), _cells(spark, d).count()), 200)
+    return _rounded(found.drop("rank")).withColumn("dispersion", F.round("dispersion", 4) + 0.0)
+
+
+@query(_LAYER + """, t AS (SELECT sum(x) AS sx, sum(x * x) AS sxx FROM cells), s AS (SELECT gene_id, sum(v) AS sy, sum(v * x) AS sxy FROM layer JOIN cells USING (cell_id) GROUP BY 1),
+f AS (SELECT gene_id, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope, sy, sx, n FROM s, t, nc), g AS (SELECT gene_id, slope, (sy - slope * sx) / n AS intercept FROM f)
+SELECT cell_id, gene_id, round(v - intercept - slope * x, 5) + 0.0 AS residual, round(slope, 5) + 0.0 AS slope, round(intercept, 5) + 0.0 AS intercept FROM layer JOIN cells USING (cell_id) JOIN g USING (gene_id)""")
+def n7_regress_out(spark, d):
+    return _rounded(norm.regress_out(_layer(spark, d), _cells(spark, d).select("cell_id", "x"), _cells(spark, d).count()), 5)
+
+
+@query(_LAYER + """, z AS (SELECT batch, count(*) AS n FROM cells GROUP BY 1), m AS (SELECT batch, gene_id, sum(v) / max(n) AS mean FROM layer JOIN cells USING (cell_id) JOIN z USING (batch) GROUP BY 1, 2)
+SELECT cell_id, gene_id, round(v - mean, 5) + 0.0 AS centered FROM layer JOIN cells USING (cell_id) JOIN m USING (batch, gene_id)""")
+def n8_batch_center(spark, d):
+    return _rounded(norm.batch_center(_layer(spark, d), _cells(spark, d)), 5)
+
+
+# ---- reduction
+
+_N_GENES = 50
+
+
+def _top_genes(spark: SparkSession, d: str) -> list[int]:
+    """A bounded list: the genes with most counts."""
+    top = _counts(spark, d).groupBy("gene_id").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "gene_id").limit(_N_GENES)
+    return sorted(r["gene_id"] for r in top.collect())
+
+
+@query()
+def d1_pca(spark, d):
+    layer, genes = _layer(spark, d), _top_genes(spark, d)
+    loadings, _, mean = reduce.pca(layer, genes, _cells(spark, d).count(), 10)
+    return _rounded(reduce.loadings_table(layer, genes, loadings, mean))
+
+
+#: A fixed stand-in for fitted loadings, so that projection can be checked by itself.
+def _fixed_loadings(spark: SparkSession, d: str) -> DataFrame:
+    genes = _genes(spark, d).select("gene_id").crossJoin(spark.range(3).select(F.col("id").cast("int").alias("pc")))
+    return genes.select("gene_id", "pc", (((F.col("gene_id") * 7 + F.col("pc") * 13) % 11 - 5) / 10.0).alias("loading"), (F.col("gene_id") % 5 / 10.0).alias("mean"))
+
+
+@query(_LAYER + """, l AS (SELECT gene_id, CAST(pc AS INTEGER) AS pc, ((gene_id * 7 + pc * 13) % 11 - 5) / 10.0::DOUBLE AS loading, (gene_id % 5) / 10.0::DOUBLE AS mean FROM genes, range(3) r(pc)),
+sh AS (SELECT pc, sum(mean * loading) AS shift FROM l GROUP BY 1), st AS (SELECT cell_id, pc, sum(v * loading) AS dot FROM layer JOIN l USING (gene_id) GROUP BY 1, 2)
+SELECT cell_id, pc, round(coalesce(dot, 0) - shift, 5) + 0.0 AS score FROM (SELECT cell_id, pc, shift FROM cells, sh) LEFT JOIN st USING (cell_id, pc)""")
+def d2_project(spark, d):
+    return _rounded(reduce.project(_layer(spark, d), _fixed_loadings(spark, d), _cells(spark, d)), 5)
+
+
+@query()
+def d3_explained_variance(spark, d):
+    return _rounded(reduce.explained_variance(_layer(spark, d), _top_genes(spark, d), _cells(spark, d).count(), 10))
+
+
+@query(_KNN + " SELECT * FROM near")
+def d4_knn(spark, d):
+    return reduce.knn(_emb(spark, d), 5)
+
+
+@query()
+def d5_knn_approx(spark, d):
+    return reduce.knn_approx(_emb(spark, d), 5, radius=1.2)
+
+
+@query(_KNN + """, s AS (SELECT a.cell_id AS i, b.cell_id AS j, count(*) AS shared FROM near a JOIN near b USING (neighbor) WHERE a.cell_id < b.cell_id GROUP BY 1, 2)
+SELECT i, j, round(shared / CAST(10 - shared AS DOUBLE), 6) AS w FROM s""")
+def d6_snn(spark, d):
+    return _rounded(reduce.snn(reduce.knn(_emb(spark, d), 5)))
+
+
+@query(_LAYER + """, l AS (SELECT gene_id, CAST(pc AS INTEGER) AS pc, ((gene_id * 7 + pc * 13) % 11 - 5) / 10.0::DOUBLE AS loading, (gene_id % 5) / 10.0::DOUBLE AS mean FROM genes, range(3) r(pc)),
+sh AS (SELECT pc, sum(mean * loading) AS shift FROM l GROUP BY 1), st AS (SELECT cell_id, pc, sum(v * loading) AS dot FROM layer JOIN l USING (gene_id) GROUP BY 1, 2),
+p AS (SELECT cell_id, pc, coalesce(dot, 0) - shift AS score FROM (SELECT cell_id, pc, shift FROM cells, sh) LEFT JOIN st USING (cell_id, pc))
+SELECT cell_id, round(max(CASE WHEN pc = 0 THEN score END), 5) + 0.0 AS x, round(max(CASE WHEN pc = 1 THEN score END), 5) + 0.0 AS y FROM p GROUP BY 1""")
+def d7_layout_2d(spark, d):
+    return _rounded(reduce.layout_2d(reduce.project(_layer(spark, d), _fixed_loadings(spark, d), _cells(spark, d))), 5)
+
+
+# ---- clustering
+
+@query()
+def c1_kmeans(spark, d):
+    return cluster.kmeans(_emb(spark, d), 8, seed=3, iterations=10)
+
+
+def _first_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _emb(spark, d).where("cell_id < 6").select(F.col("cell_id").cast("int").alias("label"), "vec")
+
+
+@query(_EMB + """, dist AS (SELECT e.cell_id, e.vec, CAST(c.cell_id AS INTEGER) AS label, row_number() OVER (PARTITION BY e.cell_id ORDER BY round(list_sum(list_transform(list_zip(e.vec, c.vec), p -> (p[1] - p[2]) * (p[1] - p[2]))), 9), c.cell_id) AS r FROM emb e, emb c WHERE c.cell_id < 6),
+a AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS at FROM dist WHERE r = 1)
+SELECT label, CAST(at - 1 AS INTEGER) AS at, count(*) AS n, round(avg(x), 6) + 0.0 AS x FROM a GROUP BY 1, 2""")
+def c2_kmeans_step(spark, d):
+    step = cluster.kmeans_step(_emb(spark, d), _first_centroids(spark, d))
+    return _rounded(step.select("label", F.posexplode("vec").alias("at", "x"), "n"))
+
+
+def _propagation_sql(rounds: int) -> str:
+    sql = _EDGES + ", l0 AS (SELECT DISTINCT node, node AS label FROM edges)"
+    for k in range(rounds):
+        sql += f""", v{k} AS (SELECT e.node, l.label, round(sum(w), 9) AS weight FROM edges e JOIN l{k} l ON e.other = l.node GROUP BY 1, 2),
+l{k + 1} AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, label) AS r FROM v{k}) WHERE r = 1)"""
+    return sql + f" SELECT node, label FROM l{rounds}"
+
+
+@query(_propagation_sql(5))
+def c3_label_propagation(spark, d):
+    return cluster.label_propagation(_graph(spark, d), 5)
+
+
+@query(_EDGES.replace("WITH", "WITH RECURSIVE", 1) + """, reach AS (SELECT DISTINCT node, node AS seen FROM edges UNION SELECT r.node, e.other FROM reach r JOIN edges e ON r.seen = e.node)
+SELECT node, min(seen) AS label FROM reach GROUP BY 1""")
+def c4_connected_components(spark, d):
+    return cluster.connected_components(_graph(spark, d))
+
+
+@query()
+def c5_louvain(spark, d):
+    return cluster.louvain(_graph(spark, d))
+
+
+@query()
+def c6_bisecting_kmeans(spark, d):
+    return cluster.bisecting_kmeans(_emb(spark, d), 4)
+
+
+@query()
+def c6_gmm(spark, d):
+    return cluster.gmm(_emb(spark, d).withColumn("vec", F.slice("vec", 1, 4)), 3)
+
+
+@query()
+def c6_pic(spark, d):
+    return cluster.pic(_graph(spark, d), 3)
+
+
+@query("""WITH s AS (SELECT label, count(*) AS n, min(vec_id) AS least FROM embeddings GROUP BY 1), o AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, least) - 1 AS INTEGER) AS cluster FROM s)
+SELECT vec_id AS cell_id, cluster AS label FROM embeddings JOIN o USING (label)""")
+def c7_relabel_by_size(spark, d):
+    return cluster.relabel_by_size(_labels(spark, d))
+
+
+@query(_GRAPH + """, g AS (SELECT i, j, w, i % 7 AS li, j % 7 AS lj FROM graph), m AS (SELECT sum(w) AS m FROM g), dg AS (SELECT l, sum(w) AS degree FROM (SELECT li AS l, w FROM g UNION ALL SELECT lj, w FROM g) GROUP BY 1),
+wi AS (SELECT li AS l, sum(w) AS within FROM g WHERE li = lj GROUP BY 1)
+SELECT round(sum(coalesce(within, 0) / m - (degree / (2 * m)) * (degree / (2 * m))), 6) AS modularity FROM dg LEFT JOIN wi USING (l), m""")
+def c8_modularity(spark, d):
+    nodes = _emb(spark, d).select(F.col("cell_id").alias("node"), (F.col("cell_id") % 7).alias("label"))
+    return _rounded(cluster.modularity(_graph(spark, d), nodes))
+
+
+@query("""WITH l AS (SELECT doc_id, source AS label, lang AS truth FROM documents), t AS (SELECT label, truth, count(*)::DOUBLE AS n FROM l GROUP BY 1, 2), r AS (SELECT label, sum(n) AS a, max(n) AS most FROM t GROUP BY 1), c AS (SELECT truth, sum(n) AS b FROM t GROUP BY 1),
+s AS (SELECT sum(n) AS total, sum(n * (n - 1) / 2) AS both_ FROM t), x AS (SELECT sum(a * (a - 1) / 2) AS pa, sum(most) AS most, -sum(a / total * ln(a / total)) AS ha FROM r, s), y AS (SELECT sum(b * (b - 1) / 2) AS pb, -sum(b / total * ln(b / total)) AS hb FROM c, s),
+mi AS (SELECT sum(n / total * ln(n * total / (a * b))) AS mi FROM t JOIN r USING (label) JOIN c USING (truth), s)
+SELECT round((both_ - pa * pb / (total * (total - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (total * (total - 1) / 2)), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi, round(most / total, 6) AS purity FROM s, x, y, mi""")
+def c9_agreement(spark, d):
+    docs = _table(spark, d, "documents")
+    return _rounded(cluster.agreement(docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("label")), docs.select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("truth"))))
+
+
+@query(_EMB + """, m AS (SELECT label, at, avg(x) AS x FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS at FROM emb) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY at) AS centre FROM m GROUP BY 1),
+dd AS (SELECT e.cell_id, e.label, c.label AS other, list_distance(e.vec, c.centre) AS d FROM emb e, c), ab AS (SELECT cell_id, label, max(CASE WHEN label = other THEN d END) AS a, min(CASE WHEN label <> other THEN d END) AS b FROM dd GROUP BY 1, 2)
+SELECT cell_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) + 0.0 AS silhouette FROM ab""")
+def c10_silhouette(spark, d):
+    return _rounded(cluster.silhouette(_emb(spark, d), _labels(spark, d)))
+
+
+# ---- differential expression
+
+_SIZES = """, groups AS (SELECT cell_id, batch AS grp FROM cells), gs AS (SELECT grp, count(*)::DOUBLE AS n1 FROM groups GROUP BY 1), allc AS (SELECT sum(n1) AS n_all FROM gs)"""
+_SUMS = _LAYER + _SIZES + """, own AS (SELECT grp, gene_id, sum(v) AS s, sum(v * v) AS q, count(*)::DOUBLE AS a FROM layer JOIN groups USING (cell_id) GROUP BY 1, 2),
+tot AS (SELECT gene_id, sum(s) AS ts, sum(q) AS tq, sum(a) AS ta FROM own GROUP BY 1), io AS (SELECT *, n_all - n1 AS n2 FROM own JOIN tot USING (gene_id) JOIN gs USING (grp), allc)"""
+
+
+@query(_SUMS + " SELECT grp, gene_id, round(s / n1, 6) AS mean_in, round(100 * a / n1, 6) AS pct_in FROM io")
+def e1_group_means(spark, d):
+    return _rounded(de.group_means(_layer(spark, d), _groups(spark, d)))
+
+
+@query(_SUMS + " SELECT grp, gene_id, round(s / n1, 6) AS mean_in, round((ts - s) / n2, 6) + 0.0 AS mean_out, round(s / n1 - (ts - s) / n2, 6) + 0.0 AS log_fc FROM io")
+def e2_log_fc(spark, d):
+    return _rounded(de.log_fc(_layer(spark, d), _groups(spark, d)))
+
+
+_P = """2 * 0.3989422804014327::DOUBLE * exp(-{z} * {z} / 2) * (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (0.319381530::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (-0.356563782::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (1.781477937::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (-1.821255978::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * 1.330274429::DOUBLE))))"""
+_RANKS = _LAYER + _SIZES + """, r AS (SELECT grp, gene_id, round(v, 6) AS v FROM layer JOIN groups USING (cell_id)),
+rk AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY v) + (count(*) OVER (PARTITION BY gene_id, v) - 1) / 2.0::DOUBLE AS rnk, count(*) OVER (PARTITION BY gene_id, v)::DOUBLE AS tie, count(*) OVER (PARTITION BY gene_id)::DOUBLE AS nnz FROM r),
+tt AS (SELECT gene_id, sum(tie * tie - 1) AS ties FROM rk GROUP BY 1), i AS (SELECT grp, gene_id, sum(rnk) AS r, count(*)::DOUBLE AS nnz1, max(nnz) AS nnz FROM rk GROUP BY 1, 2),
+j AS (SELECT *, n_all - n1 AS n2, n_all - nnz AS z0 FROM i JOIN tt USING (gene_id) JOIN gs USING (grp), allc),
+k AS (SELECT grp, gene_id, r + nnz1 * z0 + (n1 - nnz1) * (z0 + 1) / 2 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 2 AS mu, n1 * n2 / 12 * ((n_all + 1) - (ties + z0 * z0 * z0 - z0) / (n_all * (n_all - 1))) AS va FROM j),
+wx AS (SELECT grp, gene_id, u, CASE WHEN va > 1e-12 THEN (u - mu) / sqrt(greatest(va, 1e-12)) ELSE 0 END AS z FROM k)"""
+
+
+@query(_RANKS + f" SELECT grp, gene_id, round(u, 3) AS u, round(z, 5) + 0.0 AS z, round(least(1, {_P.format(z='z')}), 5) AS p FROM wx")
+def e3_wilcoxon(spark, d):
+    out = de.wilcoxon(_layer(spark, d), _groups(spark, d))
+    return out.select("grp", "gene_id", F.round("u", 3).alias("u"), (F.round("z", 5) + 0.0).alias("z"), F.round("p", 5).alias("p"))
+
+
+@query(_SUMS + """, w AS (SELECT grp, gene_id, n1, n2, s / n1 - (ts - s) / n2 AS df_, greatest(0, (q - s * s / n1) / (n1 - 1)) / n1 AS v1, greatest(0, ((tq - q) - (ts - s) * (ts - s) / n2) / (n2 - 1)) / n2 AS v2 FROM io)
+SELECT grp, gene_id, round(CASE WHEN v1 + v2 > 1e-12 THEN df_ / sqrt(v1 + v2) END, 5) + 0.0 AS t FROM w""")
+def e4_welch_statistic(spark, d):
+    return _rounded(de.welch_statistic(_layer(spark, d), _groups(spark, d)).select("grp", "gene_id", "t"), 5)
+
+
+@query()
+def e4_welch_t(spark, d):
+    return _rounded(de.welch_t(_layer(spark, d), _groups(spark, d)), 5)
+
+
+@query(_BASE + " SELECT nation, gene_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts JOIN cells USING (cell_id) GROUP BY 1, 2")
+def e5_pseudobulk(spark, d):
+    return de.pseudobulk(_counts(spark, d), _cells(spark, d), "nation")
+
+
+@query(f"SELECT k, round(least(1, {_P.format(z='(k / 100.0::DOUBLE)')}), 6) AS p FROM (SELECT l_orderkey % 600 AS k FROM lineitem GROUP BY 1)")
+def e6_normal_p(spark, d):
+    k = _table(spark, d, "lineitem").select((F.col("l_orderkey") % 600).alias("k")).distinct()
+    return _rounded(k.select("k", de.normal_p(F.col("k") / 100.0).alias("p")))
+
+
+@query("""WITH t AS (SELECT p_type AS grp, p_partkey AS gene_id, ((p_partkey * 7919) % 1000) / 1000.0::DOUBLE AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY grp ORDER BY p) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM t), x AS (SELECT *, p * m / rk AS raw FROM r)
+SELECT grp, gene_id, p, round(least(1, min(raw) OVER (PARTITION BY grp ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS q FROM x""")
+def e7_bh_adjust(spark, d):
+    tests = _table(spark, d, "part").select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") * 7919 % 1000 / 1000.0).alias("p"))
+    return _rounded(de.bh_adjust(tests))
+
+
+@query(_RANKS + ", s AS (SELECT grp, gene_id, round(z, 4) + 0.0 AS score FROM wx) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY score DESC, gene_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10")
+def e8_markers(spark, d):
+    return de.markers(de.wilcoxon(_layer(spark, d), _groups(spark, d)), 10, digits=4)
+
+
+@query(_SUMS + """, c AS (SELECT grp, gene_id, n_all, a, ta - a AS c, n1 - a AS b, n2 - (ta - a) AS d FROM io)
+SELECT grp, gene_id, round(coalesce(n_all * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 0), 5) AS chi2 FROM c""")
+def e9_chisq_pct(spark, d):
+    return _rounded(de.chisq_pct(_layer(spark, d), _groups(spark, d)).drop("p"), 5)
+
+
+# ---- outputs
+
+@query(_METRICS + " SELECT batch, count(*) AS n, " + ", ".join(f"round(quantile_cont(total, {q}), 6) AS q{int(q * 100)}" for q in outputs.QUANTILES) + " FROM metrics GROUP BY 1")
+def o1_violin_data(spark, d):
+    metrics = qc.cell_metrics(_counts(spark, d), _cells(spark, d)).join(_cells(spark, d).select("cell_id", "batch"), "cell_id")
+    return _rounded(outputs.violin_data(metrics, "total", "batch"))
+
+
+@query(_METRICS + " SELECT batch, CAST(floor(total / 100.0::DOUBLE) * 100 AS DOUBLE) AS bin, count(*) AS n FROM metrics GROUP BY 1, 2")
+def o1_hist_data(spark, d):
+    metrics = qc.cell_metrics(_counts(spark, d), _cells(spark, d)).join(_cells(spark, d).select("cell_id", "batch"), "cell_id")
+    return outputs.hist_data(metrics, "total", "batch", 100)
+
+
+@query(_METRICS + """, f AS (SELECT cell_id, sum(cnt) AS ins FROM counts JOIN sets USING (gene_id) WHERE set_name = (SELECT min(p_type) FROM part) GROUP BY 1)
+SELECT cell_id, total, n_genes, round(coalesce(ins / CAST(nullif(total, 0) AS DOUBLE), 0), 6) AS fraction FROM metrics LEFT JOIN f USING (cell_id)""")
+def o2_scatter_qc(spark, d):
+    counts, sets = _counts(spark, d), _gene_sets(spark, d)
+    name = sets.agg(F.min("set_name")).first()[0]
+    return _rounded(outputs.scatter_qc(qc.cell_metrics(counts, _cells(spark, d)), qc.gene_set_fraction(counts, sets), name))
+
+
+@query(_HVG + " SELECT gene_id, round(moments.mean, 6) AS mean, round(moments.variance, 6) AS variance, coalesce(rank <= 200, false) AS is_hvg FROM moments LEFT JOIN hvg USING (gene_id)")
+def o3_mean_variance(spark, d):
+    moments = norm.gene_moments(_layer(spark, d), _cells(spark, d).count())
+    return _rounded(outputs.mean_variance(moments, norm.hvg(moments, 200)).drop("dispersion"))
+
+
+@query()
+def o4_elbow(spark, d):
+    return _rounded(outputs.elbow(reduce.explained_variance(_layer(spark, d), _top_genes(spark, d), _cells(spark, d).count(), 10)))
+
+
+@query(_EMB + " SELECT cell_id, round(vec[1], 6) AS x, round(vec[2], 6) AS y, label AS cluster FROM emb")
+def o5_embedding_scatter(spark, d):
+    layout = _emb(spark, d).select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    return _rounded(outputs.embedding_scatter(layout, _labels(spark, d)))
+
+
+@query(_SUMS + " SELECT grp, gene_id, round(s / n1, 6) AS mean_in, round(100 * a / n1, 6) AS pct_in FROM io WHERE gene_id % 40 = 0")
+def o6_dotplot(spark, d):
+    return _rounded(outputs.dotplot(de.group_means(_layer(spark, d), _groups(spark, d)), _genes(spark, d).where("gene_id % 40 = 0")))
+
+
+@query(_SUMS + """, g AS (SELECT grp, gene_id, s / n1 AS mean_in FROM io WHERE gene_id % 40 = 0), m AS (SELECT gene_id, avg(mean_in) AS m, stddev_samp(mean_in) AS sd FROM g GROUP BY 1)
+SELECT grp, gene_id, round(coalesce((mean_in - m) / nullif(sd, 0), 0), 5) + 0.0 AS z FROM g JOIN m USING (gene_id)""")
+def o7_heatmap(spark, d):
+    return _rounded(outputs.heatmap(de.group_means(_layer(spark, d), _groups(spark, d)), _genes(spark, d).where("gene_id % 40 = 0")), 5)
+
+
+@query(_RANKS + f""", own AS (SELECT grp, gene_id, sum(v) AS s FROM layer JOIN groups USING (cell_id) GROUP BY 1, 2), tot AS (SELECT gene_id, sum(s) AS ts FROM own GROUP BY 1), fc AS (SELECT grp, gene_id, s / n1 - (ts - s) / (n_all - n1) AS log_fc FROM own JOIN tot USING (gene_id) JOIN gs USING (grp), allc),
+pp AS (SELECT grp, gene_id, round(least(1, {_P.format(z='z')}), 6) AS p FROM wx), rr AS (SELECT *, count(*) OVER (PARTITION BY grp ORDER BY p) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM pp), qq AS (SELECT grp, gene_id, least(1, min(p * m / rk) OVER (PARTITION BY grp ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM rr)
+SELECT grp, gene_id, round(log_fc, 5) + 0.0 AS log_fc, round(CASE WHEN q <= 1e-300 THEN 300 ELSE -log10(q) END, 3) + 0.0 AS neg_log10_q FROM qq JOIN fc USING (grp, gene_id)""")
+def o8_volcano(spark, d):
+    layer, groups = _layer(spark, d), _groups(spark, d)
+    tests = de.bh_adjust(de.wilcoxon(layer, groups).withColumn("p", F.round("p", 6)))
+    return outputs.volcano(tests, de.log_fc(layer, groups)).select("grp", "gene_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), (F.round("neg_log10_q", 3) + 0.0).alias("neg_log10_q"))
+
+
+@query("WITH n AS (SELECT lang AS label, source AS batch, count(*) AS n FROM documents GROUP BY 1, 2) SELECT label, batch, n, round(n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE), 6) AS share FROM n")
+def o9_composition(spark, d):
+    docs = _table(spark, d, "documents")
+    return _rounded(outputs.composition(docs.select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("label")), docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("batch")), "batch"))
+
+
+@query()
+def o10_provenance(spark, d):
+    counts = _counts(spark, d)
+    metrics = qc.cell_metrics(counts, _cells(spark, d))
+    return outputs.provenance(spark, "cell_metrics", {"cells": "customer"}, counts, metrics, run_id="fixed")

@@ -1,0 +1 @@
+"""No streaming operator is in scope: an expression matrix is a finished table."""
