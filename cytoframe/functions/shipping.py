@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 _PACKAGE = Path(__file__).resolve().parents[1]
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of a batch that Python gets; rows of long texts would else come 10,000 at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 

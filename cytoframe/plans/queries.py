@@ -91,7 +91,7 @@ _LAYER = _BASE + """, layer AS (SELECT cell_id, gene_id, ln(1 + cnt * 1e4 / CAST
 _METRICS = _BASE + """, own AS (SELECT cell_id, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS n_genes, max(cnt) AS max_count FROM counts GROUP BY 1),
 metrics AS (SELECT cell_id, coalesce(total, 0) AS total, coalesce(n_genes, 0) AS n_genes, coalesce(max_count, 0) AS max_count, batch FROM cells LEFT JOIN own USING (cell_id))"""
 _MOMENTS = _LAYER + """, moments AS (SELECT gene_id, sum(v) / n AS mean, greatest(0, (sum(v * v) - sum(v) * sum(v) / n) / (n - 1)) AS variance FROM layer, nc GROUP BY gene_id, n)"""
-_EMB = """WITH emb AS (SELECT vec_id AS cell_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"""
+_EMB = """WITH emb AS (SELECT vec_id AS cell_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"""
 _KNN = _EMB + """, sims AS (SELECT a.cell_id, b.cell_id AS neighbor, round(list_cosine_similarity(a.vec, b.vec), 6) + 0.0 AS similarity FROM emb a, emb b WHERE a.cell_id <> b.cell_id),
 near AS (SELECT * FROM (SELECT cell_id, neighbor, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY similarity DESC, neighbor) AS INTEGER) AS rank, similarity FROM sims) WHERE rank <= 5)"""
 _GRAPH = _KNN + """, graph AS (SELECT DISTINCT least(cell_id, neighbor) AS i, greatest(cell_id, neighbor) AS j, 1.0::DOUBLE AS w FROM near)"""
@@ -206,16 +206,16 @@ def n5_scale(spark, d):
     return _rounded(norm.scale(layer, norm.gene_moments(layer, _cells(spark, d).count()), 10.0), 5)
 
 
-_HVG = _MOMENTS + """, some AS (SELECT gene_id, round(mean, 9) AS mean, round(variance, 9) AS variance FROM moments WHERE round(mean, 9) > 0 AND round(variance, 9) > 0),
-binned AS (SELECT *, ln(variance / mean) AS dd, CAST(ntile(20) OVER (ORDER BY mean, gene_id) AS INTEGER) AS bin FROM some),
+_HVG = _MOMENTS + """, cand AS (SELECT gene_id, round(mean, 9) AS mean, round(variance, 9) AS variance FROM moments WHERE round(mean, 9) > 0 AND round(variance, 9) > 0),
+binned AS (SELECT *, ln(variance / mean) AS dd, CAST(ntile(20) OVER (ORDER BY mean, gene_id) AS INTEGER) AS bin FROM cand),
 scored AS (SELECT gene_id, mean, variance, bin, round(coalesce((dd - avg(dd) OVER (PARTITION BY bin)) / nullif(stddev_samp(dd) OVER (PARTITION BY bin), 0), 0), 6) AS dispersion FROM binned),
 hvg AS (SELECT *, CAST(row_number() OVER (ORDER BY dispersion DESC, gene_id) AS INTEGER) AS rank FROM scored)"""
 
 
-@query(_HVG + " SELECT gene_id, round(mean, 6) AS mean, round(variance, 6) AS variance, bin, round(dispersion, 4) + 0.0 AS dispersion, rank <= 200 AS is_hvg FROM hvg")
+@query(_HVG + " SELECT gene_id, round(mean, 6) AS mean, round(variance, 6) AS variance, bin, dispersion + 0.0 AS dispersion, rank <= 200 AS is_hvg FROM hvg")
 def n6_hvg(spark, d):
     found = norm.hvg(norm.gene_moments(_layer(spark, d), _cells(spark, d).count()), 200)
-    return _rounded(found.drop("rank")).withColumn("dispersion", F.round("dispersion", 4) + 0.0)
+    return _rounded(found.drop("rank"))
 
 
 @query(_LAYER + """, t AS (SELECT sum(x) AS sx, sum(x * x) AS sxx FROM cells), s AS (SELECT gene_id, sum(v) AS sy, sum(v * x) AS sxy FROM layer JOIN cells USING (cell_id) GROUP BY 1),
@@ -302,9 +302,9 @@ def _first_centroids(spark: SparkSession, d: str) -> DataFrame:
     return _emb(spark, d).where("cell_id < 6").select(F.col("cell_id").cast("int").alias("label"), "vec")
 
 
-@query(_EMB + """, dist AS (SELECT e.cell_id, e.vec, CAST(c.cell_id AS INTEGER) AS label, row_number() OVER (PARTITION BY e.cell_id ORDER BY round(list_sum(list_transform(list_zip(e.vec, c.vec), p -> (p[1] - p[2]) * (p[1] - p[2]))), 9), c.cell_id) AS r FROM emb e, emb c WHERE c.cell_id < 6),
-a AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS at FROM dist WHERE r = 1)
-SELECT label, CAST(at - 1 AS INTEGER) AS at, count(*) AS n, round(avg(x), 6) + 0.0 AS x FROM a GROUP BY 1, 2""")
+@query(_EMB + """, dist AS (SELECT e.cell_id, e.vec, CAST(c.cell_id AS INTEGER) AS label, row_number() OVER (PARTITION BY e.cell_id ORDER BY round(list_sum(list_transform(list_zip(e.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), c.cell_id) AS r FROM emb e, emb c WHERE c.cell_id < 6),
+a AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM dist WHERE r = 1)
+SELECT label, CAST(pos - 1 AS INTEGER) AS "at", count(*) AS n, round(avg(x), 6) + 0.0 AS x FROM a GROUP BY 1, 2""")
 def c2_kmeans_step(spark, d):
     step = cluster.kmeans_step(_emb(spark, d), _first_centroids(spark, d))
     return _rounded(step.select("label", F.posexplode("vec").alias("at", "x"), "n"))
@@ -331,7 +331,7 @@ def c4_connected_components(spark, d):
 
 @query()
 def c5_louvain(spark, d):
-    return cluster.louvain(_graph(spark, d))
+    return cluster.louvain(_graph(spark, d), levels=2, rounds=4)
 
 
 @query()
@@ -372,7 +372,7 @@ def c9_agreement(spark, d):
     return _rounded(cluster.agreement(docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("label")), docs.select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("truth"))))
 
 
-@query(_EMB + """, m AS (SELECT label, at, avg(x) AS x FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS at FROM emb) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY at) AS centre FROM m GROUP BY 1),
+@query(_EMB + """, m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM emb) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY pos) AS centre FROM m GROUP BY 1),
 dd AS (SELECT e.cell_id, e.label, c.label AS other, list_distance(e.vec, c.centre) AS d FROM emb e, c), ab AS (SELECT cell_id, label, max(CASE WHEN label = other THEN d END) AS a, min(CASE WHEN label <> other THEN d END) AS b FROM dd GROUP BY 1, 2)
 SELECT cell_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) + 0.0 AS silhouette FROM ab""")
 def c10_silhouette(spark, d):
