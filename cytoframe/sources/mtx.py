@@ -10,7 +10,7 @@ from .ingest import canonicalize
 
 def _names(spark: SparkSession, path: str, id_name: str, name: str) -> DataFrame:
     """Line k names row or column k; the list is read as one value, which keeps its order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\r?\n")).alias("at", "line"))
     return lines.select((F.col("at") + 1).cast("long").alias(id_name), F.split("line", "\t")[0].alias(name))
 
 
