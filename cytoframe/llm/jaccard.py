@@ -9,8 +9,8 @@ the next finer partitioning, and so on, until it has enough: no pair is lost.
 
 Rows that share a signature are joined as stars, not pairs; stars are verified on the
 whole sets; components follow. Then only groups that still span several components are
-looked at again, for pairs across components. Sketches of 512 parity bits discard pairs
-that provably differ too much before whole sets are fetched.
+looked at again, for pairs across components. Sketches of parity bits, about one for each
+feature, discard pairs that provably differ too much before whole sets are fetched.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import cut
-from .words import U, Slice, batch_of, mix, rolling, slices
+from .words import Slice, U, batch_of, lean, mix, rolling, slices
 
 SHINGLE = 5
 #: Two sets link if PER_HUNDRED * union <= 100 * intersection.
@@ -33,7 +33,6 @@ PER_HUNDRED = 80
 BAND_RATIO = 1.6
 #: Parts of a band, as a multiple of the differences that linked sets may have.
 PARTS = 1.2
-SKETCH = 64
 _NO_KEY = -(1 << 63)
 _A, _B, _C = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -94,12 +93,32 @@ def shingle_sets(s: Slice, size: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+def sketch_words(size: int) -> int:
+    """64-bit words of the sketch of a set of this size: a power of two."""
+    return 1 << max(0, size - 1 >> 6).bit_length()
+
+
 def sketch(features: np.ndarray) -> bytes:
-    """512 parity bits: two sets differ in at least as many features as their sketches in bits."""
-    odd = np.bincount((mix(features ^ _A) >> U(55)).astype(np.int64), minlength=8 * SKETCH) & 1
+    """Parity bits: two sets differ in at least as many features as their sketches in bits."""
+    bits = 64 * sketch_words(len(features))
+    odd = np.bincount((mix(features ^ _A) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketch words as sketches of fewer bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that differ in ``apart`` features at least can link."""
+    sizes = 100 * np.minimum(n_a, n_b) >= PER_HUNDRED * np.maximum(n_a, n_b)
+    return sizes & (apart * (100 + PER_HUNDRED) <= (n_a + n_b) * (100 - PER_HUNDRED))
+
+
 _SETS = "key long, n long, set1 long, set2 long, signatures binary, sketch binary"
 
 
@@ -118,42 +137,48 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield batch_of(schema, batch.column(0).slice(s.first, s.n), *(list(c) for c in zip(*rows)))
 
 
-_BLOBS = "bucket int, signatures binary, classes binary, groups binary"
-_BLOB_SCHEMA = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("classes", pa.binary()), ("groups", pa.binary())])
+_BLOBS = "bucket int, signatures binary, classes binary"
+_BLOB_SCHEMA = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("classes", pa.binary())])
 #: Signatures gathered by a task before they are dealt to buckets.
-_DEAL = 1 << 20
+_DEAL = 1 << 18
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (class, group, signatures) to one row per bucket with many signatures: few, compact rows to shuffle."""
-
-    def blobs(kept: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        sig = np.concatenate([x[2] for x in kept])
-        sizes = [len(x[2]) for x in kept]
-        cls, group = (np.repeat(np.array([x[i] for x in kept], np.int64), sizes) for i in (0, 1))
-        bucket = (sig % U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, sig, cls, group = bucket[order], sig[order], cls[order], group[order]
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(first[1:], len(bucket))
-        return batch_of(_BLOB_SCHEMA, bucket[first], *([x[a:b].tobytes() for a, b in zip(first, ends)] for x in (sig, cls, group)))
+def _cut_by_bucket(sig: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """An order that brings buckets together, the buckets, and where each one's part begins and ends."""
+    bucket = (sig % U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return order, bucket[first], list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)]))
 
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows, the last column as signatures, in lists of about _DEAL signatures."""
     kept, held = [], 0
     for batch in batches:
-        classes, groups, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        for c, g, x in zip(classes, groups, found):
-            kept.append((c, g, np.frombuffer(x.as_buffer(), U)))
-            held += len(kept[-1][2])
+        for *row, x in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+            kept.append((*row, np.frombuffer(x.as_buffer(), U)))
+            held += len(kept[-1][-1])
             if held >= _DEAL:
-                yield blobs(kept)
+                yield kept
                 kept, held = [], 0
     if held:
-        yield blobs(kept)
+        yield kept
+
+
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (class, signatures) to one row per bucket with many signatures: few, compact rows to shuffle."""
+    for kept in _gathered(batches):
+        sig = np.concatenate([x[-1] for x in kept])
+        cls = np.repeat(np.array([x[0] for x in kept], np.int64), [len(x[-1]) for x in kept])
+        order, bucket, parts = _cut_by_bucket(sig, buckets)
+        sig, cls = sig[order], cls[order]
+        yield batch_of(_BLOB_SCHEMA, bucket, *([x[a:b].tobytes() for a, b in parts] for x in (sig, cls)))
 
 
 _PAIRS = "a long, b long"
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_COMPACT = 1 << 21
+_COMPACT = 1 << 19
 
 
 def _different(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -161,22 +186,26 @@ def _different(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return batch_of(_PAIR_SCHEMA, pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
+_STARS = "signature long, a long, b long"
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(least class met so far, class) for the classes of each signature. Holds one class per signature, however many rows share it."""
+    """(signature, least class met so far, class) for the other classes of each signature. Holds one class per signature, however many rows share it."""
+    schema = pa.schema([(c, pa.int64()) for c in ("signature", "a", "b")])
     sig, cls, fresh = np.zeros(0, U), np.zeros(0, np.int64), []
 
-    def compact():
+    def compact() -> pa.RecordBatch:
         nonlocal sig, cls, fresh
         s = np.concatenate([sig, *(x[0] for x in fresh)])
         c = np.concatenate([cls, *(x[1] for x in fresh)])
         order = np.lexsort((c, s))
         s, c, fresh = s[order], c[order], []
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        new = np.concatenate([[True], s[1:] != s[:-1]])
         first = np.flatnonzero(new)
         centre = c[first][np.cumsum(new) - 1]
-        other = centre != c
+        other = (centre != c) & np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
         sig, cls = s[first], c[first]
-        return centre[other], c[other]
+        return batch_of(schema, s[other].view(np.int64), centre[other], c[other])
 
     held = 0
     for batch in batches:
@@ -184,41 +213,47 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh.append((np.frombuffer(s.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int64)))
             held += len(fresh[-1][0])
             if held >= _COMPACT:
-                a, b = compact()
+                yield compact()
                 held = 0
-                if len(a):
-                    yield _different(a, b)
     if held:
-        a, b = compact()
-        if len(a):
-            yield _different(a, b)
+        yield compact()
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components that share a signature, a block at a time."""
-    got = [tuple(np.frombuffer(col.as_buffer(), kind) for col, kind in zip(row, (U, np.int64, np.int64))) for batch in batches for row in zip(*batch.columns[1:])]
-    if not got:
+    """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out."""
+    numbers, sketches = [], []
+    for batch in batches:
+        numbers.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]))
+        sketches += [np.frombuffer(v.as_py(), U) for v in batch.column(4)]
+    if not sketches:
         return
-    sig, cls, comp = (np.concatenate([x[i] for x in got]) for i in range(3))
-    order = np.lexsort((cls, comp, sig))
-    sig, cls, comp = sig[order], cls[order], comp[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        if comp[lo] == comp[hi - 1]:
+    sig, cls, comp, size = np.concatenate(numbers, axis=1)
+    place = np.argsort(sig, kind="stable")
+    sig = sig[place]
+    edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+    held, n = [], 0
+    for lo, hi in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+        own = place[lo:hi]
+        groups, which, count = np.unique(comp[own], return_inverse=True, return_counts=True)
+        if len(groups) == 1:
             continue
-        starts = np.append(lo + np.flatnonzero(np.concatenate([[True], comp[lo + 1 : hi] != comp[lo : hi - 1]])), hi)
-        for a, b in zip(starts[:-1], starts[1:]):
-            if b == hi:
-                break
-            for i in range(a, b):  # one class against all of later components
-                rest = cls[b:hi]
-                held.append((np.minimum(cls[i], rest), np.maximum(cls[i], rest)))
+        # Components from the smallest to the largest: members of one meet all members of later ones, so the largest one's are never looped over.
+        rank = np.empty(len(groups), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(groups))
+        own = own[np.argsort(rank[which], kind="stable")]
+        ends = np.cumsum(np.sort(count, kind="stable"))
+        words = min(len(sketches[i]) for i in own)
+        matrix = np.concatenate([folded(sketches[i][None, :], words) for i in own])
+        sizes, classes = size[own], cls[own]
+        for i, end in zip(range(int(ends[-2])), np.repeat(ends[:-1], np.diff(ends[:-1], prepend=0)).tolist()):
+            apart = np.bitwise_count(matrix[end:] ^ matrix[i]).sum(1, dtype=np.int64)
+            rest = classes[end:][may_link(sizes[end:], sizes[i], apart)]
+            if len(rest):
+                held.append((np.minimum(classes[i], rest), np.maximum(classes[i], rest)))
                 n += len(rest)
-                if n >= _COMPACT:
-                    yield _different(*(np.concatenate([x[j] for x in held]) for j in (0, 1)))
-                    held, n = [], 0
+        if n >= _COMPACT:
+            yield _different(*(np.concatenate([x[j] for x in held]) for j in (0, 1)))
+            held, n = [], 0
     if held:
         yield _different(*(np.concatenate([x[j] for x in held]) for j in (0, 1)))
 
@@ -233,10 +268,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         a, b, rep_a, rep_b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(i)), U).reshape(-1, SKETCH // 8) for i in (6, 7))
-        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int32)
-        total = n_a + n_b
-        ok = (100 * np.minimum(n_a, n_b) >= PER_HUNDRED * np.maximum(n_a, n_b)) & (apart * (100 + PER_HUNDRED) <= total * (100 - PER_HUNDRED))
+        x, y = ([np.frombuffer(v.as_buffer(), U)[None, :] for v in batch.column(i)] for i in (6, 7))
+        apart = np.array([np.bitwise_count(folded(p, q.shape[1]) ^ folded(q, p.shape[1])).sum() for p, q in zip(x, y)], np.int32)
+        ok = may_link(n_a, n_b, apart)
         yield batch_of(schema, a[ok], b[ok], rep_a[ok], rep_b[ok], apart[ok])
 
 
@@ -277,47 +311,47 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
     """
     spark = df.sparkSession
     source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.col(text).alias("text"))
-    described = cut(source.mapInArrow(lambda it: _describe(it, shingle), _SETS), "shingle-sets")
+    described = cut(source.mapInArrow(lambda it: lean(_describe(it, shingle)), _SETS), "shingle-sets")
     classes = cut(described.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("key").alias("rep")), "set-classes")
 
-    # Buckets of about a million signatures, at least as many as shuffle partitions.
+    # Buckets of about half a million signatures, at least as many as shuffle partitions.
     amount = described.agg(F.sum(F.octet_length("signatures"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), amount // 8_000_000)
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(lambda it: _deal(it, buckets), _BLOBS).repartition(buckets, "bucket")
-
-    wanted = described.where("n > 0")
-    stars = cut(dealt(wanted.select("set1", F.lit(0).cast("long"), "signatures")).mapInArrow(_stars, _PAIRS).distinct(), "stars")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), amount // 4_000_000)
 
+    wanted = described.where("n > 0").select("set1", "signatures")
+    blobs = wanted.mapInArrow(lambda it: lean(_deal(it, buckets)), _BLOBS).repartition(buckets, "bucket")
+    shared = cut(blobs.mapInArrow(lambda it: lean(_stars(it)), _STARS), "shared-signatures")
     profile = classes.join(described.select("key", "set1", "set2", "sketch"), (F.col("key") == F.col("rep")) & (classes.set1 == described.set1) & (classes.set2 == described.set2))
     profile = profile.select(classes.set1.alias("class"), "n", "rep", "sketch").dropDuplicates(["class", "rep", "n"])
-    touched = stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
+    touched = shared.select(F.col("a").alias("class")).union(shared.select("b")).distinct()
     profile = cut(profile.join(touched, "class"), "profiles")
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (profile.select(*(F.col(c).alias(f"{c}_{side}") for c in profile.columns)) for side in "ab")
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
-        return both.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near, _NEAR)
+        return both.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: lean(_near(it)), _NEAR)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs those that link, judged on whole sets."""
         ends = pairs.select(F.col("a").alias("class"), F.col("rep_a").alias("rep")).union(pairs.select("b", "rep_b")).distinct()
         members = source.join(ends, source.key == ends.rep).select("class", "text")
-        sets = cut(members.mapInArrow(lambda it: _features(it, shingle), _SET).dropDuplicates(["class"]), "sets")
+        sets = cut(members.mapInArrow(lambda it: lean(_features(it, shingle)), _SET).dropDuplicates(["class"]), "sets")
         a, b = (sets.select(F.col("class").alias(f"class_{side}"), F.col("features").alias(f"features_{side}")) for side in "ab")
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
-        return cut(both.select("a", "b", "rep_a", "rep_b", "features_a", "features_b").mapInArrow(_verify, _LINKS), name)
+        return cut(both.select("a", "b", "rep_a", "rep_b", "features_a", "features_b").mapInArrow(lambda it: lean(_verify(it)), _LINKS), name)
 
     # First each class's most promising star, then, where components still share a signature, the rest.
+    stars = shared.select("a", "b").distinct()
     best = near(stars).groupBy("b", "rep_b").agg(F.min(F.struct("apart", "a", "rep_a")).alias("to")).select("to.a", "b", "to.rep_a", "rep_b")
     links = verified(cut(best, "best-stars"), "first-links")
     first = components(links.select("rep_a", "rep_b"))
 
-    labelled = profile.join(first, profile.rep == first.node, "left").select("class", F.coalesce("component", "rep").alias("group"))
-    labelled = labelled.groupBy("class").agg(F.min("group").alias("group"))
-    again = wanted.join(labelled, wanted.set1 == labelled["class"]).groupBy("set1", "group").agg(F.first("signatures").alias("signatures"))
-    more = cut(near(dealt(again.select("set1", "group", "signatures")).mapInArrow(_across, _PAIRS).distinct()), "across")
+    labelled = profile.join(first, profile.rep == first.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "rep")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    members = shared.select("signature", F.col("b").alias("class")).union(shared.select("signature", "a")).distinct()
+    tagged = cut(members.join(labelled.select("class", "group"), "class"), "shared-members")
+    open_ = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
+    open_ = tagged.join(open_, "signature").join(labelled.select("class", "n", "sketch"), "class").select("signature", "class", "group", "n", "sketch")
+    more = cut(near(open_.repartition(buckets, "signature").mapInArrow(lambda it: lean(_across(it)), _PAIRS).distinct()), "across")
     links = links.union(verified(more.select("a", "b", "rep_a", "rep_b"), "more-links"))
     found = components(links.select("rep_a", "rep_b"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import batch_of, text_buffers
+from .words import batch_of, lean, text_buffers
 
 WIDTH = 128
 HIDDEN = 8
@@ -247,4 +247,4 @@ def identify(df: DataFrame, sample: Sample = Sample(), training: Training = Trai
     net = train([w.encode() for _, w in windows], [v for v, _ in windows], training, sample.width) if windows else None
     out = _OUT + ", spans array<struct<start: long, end: long, lang: string>>" * spans
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _identify(it, net, spans), out)
+    return rows.mapInArrow(lambda it: lean(_identify(it, net, spans)), out)

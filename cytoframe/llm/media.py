@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import batch_of, text_buffers
+from .words import batch_of, lean, text_buffers
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID = 188, 0x47, 0x0000
@@ -223,7 +223,7 @@ def to_transport_streams(df: DataFrame, text: str = "text", key: str = "doc_id")
     Returns doc_id, n_bytes (before padding), media. Null and empty text: 64 bytes 0.
     One row out for each row in, repeated and null keys too; other columns are not read.
     """
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_write_batches, _MEDIA)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_write_batches(it)), _MEDIA)
 
 
 def read_transport_streams(df: DataFrame) -> DataFrame:
@@ -232,4 +232,4 @@ def read_transport_streams(df: DataFrame) -> DataFrame:
     A stream that is damaged beyond its continuity counters raises MediaError; counted
     discontinuities are reported in continuity_errors.
     """
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(_read_batches, _READ)
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(lambda it: lean(_read_batches(it)), _READ)

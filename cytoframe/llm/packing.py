@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .words import batch_of
+from .words import batch_of, lean
 
 CAPACITY, END_ID = 4096, 1
 SALTS = 256
@@ -183,7 +183,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     empty texts make one piece of the end id alone. Other columns are not read.
     """
     out = _PIECES + ", ids array<int>" * with_ids
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id, with_ids), out)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_pieces(it, tokenizer, capacity, end_id, with_ids)), out)
 
 
 class Plan:
@@ -309,4 +309,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("rank", rank).join(before, ["length", "salt"])
     placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before") - 1).alias("rank"))
-    return placed.mapInArrow(lambda it: _place(it, plan), _PLACED)
+    return placed.mapInArrow(lambda it: lean(_place(it, plan)), _PLACED)

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import batch_of
+from .words import batch_of, lean
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -220,4 +220,4 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", key: str = "doc
     path that every executor can open.
     """
     out = _OUT + ", ids array<int>, decoded string" * with_ids
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: _encode(it, model, with_ids), out)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_encode(it, model, with_ids)), out)

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Slice, batch_of, mix, rolling, slices, windows
+from .words import Slice, batch_of, lean, mix, rolling, slices, windows
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -116,7 +116,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", key: str =
     back unchanged). Null and empty texts: no words, so base_failed. One row out for
     each row in, null and repeated keys too; other columns are not read. Nothing is shuffled.
     """
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: _judge(it, rules), _OUT)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_judge(it, rules)), _OUT)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], rules: Rules, at: int, chars: int) -> Iterator[pa.RecordBatch]:
@@ -137,4 +137,4 @@ def clean_documents(df: DataFrame, rules: Rules = Rules(), text: str = "text", c
     All columns stay; a row with a null text goes, having no words. Nothing is shuffled.
     """
     at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
-    return df.mapInArrow(lambda it: _clean(it, rules, at, length), df.schema)
+    return df.mapInArrow(lambda it: lean(_clean(it, rules, at, length)), df.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .words import Slice, U, batch_of, mix, rolling, slices, windows
+from .words import Slice, U, batch_of, lean, mix, rolling, slices, windows
 
 WINDOW = 20
 #: Rounds after which a core's least run of GRAM symbols names its window.
@@ -220,7 +220,7 @@ def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
     has it; minima taken before the exchange and splittable joins take it. Lists are of one
     row's windows.
     """
-    names = source.mapInArrow(lambda it: _names(it, window), _NAMES)
+    names = source.mapInArrow(lambda it: lean(_names(it, window)), _NAMES)
     shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
     met = names.join(shared, ["name", "check"])
     per_row = cut(
@@ -228,7 +228,7 @@ def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
         "shared-names",
     )
     candidates = per_row.where("not copy and size(names) > 0").select("key", "names")
-    found = cut(source.join(candidates, "key").select("key", "text", "names").mapInArrow(lambda it: _windows(it, window), _WINDOWS), "windows")
+    found = cut(source.join(candidates, "key").select("key", "text", "names").mapInArrow(lambda it: lean(_windows(it, window)), _WINDOWS), "windows")
     first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
     seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list("hash").alias("seen"))
     marks = seen.join(per_row.where("copy").select("key", "copy"), "key", "full_outer")
@@ -250,7 +250,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     """
     source = df.select(_key(key).alias("key"), F.col(text).alias("text"))
     marked = source.join(repeats(source, window), "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "seen")
-    removed = marked.mapInArrow(lambda it: _remove(it, window), _OUT)
+    removed = marked.mapInArrow(lambda it: lean(_remove(it, window)), _OUT)
     return removed.select(F.expr(f"nullif(key, {_NO_KEY + 1}L - 1L)").alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
@@ -266,4 +266,4 @@ def rewrite_documents(df: DataFrame, window: int = WINDOW, text: str = "text", k
     marked = rows.join(marks, rows.key_ == marks.key, "left").select(*own, F.coalesce("copy", F.lit(False)).alias("copy_"), F.col("seen").alias("seen_"))
     at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
     out = marked.select(*own).schema
-    return marked.mapInArrow(lambda it: _rewrite(it, window, at, length), out).toDF(*df.columns)
+    return marked.mapInArrow(lambda it: lean(_rewrite(it, window, at, length)), out).toDF(*df.columns)
