@@ -8,8 +8,9 @@ empty, so the pair shares a signature. A set with too few such parts also takes
 the next finer partitioning, and so on, until it has enough: no pair is lost.
 
 Rows that share a signature are joined as stars, not pairs; stars are verified on the
-whole sets; components follow. Then only groups that still span several components are
-looked at again, for pairs across components. Sketches of parity bits, about one for each
+whole sets; components follow. Then only signatures that still span several components are
+looked at again: first for each class's closest one in another component, at last for all
+pairs across components. Sketches of parity bits, about one for each
 feature, discard pairs that provably differ too much before whole sets are fetched.
 """
 
@@ -30,9 +31,9 @@ SHINGLE = 5
 #: Two sets link if PER_HUNDRED * union <= 100 * intersection.
 PER_HUNDRED = 80
 #: Ratio of a band's start to the one before.
-BAND_RATIO = 1.6
+BAND_RATIO = 1.3
 #: Parts of a band, as a multiple of the differences that linked sets may have.
-PARTS = 1.2
+PARTS = 1.16
 _NO_KEY = -(1 << 63)
 _A, _B, _C = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -176,22 +177,17 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield batch_of(_BLOB_SCHEMA, bucket, *([x[a:b].tobytes() for a, b in parts] for x in (sig, cls)))
 
 
-_PAIRS = "a long, b long"
-_PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_COMPACT = 1 << 19
-
-
-def _different(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    return batch_of(_PAIR_SCHEMA, pairs[:, 0].copy(), pairs[:, 1].copy())
-
-
+#: Stars of a class that are verified at first; later rounds see all others.
+STARS = 8
+#: Rounds in which each class meets its closest one in another component, before all meet.
+CLOSEST = 2
 _STARS = "signature long, a long, b long"
+_STAR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("signature", "a", "b")])
+_COMPACT = 1 << 19
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(signature, least class met so far, class) for the other classes of each signature. Holds one class per signature, however many rows share it."""
-    schema = pa.schema([(c, pa.int64()) for c in ("signature", "a", "b")])
     sig, cls, fresh = np.zeros(0, U), np.zeros(0, np.int64), []
 
     def compact() -> pa.RecordBatch:
@@ -205,7 +201,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = c[first][np.cumsum(new) - 1]
         other = (centre != c) & np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
         sig, cls = s[first], c[first]
-        return batch_of(schema, s[other].view(np.int64), centre[other], c[other])
+        return batch_of(_STAR_SCHEMA, s[other].view(np.int64), centre[other], c[other])
 
     held = 0
     for batch in batches:
@@ -219,8 +215,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compact()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out."""
+def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out: every one, or each class's closest."""
+
+    def written() -> pa.RecordBatch:
+        a, b = (np.concatenate([x[j] for x in held]) for j in (1, 2))
+        return batch_of(_STAR_SCHEMA, np.concatenate([np.full(len(x[1]), x[0]) for x in held]), np.minimum(a, b), np.maximum(a, b))
+
     numbers, sketches = [], []
     for batch in batches:
         numbers.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]))
@@ -231,7 +232,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place = np.argsort(sig, kind="stable")
     sig = sig[place]
     edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
-    held, n = [], 0
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    n = 0
     for lo, hi in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
         own = place[lo:hi]
         groups, which, count = np.unique(comp[own], return_inverse=True, return_counts=True)
@@ -247,47 +249,47 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, classes = size[own], cls[own]
         for i, end in zip(range(int(ends[-2])), np.repeat(ends[:-1], np.diff(ends[:-1], prepend=0)).tolist()):
             apart = np.bitwise_count(matrix[end:] ^ matrix[i]).sum(1, dtype=np.int64)
-            rest = classes[end:][may_link(sizes[end:], sizes[i], apart)]
+            rest = end + np.flatnonzero(may_link(sizes[end:], sizes[i], apart))
+            if not every and len(rest) > 1:
+                rest = rest[apart[rest - end].argmin()][None]
             if len(rest):
-                held.append((np.minimum(classes[i], rest), np.maximum(classes[i], rest)))
+                held.append((sig[lo], np.full(len(rest), classes[i]), classes[rest]))
                 n += len(rest)
         if n >= _COMPACT:
-            yield _different(*(np.concatenate([x[j] for x in held]) for j in (0, 1)))
+            yield written()
             held, n = [], 0
     if held:
-        yield _different(*(np.concatenate([x[j] for x in held]) for j in (0, 1)))
+        yield written()
 
 
-_NEAR = "a long, b long, rep_a long, rep_b long, apart int"
+_NEAR = "a long, b long"
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and sketches don't rule a link out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("rep_a", pa.int64()), ("rep_b", pa.int64()), ("apart", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b, rep_a, rep_b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        x, y = ([np.frombuffer(v.as_buffer(), U)[None, :] for v in batch.column(i)] for i in (6, 7))
+        a, b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        x, y = ([np.frombuffer(v.as_buffer(), U)[None, :] for v in batch.column(i)] for i in (4, 5))
         apart = np.array([np.bitwise_count(folded(p, q.shape[1]) ^ folded(q, p.shape[1])).sum() for p, q in zip(x, y)], np.int32)
         ok = may_link(n_a, n_b, apart)
-        yield batch_of(schema, a[ok], b[ok], rep_a[ok], rep_b[ok], apart[ok])
-
-
-_LINKS = "a long, b long, rep_a long, rep_b long"
+        yield batch_of(schema, a[ok], b[ok])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "rep_a", "rep_b")])
+    """Pairs (a, b, set of a, set of b) that link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         ok = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
             x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             both = np.concatenate([x, y])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             ok[i] = 100 * common >= PER_HUNDRED * (len(x) + len(y) - common)
-        yield batch_of(schema, *(batch.column(i).to_numpy(zero_copy_only=False)[ok] for i in range(4)))
+        yield batch_of(schema, *(batch.column(i).to_numpy(zero_copy_only=False)[ok] for i in range(2)))
 
 
 _SET = "class long, features binary"
@@ -327,33 +329,41 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
     profile = cut(profile.join(touched, "class"), "profiles")
 
     def near(pairs: DataFrame) -> DataFrame:
-        a, b = (profile.select(*(F.col(c).alias(f"{c}_{side}") for c in profile.columns)) for side in "ab")
+        a, b = (profile.select(*(F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "sketch"))) for side in "ab")
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
-        return both.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: lean(_near(it)), _NEAR)
+        return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: lean(_near(it)), _NEAR)
+
+    reps = profile.select("class", "rep")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs those that link, judged on whole sets."""
-        ends = pairs.select(F.col("a").alias("class"), F.col("rep_a").alias("rep")).union(pairs.select("b", "rep_b")).distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs of classes those that link, judged on whole sets, as pairs of least keys."""
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class")
         members = source.join(ends, source.key == ends.rep).select("class", "text")
         sets = cut(members.mapInArrow(lambda it: lean(_features(it, shingle)), _SET).dropDuplicates(["class"]), "sets")
         a, b = (sets.select(F.col("class").alias(f"class_{side}"), F.col("features").alias(f"features_{side}")) for side in "ab")
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
-        return cut(both.select("a", "b", "rep_a", "rep_b", "features_a", "features_b").mapInArrow(lambda it: lean(_verify(it)), _LINKS), name)
+        found = both.select("a", "b", "features_a", "features_b").mapInArrow(lambda it: lean(_verify(it)), _NEAR)
+        a, b = (reps.select(F.col("class").alias(side), F.col("rep").alias(f"rep_{side}")) for side in "ab")
+        return cut(found.join(a, "a").join(b, "b").select("rep_a", "rep_b"), "links")
 
-    # First each class's most promising star, then, where components still share a signature, the rest.
-    stars = shared.select("a", "b").distinct()
-    best = near(stars).groupBy("b", "rep_b").agg(F.min(F.struct("apart", "a", "rep_a")).alias("to")).select("to.a", "b", "to.rep_a", "rep_b")
-    links = verified(cut(best, "best-stars"), "first-links")
-    first = components(links.select("rep_a", "rep_b"))
+    # First the stars with which a class shares most signatures.
+    weight = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    ranked = weight.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "a")), asc=False), 1, STARS).alias("to"))
+    links = verified(cut(near(ranked.select(F.explode("to.a").alias("a"), "b")), "stars"))
+    found = components(links)
 
-    labelled = profile.join(first, profile.rep == first.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "rep")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     members = shared.select("signature", F.col("b").alias("class")).union(shared.select("signature", "a")).distinct()
-    tagged = cut(members.join(labelled.select("class", "group"), "class"), "shared-members")
-    open_ = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
-    open_ = tagged.join(open_, "signature").join(labelled.select("class", "n", "sketch"), "class").select("signature", "class", "group", "n", "sketch")
-    more = cut(near(open_.repartition(buckets, "signature").mapInArrow(lambda it: lean(_across(it)), _PAIRS).distinct()), "across")
-    links = links.union(verified(more.select("a", "b", "rep_a", "rep_b"), "more-links"))
-    found = components(links.select("rep_a", "rep_b"))
+    for turn in range(CLOSEST + 1):
+        labelled = profile.join(found, profile.rep == found.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "rep")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+        tagged = cut(members.join(labelled.select("class", "group"), "class").select("signature", "class", "group"), "members")
+        spans = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
+        open_ = tagged.join(spans, "signature").join(labelled.select("class", "n", "sketch"), "class").select("signature", "class", "group", "n", "sketch")
+        every = turn == CLOSEST
+        pairs = cut(open_.repartition(buckets, "signature").mapInArrow(lambda it, every=every: lean(_across(it, every)), _STARS), "pairs")
+        links = links.union(verified(pairs.select("a", "b").distinct()))
+        found = components(links)
+        # A signature of which no pair is left to judge is done with.
+        members = tagged.join(pairs.select("signature").distinct(), "signature", "left_semi").select("signature", "class")
 
     to = classes.join(found, classes.rep == found.node, "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("to"))
     out = described.select("key", "n", "set1", "set2").join(to, ["set1", "set2", "n"], "left")
