@@ -96,7 +96,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
-        pending: list[tuple[int, list[bytes], list[bytes | None]]] = []
+        pending: list[tuple[int, list[bytes], list[bytes | None], list[int]]] = []
         missing: dict[bytes, bytes] = {}
         young, old = self.young.get, self.old.get
         for text in texts:
@@ -109,36 +109,32 @@ class ChunkEncoder:
                 out.append(self.whole(text))
                 continue
             parts = list(map(young, chunks))
-            if None in parts:
-                waiting = False
-                for i, p in enumerate(parts):
-                    if p is None:
-                        c = chunks[i]
-                        found = old(c)
-                        if found is not None:
-                            self.young[c] = parts[i] = found
-                        else:
-                            waiting = True
-                            stem, last = self._parted(c)
-                            if young(stem) is None and old(stem) is None:
-                                missing[stem] = b""
-                            if last and young(last) is None and old(last) is None:
-                                missing[last] = b""
-                if waiting:
-                    pending.append((len(out), chunks, parts))
-                    out.append(b"")
-                    continue
+            holes = [i for i, p in enumerate(parts) if p is None]
+            waiting = []
+            for i in holes:
+                c = chunks[i]
+                found = old(c)
+                if found is not None:
+                    self.young[c] = parts[i] = found
+                else:
+                    waiting.append(i)
+                    for own in self._parted(c):
+                        if own and young(own) is None and old(own) is None:
+                            missing[own] = b""
+            if waiting:
+                pending.append((len(out), chunks, parts, waiting))
+                out.append(b"")
+                continue
             out.append(b"".join(parts))
         if pending:
             learned = self.learn(list(missing))
             fresh: dict[bytes, bytes] = dict(learned)
             ids = lambda c: learned.get(c) or young(c) or old(c) or b""
-            for i, chunks, parts in pending:
-                for k, p in enumerate(parts):
-                    if p is None:
-                        c = chunks[k]
-                        stem, last = self._parted(c)
-                        parts[k] = fresh[c] = ids(stem) + ids(last) if last else ids(stem)
+            for i, chunks, parts, waiting in pending:
+                for k in waiting:
+                    c = chunks[k]
+                    stem, last = self._parted(c)
+                    parts[k] = fresh[c] = ids(stem) + ids(last) if last else ids(stem)
                 out[i] = b"".join(parts)
             self.remember(fresh)
         return out
