@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,9 +16,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from cytoframe.llm import jaccard, langid, media, packing, pieces, quality, recompress, secrets, sharding, token_counts, words
+from cytoframe.llm import jaccard, langid, media, packing, pieces, quality, queries, recompress, secrets, sharding, token_counts, words
 from cytoframe.llm.components import components
 
+DATA = "/root/testdata/sf0.001"
 WORDS = "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -484,6 +487,28 @@ def test_equal_windows_have_equal_names():
             assert by.setdefault(c, n) == n
 
 
+# ---- registered queries
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", queries.SQL)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
+def test_query_covers_its_table(spark, name):
+    df = queries.QUERIES[name](spark, DATA)
+    ids = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in df.select("doc_id").collect()} == ids
+
+
 # ---- pipeline
 
 def test_pipeline(spark, docs, texts, tmp_path):
