@@ -179,6 +179,8 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 
 #: Stars of a class that are verified at first; later rounds see all others.
 STARS = 8
+#: Least open signatures of a class that its rows carry, so that a pair is met once and not at each signature it shares.
+LEAST = 8
 #: Rounds in which each class meets its closest one in another component, before all meet.
 CLOSEST = 2
 _STARS = "signature long, a long, b long"
@@ -216,19 +218,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out: every one, or each class's closest."""
+    """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out: every one, or each class's closest.
+
+    A pair that shares a lesser signature among the ones that its rows carry is met there, and not here.
+    """
 
     def written() -> pa.RecordBatch:
         a, b = (np.concatenate([x[j] for x in held]) for j in (1, 2))
         return batch_of(_STAR_SCHEMA, np.concatenate([np.full(len(x[1]), x[0]) for x in held]), np.minimum(a, b), np.maximum(a, b))
 
-    numbers, sketches = [], []
+    numbers, sketches, lists = [], [], []
     for batch in batches:
         numbers.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]))
         sketches += [np.frombuffer(v.as_py(), U) for v in batch.column(4)]
+        lists += batch.column(5).to_pylist()
     if not sketches:
         return
     sig, cls, comp, size = np.concatenate(numbers, axis=1)
+    # Signatures as signed numbers; a list shorter than LEAST is filled up with a number that is below none.
+    least = np.array([x + [(1 << 63) - 1] * (LEAST - len(x)) for x in lists], np.int64)
     place = np.argsort(sig, kind="stable")
     sig = sig[place]
     edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
@@ -246,10 +254,12 @@ def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
         ends = np.cumsum(np.sort(count, kind="stable"))
         words = min(len(sketches[i]) for i in own)
         matrix = np.concatenate([folded(sketches[i][None, :], words) for i in own])
-        sizes, classes = size[own], cls[own]
+        sizes, classes, listed = size[own], cls[own], least[own]
         for i, end in zip(range(int(ends[-2])), np.repeat(ends[:-1], np.diff(ends[:-1], prepend=0)).tolist()):
             apart = np.bitwise_count(matrix[end:] ^ matrix[i]).sum(1, dtype=np.int64)
             rest = end + np.flatnonzero(may_link(sizes[end:], sizes[i], apart))
+            lesser = listed[i][listed[i] < sig[lo]]
+            rest = rest[~np.isin(listed[rest], lesser).any(1)]
             if not every and len(rest) > 1:
                 rest = rest[apart[rest - end].argmin()][None]
             if len(rest):
@@ -357,7 +367,9 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
         labelled = profile.join(found, profile.rep == found.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "rep")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         tagged = cut(members.join(labelled.select("class", "group"), "class").select("signature", "class", "group"), "members")
         spans = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
-        open_ = tagged.join(spans, "signature").join(labelled.select("class", "n", "sketch"), "class").select("signature", "class", "group", "n", "sketch")
+        open_ = tagged.join(spans, "signature")
+        own = open_.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("signature")), 1, LEAST).alias("least"))
+        open_ = open_.join(labelled.select("class", "n", "sketch").join(own, "class"), "class").select("signature", "class", "group", "n", "sketch", "least")
         every = turn == CLOSEST
         pairs = cut(open_.repartition(buckets, "signature").mapInArrow(lambda it, every=every: lean(_across(it, every)), _STARS), "pairs")
         links = links.union(verified(pairs.select("a", "b").distinct()))
