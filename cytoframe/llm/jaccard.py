@@ -182,7 +182,7 @@ STARS = 8
 #: Least open signatures of a class that its rows carry, so that a pair is met once and not at each signature it shares.
 LEAST = 8
 #: Rounds in which each class meets its closest one in another component, before all meet.
-CLOSEST = 2
+CLOSEST = 1
 _STARS = "signature long, a long, b long"
 _STAR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("signature", "a", "b")])
 _COMPACT = 1 << 19
