@@ -120,13 +120,13 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return sizes & (apart * (100 + PER_HUNDRED) <= (n_a + n_b) * (100 - PER_HUNDRED))
 
 
-_SETS = "key long, n long, set1 long, set2 long, signatures binary, sketch binary"
+_SETS = "key long, id long, n long, set1 long, set2 long, signatures binary, sketch binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("signatures", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("signatures", pa.binary()), ("sketch", pa.binary())])
     for batch in batches:
-        for s in slices(batch.column(1)):
+        for s in slices(batch.column(2)):
             rows = []
             for x in shingle_sets(s, size):
                 if not len(x):
@@ -135,7 +135,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 sums = np.array([np.add.reduce(mix(x ^ _C)), np.add.reduce(mix(x + _A))], U)
                 a, b = mix(sums + U(len(x))).view(np.int64).tolist()
                 rows.append((len(x), a, b, signatures(x).tobytes(), sketch(x)))
-            yield batch_of(schema, batch.column(0).slice(s.first, s.n), *(list(c) for c in zip(*rows)))
+            yield batch_of(schema, *(batch.column(i).slice(s.first, s.n) for i in range(2)), *(list(c) for c in zip(*rows)))
 
 
 _BLOBS = "bucket int, signatures binary, classes binary"
@@ -312,17 +312,17 @@ def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield batch_of(schema, batch.column(0).slice(s.first, s.n), [x.tobytes() for x in shingle_sets(s, size)])
 
 
-def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Components of the graph that links rows whose shingle sets have a Jaccard similarity of 0.8 or more.
+def _source(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows (key, id, text); key and id tell rows apart but for those that share a key and their text."""
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("id"), F.col(text).alias("text"))
 
-    Returns doc_id, n_shingles, component_id (the least doc_id of the component). Words are
-    as in :mod:`.words`, A-Z lower-cased. Rows without words, null texts too, link with
-    nothing. Equal sets form one class, which takes part once. A null key sorts before all
-    others and a component that has one reports null. Rows that share a key are one node.
-    Other columns are not read; an empty table gives no rows.
+
+def _components(source: DataFrame, shingle: int, keys: bool) -> tuple[DataFrame, DataFrame]:
+    """Described rows, and (set1, set2, n, rep, component) of classes: rep their least key, component a class of theirs or null if they link with none.
+
+    Rows link by their texts, and with ``keys`` those that share a key do as well.
     """
-    spark = df.sparkSession
-    source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.col(text).alias("text"))
+    spark = source.sparkSession
     described = cut(source.mapInArrow(lambda it: lean(_describe(it, shingle)), _SETS), "shingle-sets")
     classes = cut(described.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("key").alias("rep")), "set-classes")
 
@@ -333,8 +333,8 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
     wanted = described.where("n > 0").select("set1", "signatures")
     blobs = wanted.mapInArrow(lambda it: lean(_deal(it, buckets)), _BLOBS).repartition(buckets, "bucket")
     shared = cut(blobs.mapInArrow(lambda it: lean(_stars(it)), _STARS), "shared-signatures")
-    profile = classes.join(described.select("key", "set1", "set2", "sketch"), (F.col("key") == F.col("rep")) & (classes.set1 == described.set1) & (classes.set2 == described.set2))
-    profile = profile.select(classes.set1.alias("class"), "n", "rep", "sketch").dropDuplicates(["class", "rep", "n"])
+    profile = classes.join(described.select("key", "id", "set1", "set2", "sketch"), (F.col("key") == F.col("rep")) & (classes.set1 == described.set1) & (classes.set2 == described.set2))
+    profile = profile.select(classes.set1.alias("class"), "n", "rep", "id", "sketch").dropDuplicates(["class", "rep", "n"])
     touched = shared.select(F.col("a").alias("class")).union(shared.select("b")).distinct()
     profile = cut(profile.join(touched, "class"), "profiles")
 
@@ -343,28 +343,32 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
         return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: lean(_near(it)), _NEAR)
 
-    reps = profile.select("class", "rep")
+    # The text of any one row with the class's set under its least key.
+    reps = profile.select("class", "rep", F.col("id").alias("rep_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs of classes those that link, judged on whole sets, as pairs of least keys."""
+        """Of the pairs of classes those that link, judged on whole sets."""
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(reps, "class")
-        members = source.join(ends, source.key == ends.rep).select("class", "text")
+        members = source.join(ends, (source.key == ends.rep) & (source.id == ends.rep_id)).select("class", "text")
         sets = cut(members.mapInArrow(lambda it: lean(_features(it, shingle)), _SET).dropDuplicates(["class"]), "sets")
         a, b = (sets.select(F.col("class").alias(f"class_{side}"), F.col("features").alias(f"features_{side}")) for side in "ab")
         both = pairs.join(a, pairs.a == a.class_a).join(b, pairs.b == b.class_b)
         found = both.select("a", "b", "features_a", "features_b").mapInArrow(lambda it: lean(_verify(it)), _NEAR)
-        a, b = (reps.select(F.col("class").alias(side), F.col("rep").alias(f"rep_{side}")) for side in "ab")
-        return cut(found.join(a, "a").join(b, "b").select("rep_a", "rep_b"), "links")
+        return cut(found, "links")
 
     # First the stars with which a class shares most signatures.
     weight = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     ranked = weight.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "a")), asc=False), 1, STARS).alias("to"))
     links = verified(cut(near(ranked.select(F.explode("to.a").alias("a"), "b")), "stars"))
+    if keys:
+        worded = described.where("n > 0").select("key", "set1")
+        several = worded.groupBy("key").agg(F.min("set1").alias("least"), F.max("set1").alias("most")).where("least < most").select("key", "least")
+        links = links.union(cut(worded.join(several, "key").where("least < set1").select("least", "set1").distinct(), "same-keys"))
     found = components(links)
 
     members = shared.select("signature", F.col("b").alias("class")).union(shared.select("signature", "a")).distinct()
     for turn in range(CLOSEST + 1):
-        labelled = profile.join(found, profile.rep == found.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "rep")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+        labelled = profile.join(found, profile["class"] == found.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "class")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         tagged = cut(members.join(labelled.select("class", "group"), "class").select("signature", "class", "group"), "members")
         spans = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
         open_ = tagged.join(spans, "signature")
@@ -377,7 +381,21 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
         # A signature of which no pair is left to judge is done with.
         members = tagged.join(pairs.select("signature").distinct(), "signature", "left_semi").select("signature", "class")
 
-    to = classes.join(found, classes.rep == found.node, "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("to"))
+    return described, classes.join(found, classes.set1 == found.node, "left").select("set1", "set2", "n", "rep", "component")
+
+
+def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Components of the graph that links rows whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Returns doc_id, n_shingles, component_id (the least doc_id of the component). Words are
+    as in :mod:`.words`, A-Z lower-cased. Rows without words, null texts too, link with
+    nothing. Equal sets form one class, which takes part once. A null key sorts before all
+    others and a component that has one reports null. Rows that share a key are one node.
+    Other columns are not read; an empty table gives no rows.
+    """
+    described, classes = _components(_source(df, text, key), shingle, keys=True)
+    least = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    to = classes.join(least, "component", "left").select("set1", "set2", "n", F.coalesce("least", "rep").alias("to"))
     out = described.select("key", "n", "set1", "set2").join(to, ["set1", "set2", "n"], "left")
     null = f"nullif({{}}, {_NO_KEY + 1}L - 1L)"
     return out.select(F.expr(null.format("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.expr(null.format("coalesce(to, key)")).alias("component_id"))

@@ -446,6 +446,35 @@ def test_null_and_repeated_keys(spark):
     assert kept == [(-1, 0), (-1, 0), (3, 50), (3, 50), (7, 0)]
 
 
+def test_rows_of_one_key_are_judged_on_their_own_texts(spark):
+    """Links of many texts under one null and one repeated key, whichever row of the key comes first."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(24)]
+    rows = [(None if i < 12 else 50, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, t + " more") for i, t in enumerate(texts)] + [(40, texts[20]), (300, "alone " + texts[0][:200])]
+    sets = [set(linked({0: t})[0][0]) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] == rows[b][0] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), 1 << 40), -1 if k is None else k)
+    want = sorted((-1 if k is None else k, least[find(i)]) for i, (k, _) in enumerate(rows))
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = jaccard.similarity_components(df).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in got) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
