@@ -152,11 +152,22 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield batch_of(schema, _signed(code[first], np.int64), _signed(check[first], np.int32), keys[s.first + who[first]])
 
 
+def _copied(h: np.ndarray, s: Slice, copies: pa.Array) -> np.ndarray:
+    """Which rows of a slice bear one of the document names listed for their key."""
+    out, listed = np.zeros(s.n, bool), copies.to_pylist()
+    if any(listed):
+        name, check = document_names(h, s)
+        name, check = _signed(name, np.int64).tolist(), (_signed(check, np.int32) | 1).tolist()
+        for i, x in enumerate(listed):
+            out[i] = any(y["name"] == name[i] and y["check"] == check[i] for y in x or ())
+    return out
+
+
 _OUT = "key long, n_words long, n_removed long, kept_text string"
 
 
-def _kept(s: Slice, copies: np.ndarray, seen: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, or that the row itself repeats."""
+def _kept(s: Slice, copies: pa.Array, seen: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, all of a row whose name is among its key's copies, or that the row itself repeats."""
     h, owner, at = s.hashes(), s.owner(), windows(s, k)
     who = owner[at]
     code, _ = window_hashes(s, h, at, k)
@@ -167,7 +178,7 @@ def _kept(s: Slice, copies: np.ndarray, seen: pa.Array, k: int) -> tuple[np.ndar
     later[first] = False
     listed = [np.zeros(0, U) if x.values is None else x.values.to_numpy(zero_copy_only=False).view(U) ^ salt[i] for i, x in enumerate(seen)]
     later |= np.isin(mine, np.concatenate(listed))
-    later |= copies[who]
+    later |= _copied(h, s, copies)[who]
     edge = np.zeros(len(h) + 1, np.int32)
     np.add.at(edge, at[later], 1)
     np.add.at(edge, at[later] + k, -1)
@@ -189,20 +200,18 @@ def _kept(s: Slice, copies: np.ndarray, seen: pa.Array, k: int) -> tuple[np.ndar
 def _remove(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     for batch in batches:
-        copies = np.array(batch.column(2).to_pylist(), bool)
         for s in slices(batch.column(1)):
-            own = slice(s.first, s.first + s.n)
-            yield batch_of(schema, batch.column(0).slice(s.first, s.n), *_kept(s, copies[own], batch.column(3).slice(s.first, s.n), k))
+            yield batch_of(schema, batch.column(0).slice(s.first, s.n), *_kept(s, batch.column(2).slice(s.first, s.n), batch.column(3).slice(s.first, s.n), k))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], k: int, at: int, chars: int) -> Iterator[pa.RecordBatch]:
-    """The last two columns are copy and seen; the others come back, the text without what goes, rows of which nothing stays left out."""
+    """The last two columns are copies and seen; the others come back, the text without what goes, rows of which nothing stays left out."""
     for batch in batches:
         schema = pa.schema(list(batch.schema)[:-2])
-        copies = np.array(batch.column(batch.num_columns - 2).to_pylist(), bool)
+        copies = batch.column(batch.num_columns - 2)
         seen = batch.column(batch.num_columns - 1)
         for s in slices(batch.column(at)):
-            n_words, n_removed, kept = _kept(s, copies[s.first : s.first + s.n], seen.slice(s.first, s.n), k)
+            n_words, n_removed, kept = _kept(s, copies.slice(s.first, s.n), seen.slice(s.first, s.n), k)
             columns = [batch.column(i).slice(s.first, s.n) for i in range(len(schema))]
             texts = [new if gone else old for new, gone, old in zip(kept, n_removed.tolist(), columns[at].to_pylist())]
             columns[at] = pa.array(texts, schema.field(at).type)
@@ -213,7 +222,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], k: int, at: int, chars: int) ->
 
 
 def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For rows (key, text): key, copy (the whole row repeats an earlier one), seen (hashes of its windows that an earlier row has).
+    """For rows (key, text): key, copies (names of its rows that as a whole repeat an earlier one), seen (hashes of its windows that an earlier row has).
 
     What moves: a hash for each name and row, one for each window under a shared name, and
     the text of rows with such names. A frequent window is one row of each document that
@@ -224,15 +233,18 @@ def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
     met = names.join(shared, ["name", "check"])
     per_row = cut(
-        met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.max(F.expr("check <> 0 and key > first")).alias("copy")),
+        met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")),
         "shared-names",
     )
-    candidates = per_row.where("not copy and size(names) > 0").select("key", "names")
+    # A copy has no window of its own, but other rows of its key may.
+    several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    named = per_row.where("size(names) > 0")
+    candidates = named.where("size(copies) = 0").union(named.where("size(copies) > 0").join(several, "key", "left_semi")).select("key", "names")
     found = cut(source.join(candidates, "key").select("key", "text", "names").mapInArrow(lambda it: lean(_windows(it, window)), _WINDOWS), "windows")
     first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
     seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list("hash").alias("seen"))
-    marks = seen.join(per_row.where("copy").select("key", "copy"), "key", "full_outer")
-    return cut(marks.select("key", F.coalesce("copy", F.lit(False)).alias("copy"), "seen"), "repeats")
+    marks = seen.join(per_row.where("size(copies) > 0").select("key", "copies"), "key", "full_outer")
+    return cut(marks.select("key", "copies", "seen"), "repeats")
 
 
 def _key(key: str):
@@ -245,11 +257,11 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one space). Null
     texts count as empty. A null key sorts before all others. Rows that share a key
     are one identity: neither is earlier than the other, and each gets the removals of
-    both. Other columns are not read; an empty table gives no rows. The text moves once
+    both; a row as a whole goes only if it is itself a copy. Other columns are not read; an empty table gives no rows. The text moves once
     more, to meet its marks.
     """
     source = df.select(_key(key).alias("key"), F.col(text).alias("text"))
-    marked = source.join(repeats(source, window), "key", "left").select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "seen")
+    marked = source.join(repeats(source, window), "key", "left").select("key", "text", "copies", "seen")
     removed = marked.mapInArrow(lambda it: lean(_remove(it, window)), _OUT)
     return removed.select(F.expr(f"nullif(key, {_NO_KEY + 1}L - 1L)").alias("doc_id"), "n_words", "n_removed", "kept_text")
 
@@ -263,7 +275,7 @@ def rewrite_documents(df: DataFrame, window: int = WINDOW, text: str = "text", k
     marks = repeats(df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text")), window)
     own = [f"in{i}_" for i in range(len(df.columns))]
     rows = df.toDF(*own).withColumn("key_", _key(own[df.columns.index(key)]))
-    marked = rows.join(marks, rows.key_ == marks.key, "left").select(*own, F.coalesce("copy", F.lit(False)).alias("copy_"), F.col("seen").alias("seen_"))
+    marked = rows.join(marks, rows.key_ == marks.key, "left").select(*own, F.col("copies").alias("copies_"), F.col("seen").alias("seen_"))
     at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
     out = marked.select(*own).schema
     return marked.mapInArrow(lambda it: lean(_rewrite(it, window, at, length)), out).toDF(*df.columns)

@@ -516,6 +516,18 @@ def test_equal_windows_have_equal_names():
             assert by.setdefault(c, n) == n
 
 
+def test_copies_are_told_by_row(spark):
+    """One key with two texts, one of them a copy: the other stays, and its windows are listed."""
+    rng = random.Random(12)
+    t, u, v = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(50)) for _ in range(3))
+    df = spark.createDataFrame([(1, t), (5, t), (5, u), (9, v + " " + u), (None, v), (None, t)], "doc_id long, text string")
+    want = [(-1, 50, 0, t), (-1, 50, 0, v), (1, 50, 50, ""), (5, 50, 0, u), (5, 50, 50, ""), (9, 100, 100, "")]
+    got = recompress.remove_repeats(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+    left = recompress.rewrite_documents(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left) == sorted([(-1, t), (-1, v), (5, u)])
+
+
 # ---- registered queries
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
