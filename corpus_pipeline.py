@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoframe.functions.shipping import ship
-from cytoframe.llm.jaccard import similarity_components
+from cytoframe.llm.jaccard import keep_one
 from cytoframe.llm.packing import pack, token_pieces
 from cytoframe.llm.quality import clean_documents
 from cytoframe.llm.queries import tokenizer_path
@@ -27,10 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id stays."""
+    """Of each component of linked documents one with the least id stays, whether ids are null or repeated."""
     ship(spark)
-    found = similarity_components(docs)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

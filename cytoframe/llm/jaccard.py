@@ -399,3 +399,24 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
     out = described.select("key", "n", "set1", "set2").join(to, ["set1", "set2", "n"], "left")
     null = f"nullif({{}}, {_NO_KEY + 1}L - 1L)"
     return out.select(F.expr(null.format("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.expr(null.format("coalesce(to, key)")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each component of linked rows: one with the least key, a null one before all others.
+
+    Keys link nothing here: rows with a null or repeated key are rows of their own, judged on
+    their texts. Rows without words all stay, and so do all columns. What moves of the table
+    besides is the text of kept rows that repeat a row's key and text.
+    """
+    source = _source(df, text, key)
+    described, classes = _components(source, shingle, keys=False)
+    group = classes.select("set1", "set2", "n", F.coalesce("component", "set1").alias("group"))
+    rows = cut(described.where("n > 0").select("key", "id", "set1", "set2", "n").join(group, ["set1", "set2", "n"]).groupBy("group", "key", "id").agg(F.count(F.lit(1)).alias("rows")), "grouped")
+    stays = rows.groupBy("group").agg(F.min(F.struct("key", "id")).alias("stays"))
+    judged = cut(rows.join(stays, "group").select(F.col("key").alias("key_"), F.col("id").alias("id_"), F.expr("stays = struct(key, id)").alias("stays_"), "rows").where("not stays_ or rows > 1"), "judged")
+    own = [f"in{i}_" for i in range(len(df.columns))]
+    at, of = own[df.columns.index(text)], own[df.columns.index(key)]
+    marked = df.toDF(*own).withColumns({"key_": F.coalesce(F.col(of).cast("long"), F.lit(_NO_KEY)), "id_": F.xxhash64(at)})
+    alone = marked.join(judged, ["key_", "id_"], "left_anti").select(*own)
+    repeated = marked.join(judged.where("stays_"), ["key_", "id_"], "left_semi").dropDuplicates(["key_", "id_"]).select(*own)
+    return alone.union(repeated).toDF(*df.columns)

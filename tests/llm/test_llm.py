@@ -552,6 +552,21 @@ def test_query_covers_its_table(spark, name):
 
 # ---- pipeline
 
+def test_one_row_of_each_group_stays(spark):
+    """Groups of near copies with null and repeated ids; what links with nothing stays, whatever its id."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (3, a), (4, a + " x"), (None, a + " y"), (5, b), (5, b), (6, b), (7, c), (7, c + " z"), (7, d), (None, e), (None, None), (None, None), (8, ""), (2, d + " v")]
+    df = spark.createDataFrame([(k, t, "l", f"s{i}", len(t or "")) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_copies(spark, df, "")
+    assert out.dtypes == df.dtypes
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    of = lambda x: [k for k, t in got if t and t.startswith(x)]
+    assert (of(a), of(b), of(c), of(d), of(e)) == ([None], [5], [7], [2], [None])
+    assert len(got) == 8 and sorted(t or "" for _, t in got)[:3] == ["", "", ""]
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
