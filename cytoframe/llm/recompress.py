@@ -1,32 +1,37 @@
 """Repeated passages by recompression.
 
-Rounds replace runs of one symbol, then pairs of symbols, by new symbols. A symbol's
-name is a hash of what it stands for and a pair is merged on the strength of its two
-names alone, so equal substrings anywhere in the corpus get equal symbols, but for
-those at their ends whose neighbours may differ. Following a window of words through
-the rounds, minus what its neighbours could have taken part in, leaves a core of symbols
-that the window's words alone decide. The last core that isn't empty names the window.
-
-Names met once in the corpus clear their windows for good. Windows whose name is shared
-are compared by a 96-bit hash of their words, which reveals what repeats exactly. A
-document's whole derivation has a name, too, by which copies are found at once.
+Runs of one word, then again and again pairs of neighbours, are replaced by new symbols. A
+symbol's name is a hash of what it stands for and a pair is merged on the strength of its
+two names alone, so names are global without being sent, and equal substrings anywhere in
+the corpus get equal symbols, but for those at their ends whose neighbours may differ.
+Following a window of words through the levels, minus what its neighbours could have taken
+part in, leaves a core of symbols that the window's words alone decide.
+
+Spark rounds, one for each level of ``LEVELS``, count the names over the whole corpus and
+tell each row which of its own some other row has. A window goes on to the next round only
+if every symbol of its core is shared: low levels drop most of what is unique, symbols of
+high levels, several words long, reveal what repeats. Windows that outlast all rounds are
+verified by 96 bits of their words. A document's whole sequence has a name, too, by which
+copies are found at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, forget
 from .words import Slice, U, batch_of, lean, mix, rolling, slices, windows
 
 WINDOW = 20
-#: Rounds after which a core's least run of GRAM symbols names its window.
-STOP, GRAM = 2, 4
+#: Levels whose names a Spark round counts. A symbol of level n is about 1.33 ** n words long; a core of 20 words is rarely empty before the seventh.
+LEVELS = (4, 6)
 _NO_KEY = -(1 << 63)
 _LEFT, _RIGHT, _RUN = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
@@ -36,16 +41,38 @@ def window_hashes(s: Slice, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.n
     return mix(rolling(h, k)[at]), (mix(rolling(mix(h ^ _RUN), k)[at]) >> U(32)).astype(np.uint32)
 
 
-def core_names(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, stop: int = STOP, gram: int = GRAM) -> np.ndarray:
-    """The name of each window of ``k`` words that starts at ``at``: a function of its words alone.
-
-    After ``stop`` rounds it is the least name of ``gram`` consecutive symbols of the core;
-    for a core too short for that, the first symbol of the last core that isn't empty.
-    """
-    names = np.zeros(len(at), U)
-    if not len(at):
-        return names
-    # Round 0: runs of one word become one symbol. A core's outer runs may go on outside it.
+@dataclass
+class Cores:
+    """A level's names with the row of each, the range of names that is each window's core, and the name of a window whose core is empty."""
+
+    names: np.ndarray
+    rows: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    rest: np.ndarray
+
+    def outlast(self, wanted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which windows have nothing but names in their core that are wanted by their row; rows want ``sizes`` names each, in order."""
+        salt = mix(np.arange(1, len(sizes) + 1, dtype=U) * _RIGHT)
+        asked = np.unique(wanted ^ np.repeat(salt, sizes))
+        missing = np.concatenate([[0], np.cumsum(~np.isin(self.names ^ salt[self.rows], asked))])
+        whole = self.lo < self.hi
+        at = np.minimum(self.lo, max(0, len(self.rows) - 1))
+        return np.where(whole, missing[self.hi] == missing[self.lo], np.isin(self.rest ^ salt[self.rows[at]], asked)) if len(whole) else whole
+
+    def found_in(self, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The names, with their rows, that cores of these windows hold."""
+        lo, hi, whole = self.lo[windows_], self.hi[windows_], self.lo[windows_] < self.hi[windows_]
+        edge = np.zeros(len(self.names) + 1, np.int32)
+        np.add.at(edge, lo[whole], 1)
+        np.add.at(edge, hi[whole], -1)
+        held = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        return np.concatenate([self.names[held], self.rest[windows_][~whole]]), np.concatenate([self.rows[held], self.rows[lo[~whole]]])
+
+
+def cores(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[Cores]:
+    """The cores, after each of ``levels``, of the windows of ``k`` words that start at ``at``: functions of their words alone."""
+    # Level 0: runs of one word become one symbol. A core's outer runs may go on outside it.
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     run = np.cumsum(new) - 1
@@ -53,13 +80,14 @@ def core_names(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, stop: i
     length = np.diff(np.append(first, len(h)))
     sym, own = np.where(length > 1, mix(h[first] + _RUN * length.astype(U)), h[first]), owner[first]
     lo, hi = run[at] + 1, run[at + k - 1]
-    live = np.flatnonzero(lo < hi)
-    dead = lo >= hi
-    names[dead] = mix(h[at[dead]] + h[at[dead] + k - 1] * _LEFT)
-    lo, hi = lo[live], hi[live]
-    level = 0
-    while len(live):
-        level += 1
+    rest = np.zeros(len(at), U)
+    over = lo >= hi
+    rest[over] = mix(h[at[over]] + h[at[over] + k - 1] * _LEFT)
+    live = np.flatnonzero(~over)
+    # Where a core is empty, lo and hi only tell the row.
+    place_of, lo, hi = run[at], lo[live], hi[live]
+    out = []
+    for level in range(1, max(levels) + 1):
         left = mix(sym ^ U(level * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(63) == 1
         pair = np.zeros(len(sym), bool)
         pair[:-1] = left[:-1] & ~left[1:] & (own[:-1] == own[1:])
@@ -73,19 +101,38 @@ def core_names(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, stop: i
         new_lo = place[lo] + ~left[lo]
         new_hi = place[hi - 1] + ~left[hi - 1]
         over = new_lo >= new_hi
-        names[live[over]] = mix(sym[lo[over]] + U(level))
+        rest[live[over]] = mix(sym[lo[over]] + U(level))
         live, lo, hi = live[~over], new_lo[~over], new_hi[~over]
+        place_of = place[place_of]
         sym, own = merged[keep], own[keep]
-        if level == stop and len(live):
-            grams = mix(rolling(sym, gram)) if len(sym) >= gram else np.zeros(0, U)
-            enough = hi - lo >= gram
-            a, b = lo[enough], hi[enough] - gram
-            least = grams[a]
-            for step in range(1, int((b - a).max(initial=0)) + 1):
-                least = np.minimum(least, grams[np.minimum(a + step, b)])
-            names[live[enough]] = least
-            live, lo, hi = live[~enough], lo[~enough], hi[~enough]
-    return names
+        if level in levels:
+            full_lo, full_hi = place_of.copy(), place_of.copy()
+            full_lo[live], full_hi[live] = lo, hi
+            out.append(Cores(mix(sym ^ U(level) * _RUN), own, full_lo, full_hi, mix(rest ^ _RUN)))
+    return out
+
+
+def first_met(code: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which of the pairs are the first that are equal to them in both numbers."""
+    order = np.lexsort((check, code))
+    new = np.ones(len(code), bool)
+    new[order[1:]] = (code[order[1:]] != code[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return new
+
+
+def among(code: np.ndarray, check: np.ndarray, listed: np.ndarray, listed_check: np.ndarray) -> np.ndarray:
+    """Which of the pairs are listed, equal in both numbers."""
+    out = np.isin(code, listed)
+    at = np.flatnonzero(out)
+    # Listed ones stand first, so a pair is listed if it isn't the first of its kind, or repeats one that is.
+    both, checks = np.concatenate([listed, code[at]]), np.concatenate([listed_check, check[at]])
+    order = np.lexsort((checks, both))
+    new = np.concatenate([[True], (both[order[1:]] != both[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])]) if len(both) else np.zeros(0, bool)
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    found = np.zeros(len(both), bool)
+    found[order] = head < len(listed)
+    out[at] = found[len(listed) :]
+    return out
 
 
 def document_names(h: np.ndarray, s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -106,49 +153,53 @@ def _signed(x: np.ndarray, kind: type) -> np.ndarray:
 _NAMES = "name long, check int, key long"
 
 
-def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(name, 0, key) for each core name of a row, and (name, check, key) for the row as a whole."""
+def _lists(column: pa.Array, lo: int, n: int) -> tuple[pa.Array, np.ndarray]:
+    """The values of some rows' lists, one after another, and how many each row has (null: none)."""
+    own = column.slice(lo, n)
+    return own.flatten(), pa.compute.fill_null(pa.compute.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _names(batches: Iterator[pa.RecordBatch], k: int, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(name, 0, key) for each name of the last level in a core of a row's windows that outlast the level before it; in the first round for all windows, and (name, check, key) for the row as a whole."""
     schema = pa.schema([("name", pa.int64()), ("check", pa.int32()), ("key", pa.int64())])
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(1)):
             h, owner, at = s.hashes(), s.owner(), windows(s, k)
-            who = owner[at]
-            names = core_names(h, owner, at, k)
-            order = np.lexsort((names, who))
-            names, who = names[order], who[order]
-            new = np.ones(len(names), bool)
-            new[1:] = (names[1:] != names[:-1]) | (who[1:] != who[:-1])
-            first = np.flatnonzero(new)
+            if not len(at):
+                continue
+            *before, last = cores(h, owner, at, k, levels[-2:])
+            if before:
+                asked, sizes = _lists(batch.column(2), s.first, s.n)
+                names, who = last.found_in(np.flatnonzero(before[0].outlast(asked.to_numpy(zero_copy_only=False).view(U), sizes)))
+                yield batch_of(schema, _signed(names, np.int64), np.zeros(len(names), np.int32), keys[s.first + who])
+                continue
+            names, who = last.found_in(np.arange(len(at)))
             whole, check = document_names(h, s)
             long = np.flatnonzero(np.diff(s.words) >= k)
             yield batch_of(
                 schema,
-                np.concatenate([_signed(names[first], np.int64), _signed(whole[long], np.int64)]),
-                np.concatenate([np.zeros(len(first), np.int32), _signed(check[long], np.int32) | 1]),
-                np.concatenate([keys[s.first + who[first]], keys[s.first + long]]),
+                np.concatenate([_signed(names, np.int64), _signed(whole[long], np.int64)]),
+                np.concatenate([np.zeros(len(names), np.int32), _signed(check[long], np.int32) | 1]),
+                np.concatenate([keys[s.first + who], keys[s.first + long]]),
             )
 
 
 _WINDOWS = "hash long, check int, key long"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(hash, check, key) of each different window of a row whose core name is among the row's shared names."""
+def _windows(batches: Iterator[pa.RecordBatch], k: int, level: int) -> Iterator[pa.RecordBatch]:
+    """(hash, check, key) of each different window of a row whose core at this level has names only that are among the row's."""
     schema = pa.schema([("hash", pa.int64()), ("check", pa.int32()), ("key", pa.int64())])
     for batch in batches:
-        keys, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(1)):
             h, owner, at = s.hashes(), s.owner(), windows(s, k)
-            who, names = owner[at], core_names(h, owner, at, k)
-            own = shared.slice(s.first, s.n)
-            sizes = np.array([0 if x is None else len(x) for x in own.to_pylist()]) if own.null_count else np.diff(own.offsets.to_numpy())
-            wanted = own.flatten().to_numpy(zero_copy_only=False).view(U)
-            salt = mix(np.arange(1, s.n + 1, dtype=U) * _RIGHT)
-            hit = np.isin(names ^ salt[who], wanted ^ np.repeat(salt, sizes))
-            at, who = at[hit], who[hit]
+            asked, sizes = _lists(batch.column(2), s.first, s.n)
+            at = at[cores(h, owner, at, k, (level,))[0].outlast(asked.to_numpy(zero_copy_only=False).view(U), sizes)]
+            who = owner[at]
             code, check = window_hashes(s, h, at, k)
-            _, first = np.unique(code ^ salt[who], return_index=True)
+            first = first_met(code ^ mix((who + 1).astype(U) * _RIGHT), check)
             yield batch_of(schema, _signed(code[first], np.int64), _signed(check[first], np.int32), keys[s.first + who[first]])
 
 
@@ -170,14 +221,14 @@ def _kept(s: Slice, copies: pa.Array, seen: pa.Array, k: int) -> tuple[np.ndarra
     """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, all of a row whose name is among its key's copies, or that the row itself repeats."""
     h, owner, at = s.hashes(), s.owner(), windows(s, k)
     who = owner[at]
-    code, _ = window_hashes(s, h, at, k)
+    code, check = window_hashes(s, h, at, k)
     salt = mix(np.arange(1, s.n + 1, dtype=U) * _RIGHT)
-    mine = code ^ salt[who]
-    _, first = np.unique(mine, return_index=True)
-    later = np.ones(len(mine), bool)
-    later[first] = False
-    listed = [np.zeros(0, U) if x.values is None else x.values.to_numpy(zero_copy_only=False).view(U) ^ salt[i] for i, x in enumerate(seen)]
-    later |= np.isin(mine, np.concatenate(listed))
+    mine, check = code ^ salt[who], _signed(check, np.int32)
+    later = ~first_met(mine, check)
+    listed, sizes = _lists(seen, 0, s.n)
+    if len(listed):
+        hashes, checks = (listed.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        later |= among(mine, check, hashes.view(U) ^ np.repeat(salt, sizes), checks)
     later |= _copied(h, s, copies)[who]
     edge = np.zeros(len(h) + 1, np.int32)
     np.add.at(edge, at[later], 1)
@@ -221,30 +272,34 @@ def _rewrite(batches: Iterator[pa.RecordBatch], k: int, at: int, chars: int) ->
             yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(stays)
 
 
-def repeats(source: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For rows (key, text): key, copies (names of its rows that as a whole repeat an earlier one), seen (hashes of its windows that an earlier row has).
+def repeats(source: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """For rows (key, text): key, copies (names of its rows that as a whole repeat an earlier one), seen (hash and check of its windows that an earlier row has).
 
-    What moves: a hash for each name and row, one for each window under a shared name, and
-    the text of rows with such names. A frequent window is one row of each document that
-    has it; minima taken before the exchange and splittable joins take it. Lists are of one
-    row's windows.
+    What moves: in each round a name for each symbol still in question, one hash for each window
+    that outlasts the rounds, and the text of rows that hear of shared names. A frequent name or
+    window is one row of each document that has it; minima taken before the exchange and
+    splittable joins take it. Lists are of one row's names or windows.
     """
-    names = source.mapInArrow(lambda it: lean(_names(it, window)), _NAMES)
-    shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
-    met = names.join(shared, ["name", "check"])
-    per_row = cut(
-        met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")),
-        "shared-names",
-    )
-    # A copy has no window of its own, but other rows of its key may.
-    several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    named = per_row.where("size(names) > 0")
-    candidates = named.where("size(copies) = 0").union(named.where("size(copies) > 0").join(several, "key", "left_semi")).select("key", "names")
-    found = cut(source.join(candidates, "key").select("key", "text", "names").mapInArrow(lambda it: lean(_windows(it, window)), _WINDOWS), "windows")
+    asking, copies = source, None
+    for turn in range(len(levels)):
+        names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1])), _NAMES), "names")
+        shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
+        met = names.join(shared, ["name", "check"])
+        told = cut(met.groupBy("key").agg(F.collect_set(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
+        forget(names)
+        told_of = told.where("size(names) > 0")
+        if copies is None:
+            copies = told.where("size(copies) > 0").select("key", "copies")
+            # A copy has no window of its own, but other rows of its key may.
+            several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+            told_of = told_of.where("size(copies) = 0").union(told_of.where("size(copies) > 0").join(several, "key", "left_semi"))
+        asking = source.join(told_of.select("key", "names"), "key").select("key", "text", "names")
+    found = cut(asking.mapInArrow(lambda it: lean(_windows(it, window, levels[-1])), _WINDOWS), "windows")
     first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
-    seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list("hash").alias("seen"))
-    marks = seen.join(per_row.where("size(copies) > 0").select("key", "copies"), "key", "full_outer")
-    return cut(marks.select("key", "copies", "seen"), "repeats")
+    seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list(F.struct("hash", "check")).alias("seen"))
+    marks = cut(seen.join(copies, "key", "full_outer").select("key", "copies", "seen"), "repeats")
+    forget(found)
+    return marks
 
 
 def _key(key: str):

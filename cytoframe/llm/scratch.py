@@ -14,10 +14,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), a local temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and all runs on this machine (tests), a local temporary folder."""
     found = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_DIR} must name a folder that driver and executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="cytoframe-"))
     return _local[0]
@@ -48,7 +50,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table made by :func:`cut` once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this session has cut; DataFrames that read them are unusable afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cytoframe-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/cytoframe-{spark.sparkContext.applicationId}")

@@ -613,17 +613,30 @@ def test_remove_repeats(spark, docs, texts):
     assert recompress.remove_repeats(empty(spark)).count() == 0
 
 
-def test_equal_windows_have_equal_names():
+@pytest.mark.parametrize("letters,levels", [("abcde", recompress.LEVELS), ("ab", (1, 2, 3)), ("abcdefghijklmnopqrstuvwxyz", (2, 5, 9)), ("a", (1,))])
+def test_equal_windows_have_equal_cores(letters, levels):
     rng = random.Random(6)
-    text = " ".join(rng.choice("abcde") for _ in range(3000))
-    s, *_ = words.slices(pa.array([text]))
+    text = " ".join(rng.choice(letters) for _ in range(3000))
+    s, *_ = words.slices(pa.array([text + " " + text[1000:1600], text[:900], "x y", None]))
     h, at = s.hashes(), words.windows(s, 20)
-    for stop, gram in ((recompress.STOP, recompress.GRAM), (0, 0), (3, 3)):
-        names = recompress.core_names(h, s.owner(), at, 20, stop, gram)
-        code, _ = recompress.window_hashes(s, h, at, 20)
+    code, _ = recompress.window_hashes(s, h, at, 20)
+    for c in recompress.cores(h, s.owner(), at, 20, levels):
         by = {}
-        for c, n in zip(code.tolist(), names.tolist()):
-            assert by.setdefault(c, n) == n
+        for i, w in enumerate(code.tolist()):
+            core = tuple(c.names[c.lo[i] : c.hi[i]].tolist()) or int(c.rest[i])
+            assert by.setdefault(w, core) == core
+        every = np.arange(len(at))
+        names, rows = c.found_in(every)
+        order = np.argsort(rows, kind="stable")
+        sizes = np.bincount(rows, minlength=s.n)
+        assert c.outlast(names[order], sizes).all()
+        assert not c.outlast(np.zeros(0, np.uint64), np.zeros(s.n, np.int64)).any()
+
+
+def test_pairs_are_told_by_both_numbers():
+    code, check = np.array([1, 1, 2, 1, 3], np.uint64), np.array([5, 6, 5, 5, 9], np.int32)
+    assert recompress.first_met(code, check).tolist() == [True, True, True, False, True]
+    assert recompress.among(code, check, np.array([1, 3, 1], np.uint64), np.array([6, 8, 6], np.int32)).tolist() == [False, True, False, False, False]
 
 
 def test_copies_are_told_by_row(spark):
