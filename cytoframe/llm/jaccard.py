@@ -2,10 +2,13 @@
 
 Sizes are dealt into overlapping bands such that two sets that can link share a band.
 In a band, linked sets differ in k features at most. Features are partitioned by their
-hash into more than k parts; the sum of the feature hashes of a part is a signature. If
-more than k parts hold a feature of either set, one of them must be equal in both and not
-empty, so the pair shares a signature. A set with too few such parts also takes part at
-the next finer partitioning, and so on, until it has enough: no pair is lost.
+hash into more than k / 2 parts and each part again into three: one part at least has one
+difference or none, so one of its subsets of two second-level parts is equal in both sets.
+The sum of the feature hashes of each such subset is a signature. For large k, and for sets
+with too few parts that have a feature in each subset, features are partitioned into more
+than k parts, each of which is a signature by itself; if more than k parts hold a feature
+of either set, one of them must be equal in both and not empty. A set with too few such
+parts also takes part at the next finer partitioning, and so on: no pair is lost.
 
 Rows that share a signature are joined as stars, not pairs; stars are verified on the
 whole sets; components follow. Then only signatures that still span several components are
@@ -34,6 +37,10 @@ PER_HUNDRED = 80
 BAND_RATIO = 1.3
 #: Parts of a band, as a multiple of the differences that linked sets may have.
 PARTS = 1.16
+#: Bands with at most this many differences enumerate subsets of second-level parts; beyond it their extra signatures cost more than they spare.
+ENUMERATED = 24
+#: Second-level parts of a part, of which one may differ (k2 = 1), and parts as a multiple of the least number.
+SECOND, FIRST = 3, 1.25
 _NO_KEY = -(1 << 63)
 _A, _B, _C = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -60,12 +67,39 @@ def bands_of(size: int) -> list[tuple[int, tuple[int, int, int]]]:
     return [(j, b) for j, b in enumerate(_bands) if b[0] <= size <= b[1]]
 
 
+def subset_signatures(features: np.ndarray, mixed: np.ndarray, band: int, k: int) -> tuple[np.ndarray, bool]:
+    """Signatures of all subsets but one second-level part of each part, and whether there are enough for ``k`` differences.
+
+    At most k // 2 parts have more than one difference. Where more parts than that have a
+    feature in each of their subsets, one such part has one difference or none, and the
+    subset without it is equal in both sets.
+    """
+    parts = -int(-(k // 2 + 1) * FIRST // 1)
+    cell = ((features >> U(32)) * U(parts) >> U(32)) * U(SECOND) + ((features & U(0xFFFFFFFF)) * U(SECOND) >> U(32))
+    order = np.argsort(cell, kind="stable")
+    at = cell[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    sums, count = np.zeros(parts * SECOND, U), np.zeros(parts * SECOND, np.int64)
+    sums[at[first]] = np.add.reduceat(mixed[order], first)
+    count[at[first]] = np.diff(np.append(first, len(at)))
+    sums, count = sums.reshape(parts, SECOND), count.reshape(parts, SECOND)
+    rest, held = sums.sum(1, dtype=U)[:, None] - sums, count.sum(1)[:, None] - count
+    which = np.arange(parts * SECOND, dtype=U).reshape(parts, SECOND)
+    found = mix(rest + mix(which * _A + U(band * 0xD1342543DE82EF95 % (1 << 64))))
+    return found[held > 0], int((held > 0).all(1).sum()) > k // 2
+
+
 def signatures(features: np.ndarray) -> np.ndarray:
     """All signatures of a set of 64-bit features, sorted and without repeats."""
     size, out = len(features), []
     mixed = mix(features ^ _B)
     high = features >> U(32)
     for j, (_, _, k) in bands_of(size):
+        if 0 < k <= ENUMERATED:
+            found, enough = subset_signatures(features, mixed, j, k)
+            out.append(found)
+            if enough:
+                continue
         parts = max(1, int((k + 1) * PARTS)) if k else 1
         while True:
             # Beyond 2 ** 32 parts, parts are single features.
@@ -181,6 +215,8 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 STARS = 8
 #: Least open signatures of a class that its rows carry, so that a pair is met once and not at each signature it shares.
 LEAST = 8
+#: Members of a signature that meet in one task; more are dealt into blocks, and blocks meet two by two.
+MEET = 2048
 #: Rounds in which each class meets its closest one in another component, before all meet.
 CLOSEST = 1
 _STARS = "signature long, a long, b long"
@@ -220,6 +256,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of different components that share a signature and that sizes and sketches don't rule out: every one, or each class's closest.
 
+    Members of different blocks of a signature meet where their blocks do, those of one block in its own cell.
     A pair that shares a lesser signature among the ones that its rows carry is met there, and not here.
     """
 
@@ -229,17 +266,17 @@ def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
 
     numbers, sketches, lists = [], [], []
     for batch in batches:
-        numbers.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]))
-        sketches += [np.frombuffer(v.as_py(), U) for v in batch.column(4)]
-        lists += batch.column(5).to_pylist()
+        numbers.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]))
+        sketches += [np.frombuffer(v.as_py(), U) for v in batch.column(7)]
+        lists += batch.column(8).to_pylist()
     if not sketches:
         return
-    sig, cls, comp, size = np.concatenate(numbers, axis=1)
+    sig, cls, comp, size, block, low, high = np.concatenate(numbers, axis=1)
     # Signatures as signed numbers; a list shorter than LEAST is filled up with a number that is below none.
     least = np.array([x + [(1 << 63) - 1] * (LEAST - len(x)) for x in lists], np.int64)
-    place = np.argsort(sig, kind="stable")
-    sig = sig[place]
-    edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+    place = np.lexsort((high, low, sig))
+    sig, low, high = sig[place], low[place], high[place]
+    edges = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
     n = 0
     for lo, hi in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
@@ -254,10 +291,13 @@ def _across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
         ends = np.cumsum(np.sort(count, kind="stable"))
         words = min(len(sketches[i]) for i in own)
         matrix = np.concatenate([folded(sketches[i][None, :], words) for i in own])
-        sizes, classes, listed = size[own], cls[own], least[own]
+        sizes, classes, listed, blocks = size[own], cls[own], least[own], block[own]
         for i, end in zip(range(int(ends[-2])), np.repeat(ends[:-1], np.diff(ends[:-1], prepend=0)).tolist()):
             apart = np.bitwise_count(matrix[end:] ^ matrix[i]).sum(1, dtype=np.int64)
-            rest = end + np.flatnonzero(may_link(sizes[end:], sizes[i], apart))
+            meets = may_link(sizes[end:], sizes[i], apart)
+            if low[lo] != high[lo]:
+                meets &= blocks[end:] != blocks[i]
+            rest = end + np.flatnonzero(meets)
             lesser = listed[i][listed[i] < sig[lo]]
             rest = rest[~np.isin(listed[rest], lesser).any(1)]
             if not every and len(rest) > 1:
@@ -370,12 +410,15 @@ def _components(source: DataFrame, shingle: int, keys: bool) -> tuple[DataFrame,
     for turn in range(CLOSEST + 1):
         labelled = profile.join(found, profile["class"] == found.node, "left").groupBy("class").agg(F.min(F.coalesce("component", "class")).alias("group"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         tagged = cut(members.join(labelled.select("class", "group"), "class").select("signature", "class", "group"), "members")
-        spans = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("signature")
+        spans = tagged.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.ceil(F.count(F.lit(1)) / MEET).alias("blocks")).where("low < high").select("signature", "blocks")
         open_ = tagged.join(spans, "signature")
         own = open_.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("signature")), 1, LEAST).alias("least"))
-        open_ = open_.join(labelled.select("class", "n", "sketch").join(own, "class"), "class").select("signature", "class", "group", "n", "sketch", "least")
+        open_ = open_.join(labelled.select("class", "n", "sketch").join(own, "class"), "class").withColumn("block", F.pmod("class", "blocks"))
+        met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+        cells = open_.select("signature", "class", "group", "n", "block", "sketch", "least", met)
+        cells = cells.select("signature", "class", "group", "n", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "sketch", "least")
         every = turn == CLOSEST
-        pairs = cut(open_.repartition(buckets, "signature").mapInArrow(lambda it, every=every: lean(_across(it, every)), _STARS), "pairs")
+        pairs = cut(cells.repartition(buckets, "signature", "low", "high").mapInArrow(lambda it, every=every: lean(_across(it, every)), _STARS), "pairs")
         links = links.union(verified(pairs.select("a", "b").distinct()))
         found = components(links)
         # A signature of which no pair is left to judge is done with.
