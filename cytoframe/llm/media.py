@@ -4,9 +4,9 @@ The writer carries a payload as one private elementary stream: PES packets of at
 most ``UNIT`` bytes, each with a presentation timestamp, cut into 188-byte transport
 packets. Every ``RANDOM_ACCESS``-th unit is a random-access point, announced by a
 PAT and a PMT and flagged, with a clock reference, in its adaptation field. The
-reader finds the stream through the program tables, checks their CRCs and the
-continuity counters, reassembles the PES packets and lists their timestamps and
-random-access points.
+reader finds the stream through the program tables, whose sections may span packets,
+checks their CRCs and the continuity counters of tables and stream, drops packets sent
+twice, reassembles the PES packets and lists their timestamps and random-access points.
 """
 
 from __future__ import annotations
@@ -123,14 +123,61 @@ class Stream:
         return f"packets={self.packets};pid={self.es_pid};type={self.stream_type};units={len(self.pts)};pts={span};random_access={len(self.random_access)};continuity_errors={self.continuity_errors}"
 
 
-def _section_of(packet: np.ndarray) -> bytes:
-    at = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-    at += 1 + int(packet[at])
-    size = 3 + ((int(packet[at + 1]) & 0x0F) << 8 | int(packet[at + 2]))
-    section = packet[at : at + size].tobytes()
-    if crc32_mpeg(section) != 0:
-        raise MediaError("a program table fails its CRC")
-    return section
+def _payload_starts(packets: np.ndarray) -> np.ndarray:
+    """The byte at which each packet's payload begins."""
+    at = 4 + np.where(packets[:, 3] & 0x20, 1 + packets[:, 4].astype(np.int16), 0)
+    if (at > PACKET).any():
+        raise MediaError("an adaptation field leaves its packet")
+    return at
+
+
+def _flags(packets: np.ndarray) -> np.ndarray:
+    """The flags of each packet's adaptation field, 0 where it has none."""
+    return np.where((packets[:, 3] & 0x20 > 0) & (packets[:, 4] > 0), packets[:, 5], 0)
+
+
+def in_order(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets with payload of one pid are no duplicates, and the continuity errors among them.
+
+    A packet may be sent twice in a row: same counter, same bytes but for a clock reference.
+    Where a packet is flagged as a discontinuity, its counter may be any.
+    """
+    counters = (packets[:, 3] & 15).astype(np.int16)
+    step = np.diff(counters) % 16
+    keep = np.ones(len(packets), bool)
+    for i in np.flatnonzero(step == 0) + 1:
+        a, b = packets[i - 1].copy(), packets[i].copy()
+        if _flags(packets[i : i + 1])[0] & 0x10:
+            a[6:12] = b[6:12] = 0
+        keep[i] = not (keep[i - 1] and (a == b).all())
+    free = _flags(packets)[1:] & 0x80 > 0
+    return keep, int(((step != 1) & keep[1:] & ~free).sum())
+
+
+def _sections(packets: np.ndarray, keep: np.ndarray) -> list[bytes]:
+    """The whole sections of a table's pid, in order, each checked by its CRC; a repeated one is listed once."""
+    out, pending = {}, None
+    for packet, at in zip(packets[keep], _payload_starts(packets[keep])):
+        data = packet[at:].tobytes()
+        if packet[1] & 0x40:
+            if not data or 1 + data[0] > len(data):
+                raise MediaError("a program table leaves its packet")
+            # What stands before the pointed-to byte ends the section that is under way.
+            parts = [(pending + data[1 : 1 + data[0]]) if pending else b"", data[1 + data[0] :]]
+        else:
+            parts = [pending + data if pending else b""]
+        for data in parts:
+            pending = None
+            while data and data[0] != 0xFF:
+                size = 3 + ((data[1] & 0x0F) << 8 | data[2]) if len(data) >= 3 else PACKET
+                if size > len(data):
+                    pending = data
+                    break
+                if crc32_mpeg(data[:size]) != 0:
+                    raise MediaError("a program table fails its CRC")
+                out[data[:size]] = None
+                data = data[size:]
+    return list(out)
 
 
 def read_ts(media: bytes) -> Stream:
@@ -141,36 +188,43 @@ def read_ts(media: bytes) -> Stream:
     if (packets[:, 0] != SYNC).any() or (packets[:, 1] & 0x80).any():
         raise MediaError("sync lost, or a packet is marked as damaged")
     pids = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
-    found = np.flatnonzero(pids == PAT_PID)
-    if not len(found):
+    errors = 0
+
+    def table(pid: int, kind: int) -> list[bytes]:
+        nonlocal errors
+        own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]
+        keep, wrong = in_order(own) if len(own) else (np.zeros(0, bool), 0)
+        errors += wrong
+        # Tables that are announced for later don't count yet.
+        return [x for x in _sections(own, keep) if x[0] == kind and x[5] & 1]
+
+    programs = [x[i : i + 4] for x in table(PAT_PID, 0x00) for i in range(8, len(x) - 4, 4)]
+    if not programs:
         raise MediaError("no program association table")
-    pat = _section_of(packets[found[0]])
-    programs = [pat[i : i + 4] for i in range(8, len(pat) - 4, 4)]
-    pmt_pid = next((int.from_bytes(p[2:], "big") & 0x1FFF for p in programs if p[:2] != b"\0\0"), None)
-    found = np.flatnonzero(pids == pmt_pid) if pmt_pid is not None else ()
-    if not len(found):
+    number, pmt_pid = next(((p[:2], int.from_bytes(p[2:], "big") & 0x1FFF) for p in programs if p[:2] != b"\0\0"), (b"", -1))
+    pmt = next((x for x in table(pmt_pid, 0x02) if x[3:5] == number), None)
+    if pmt is None:
         raise MediaError("no program map table")
-    pmt = _section_of(packets[found[0]])
     at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
     if at + 5 > len(pmt) - 4:
         raise MediaError("the program has no stream")
     kind, es_pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
 
-    numbers = np.flatnonzero(pids == es_pid)
+    numbers = np.flatnonzero((pids == es_pid) & (packets[:, 3] & 0x10 > 0))
+    if len(numbers):
+        keep, wrong = in_order(packets[numbers])
+        errors, numbers = errors + wrong, numbers[keep]
     es = packets[numbers]
     control = es[:, 3] >> 4 & 3
-    es, numbers, control = es[control & 1 == 1], numbers[control & 1 == 1], control[control & 1 == 1]
-    counters = (es[:, 3] & 15).astype(np.int16)
-    errors = int(((np.diff(counters) - 1) % 16 != 0).sum())
-    begin = np.where(control & 2, 1 + es[:, 4].astype(np.int16), 0)
-    if (begin > 184).any():
-        raise MediaError("an adaptation field leaves its packet")
+    begin = _payload_starts(es) - 4
     body = es[:, 4:][np.arange(184) >= begin[:, None]].tobytes()
     ends = np.cumsum(184 - begin)
     heads = np.flatnonzero(es[:, 1] & 0x40)
     at = [int(ends[i] - 184 + begin[i]) for i in heads] + [len(body)]
     out = Stream(b"", len(packets), es_pid, kind, errors)
     units = []
+    if len(body) and (not len(heads) or heads[0]):
+        raise MediaError("the stream begins inside a unit")
     for i, lo, hi in zip(heads, at, at[1:]):
         if body[lo : lo + 3] != b"\0\0\1":
             raise MediaError("no PES start code at a unit start")
@@ -189,7 +243,7 @@ def read_ts(media: bytes) -> Stream:
 
 
 _MEDIA = "doc_id long, n_bytes long, media binary"
-_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, continuity_errors long, pts array<long>, random_access array<struct<pts: long, packet: long>>"
+_READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, continuity_errors long, pts array<long>, random_access array<struct<pts: long, packet: long>>, error string"
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +261,28 @@ def _write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entry = pa.struct([("pts", pa.int64()), ("packet", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("continuity_errors", pa.int64()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(entry))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("continuity_errors", pa.int64()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(entry)), ("error", pa.string())])
     for batch in batches:
         rows = []
         for media in batch.column(2):
-            view = media.as_buffer().to_pybytes()
-            s = read_ts(view)
-            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), len(view), hashlib.sha256(view).hexdigest(), s.feature(), s.continuity_errors, s.pts, [{"pts": p, "packet": k} for p, k in s.random_access]))
+            view = media.as_buffer().to_pybytes() if media.is_valid else b""
+            form = (len(view), hashlib.sha256(view).hexdigest())
+            try:
+                s = read_ts(view)
+            except MediaError as wrong:
+                rows.append((None, None, None, *form, None, None, None, None, str(wrong)))
+                continue
+            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-ALIGN:]), *form, s.feature(), s.continuity_errors, s.pts, [{"pts": p, "packet": k} for p, k in s.random_access], None))
         yield batch_of(schema, batch.column(0), batch.column(1), *(list(c) for c in zip(*rows))) if rows else batch_of(schema, *([] for _ in schema))
 
 
 def to_transport_streams(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row's text as UTF-8, padded with bytes 0 to a positive multiple of 64, in a transport stream.
 
-    Returns doc_id, n_bytes (before padding), media. Null and empty text: 64 bytes 0.
-    One row out for each row in, repeated and null keys too; other columns are not read.
+    Returns doc_id, n_bytes (before padding), media. Null and empty text: 64 bytes 0. A very
+    long text makes a stream of its own length and a fiftieth.
+    One row out for each row in, repeated and null keys too; other columns, whatever their
+    names, are not read; an empty table gives no rows.
     """
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_write_batches(it)), _MEDIA)
 
@@ -229,7 +290,9 @@ def to_transport_streams(df: DataFrame, text: str = "text", key: str = "doc_id")
 def read_transport_streams(df: DataFrame) -> DataFrame:
     """Demultiplex a ``media`` column: digests of what it carries, timestamps and random-access points.
 
-    A stream that is damaged beyond its continuity counters raises MediaError; counted
-    discontinuities are reported in continuity_errors.
+    A stream that is damaged beyond its continuity counters has its reason in error and null
+    in what depends on its payload; other rows' error is null. Counted discontinuities are in
+    continuity_errors. One row out for each row in, null and repeated keys too; a null stream
+    counts as empty; an empty table gives no rows.
     """
     return df.select("doc_id", "n_bytes", "media").mapInArrow(lambda it: lean(_read_batches(it)), _READ)

@@ -113,6 +113,45 @@ def test_transport_damage():
             media.read_ts(broken)
 
 
+def test_transport_continuity():
+    """Packets sent twice, jumps with and without notice, counters of the tables, tables over several packets."""
+    payload = bytes(range(256)) * 900
+    whole = media.write_ts(payload)
+    packets = [whole[i : i + 188] for i in range(0, len(whole), 188)]
+    assert len(media.read_ts(whole).random_access) == 2
+
+    def read(changed):
+        return media.read_ts(b"".join(changed))
+
+    for at in (0, 1, 2, 9, len(packets) - 1):  # a table, the first and last packet of the stream, one inside
+        twice = read(packets[: at + 1] + packets[at:])
+        assert twice.payload == payload and twice.continuity_errors == 0
+    assert read(packets[:3] + [packets[2][:6] + bytes(6) + packets[2][12:]] + packets[3:]).payload == payload  # but for its clock reference
+    assert read(packets[:10] + [packets[9]] * 2 + packets[10:]).continuity_errors == 1  # thrice is no duplicate
+    bent = [p[:3] + bytes([p[3] & 0xF0 | (p[3] + (i > 50)) & 15]) + p[4:] for i, p in enumerate(packets)]
+    assert read(bent).continuity_errors == 3 and read(bent).payload == payload  # stream and both tables jump once
+    access = [i for i, p in enumerate(packets) if p[3] & 0x20 and p[4] and p[5] & 0x40]
+    told = list(bent)
+    told[access[1]] = told[access[1]][:5] + bytes([told[access[1]][5] | 0x80]) + told[access[1]][6:]
+    moved = [told[i] if i >= access[1] or packets[i][1] & 0x1F != 1 else packets[i] for i in range(len(packets))]
+    assert read(moved).continuity_errors == 2  # the flagged jump of the stream is none
+    pmt = media._section(0x02, media.PROGRAM, (0xE000 | media.ES_PID).to_bytes(2, "big") + b"\xf0\xfa" + bytes(250) + bytes([6]) + (0xE000 | media.ES_PID).to_bytes(2, "big") + b"\xf0\x00")
+    other = media._section(0x02, 9, (0xE000 | 77).to_bytes(2, "big") + b"\xf0\x00" + bytes([6]) + (0xE000 | 77).to_bytes(2, "big") + b"\xf0\x00")
+    body = b"\x00" + other + pmt
+    split_ = [bytes([0x47, (0x40 if i == 0 else 0) | 0x10, 0x00, 0x10 | k]) + body[i : i + 184].ljust(184, b"\xff") for k, i in enumerate(range(0, len(body), 184))]
+    long = [p for i, p in enumerate(packets) if p[1] & 0x1F != 0x10]
+    found = read(long[:1] + split_ + long[1:])
+    assert len(split_) == 2 and found.payload == payload and found.es_pid == media.ES_PID
+
+
+def test_transport_rows(spark):
+    whole = media.write_ts(b"x" * 640)
+    rows = [(1, 640, whole), (1, 640, whole), (None, 640, whole[:-1]), (3, 640, b""), (4, None, None), (5, 640, whole[:188] + whole)]
+    got = media.read_transport_streams(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    assert [(r.doc_id, r.error is None, r.payload_bytes) for r in got] == [(1, True, 640), (1, True, 640), (None, False, None), (3, False, None), (4, False, None), (5, True, 640)]
+    assert all(r.media_bytes == len(m or b"") for r, (_, _, m) in zip(got, rows))
+
+
 def test_transport_query(spark, docs, texts):
     got = {r.doc_id: r for r in media.read_transport_streams(media.to_transport_streams(docs)).collect()}
     assert len(got) == len(texts)
