@@ -48,7 +48,7 @@ def scale(layer: DataFrame, moments: DataFrame, max_value: float | None = None)
     z = (F.col("v") - F.col("mean")) / F.nullif(sd, F.lit(0.0))
     zero = -F.col("mean") / F.nullif(sd, F.lit(0.0))
     if max_value is not None:
-        z, zero = F.least(z, F.lit(max_value)), F.greatest(zero, F.lit(-max_value))
+        z, zero = (F.greatest(F.least(x, F.lit(max_value)), F.lit(-max_value)) for x in (z, zero))
     return layer.join(moments, "gene_id").select("cell_id", "gene_id", F.coalesce(z, F.lit(0.0)).alias("z"), F.coalesce(zero, F.lit(0.0)).alias("zero_score"))
 
 

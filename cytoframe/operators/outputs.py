@@ -46,7 +46,7 @@ def dotplot(means: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def heatmap(means: DataFrame, genes: DataFrame) -> DataFrame:
-    """Means of chosen genes as z-scores across the groups in which they occur."""
+    """Means of chosen genes as z-scores across all groups."""
     chosen = dotplot(means, genes)
     s = chosen.groupBy("gene_id").agg(F.avg("mean_in").alias("m"), F.stddev_samp("mean_in").alias("sd"))
     z = F.coalesce((F.col("mean_in") - F.col("m")) / F.nullif("sd", F.lit(0.0)), F.lit(0.0))

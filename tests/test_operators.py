@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cytoframe.operators import cluster, de, norm, outputs, qc, reduce
-from cytoframe.sources import canonicalize, read_mtx
+from cytoframe.sources import canonicalize, matrix_from_events, read_long, read_mtx, read_wide
 
 
 def long(spark, dense):
@@ -24,6 +24,7 @@ def dense():
         m[20 * k : 20 * k + 20, 4 * k : 4 * k + 4] += rng.poisson(9, (20, 4))
     m[5] = 0  # a cell without counts
     m[:, 11] = 0  # a gene without counts
+    m[20:40, 2] = 0  # a gene that a group lacks
     return m
 
 
@@ -87,8 +88,6 @@ def test_wilcoxon_equals_brute_force(matrix, dense):
     for g in range(3):
         inside = np.arange(60) // 20 == g
         for j in range(11):
-            if not (v[inside, j] > 0).any():
-                continue
             x, y = v[inside, j], v[~inside, j]
             u = (x[:, None] > y).sum() + 0.5 * (x[:, None] == y).sum()
             _, ties = np.unique(v[:, j], return_counts=True)
@@ -110,8 +109,34 @@ def test_welch_and_t_tail(matrix, dense):
     x, y = v[:20, 0], v[20:, 0]
     t = (x.mean() - y.mean()) / math.sqrt(x.var(ddof=1) / 20 + y.var(ddof=1) / 40)
     assert got["g0", 0].t == pytest.approx(t)
-    assert de._beta_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
-    assert de._beta_tail(1.0, 1) == pytest.approx(0.5, abs=1e-9)
+    tails = de.t_tail(np.array([2.0, 1.0, 0.0, np.nan, -2.0, 40.0]), np.array([10.0, 1, 5, 5, 10, 1e6]))
+    assert tails[:3] == pytest.approx([0.07338803, 0.5, 1.0], abs=1e-7) and np.isnan(tails[3]) and tails[4] == tails[0] and tails[5] < 1e-300
+    assert de.log_gamma(np.array([0.5, 1.0, 7.3, 900.0])) == pytest.approx([math.lgamma(x) for x in (0.5, 1.0, 7.3, 900.0)], rel=1e-10, abs=1e-10)
+
+
+def test_groups_that_lack_a_gene_have_rows(matrix, dense):
+    v, groups = log_dense(dense), matrix[1].select("cell_id", "grp")
+    layer = norm.log_norm(matrix[0])
+    means = {(r.grp, r.gene_id): r for r in de.group_means(layer, groups).collect()}
+    changes = {(r.grp, r.gene_id): r for r in de.log_fc(layer, groups).collect()}
+    found = {(r.grp, r.gene_id): r for r in de.chisq_pct(layer, groups).collect()}
+    tests = de.bh_adjust(de.wilcoxon(layer, groups)).collect()
+    for rows in (means, changes, found, {(r.grp, r.gene_id): r for r in tests}, {(r.grp, r.gene_id): r for r in de.welch_t(layer, groups).collect()}):
+        assert set(rows) == {(f"g{g}", j) for g in range(3) for j in range(11)}
+    for g in range(3):
+        inside = np.arange(60) // 20 == g
+        for j in range(11):
+            a, b, c, d = (v[inside, j] > 0).sum(), (v[inside, j] == 0).sum(), (v[~inside, j] > 0).sum(), (v[~inside, j] == 0).sum()
+            chi2 = 60 * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+            key = f"g{g}", j
+            assert means[key].mean_in == pytest.approx(v[inside, j].mean()) and means[key].pct_in == pytest.approx(100 * a / 20)
+            assert changes[key].log_fc == pytest.approx(v[inside, j].mean() - v[~inside, j].mean()) and found[key].chi2 == pytest.approx(chi2)
+    assert means["g1", 2].mean_in == 0 and changes["g1", 2].log_fc < 0
+    own = [r for r in tests if r.grp == "g1"]
+    raw = {r.gene_id: r.p * 11 / sum(x.p <= r.p for x in own) for r in own}  # the family is all genes that occur
+    assert all(r.q == pytest.approx(min(1, min(raw[x.gene_id] for x in own if x.p >= r.p))) for r in own)
+    z = outputs.heatmap(de.group_means(layer, groups), matrix[2].where("gene_id = 2")).collect()
+    assert sum(r.z for r in z) == pytest.approx(0, abs=1e-9) and len(z) == 3
 
 
 def test_bh_with_ties(spark):
@@ -187,6 +212,31 @@ def test_canonicalize(spark):
             canonicalize(spark.createDataFrame([(1, 1, v)], bad)).collect()
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "orc", "json"])
+def test_readers_check_counts(spark, tmp_path, fmt):
+    def stored(rows, name):
+        spark.createDataFrame(rows, "`c.1` long, g long, x double").write.options(header=True).format(fmt).save(f"file://{tmp_path}/{name}")
+        return f"file://{tmp_path}/{name}"
+
+    fine = stored([(1, 1, 2.0), (1, 2, 0.0), (1, 1, 3.0)], "fine")
+    assert sorted(map(tuple, read_long(spark, fine, "c.1", "g", "x", fmt).collect())) == [(1, 1, 2), (1, 1, 3)]
+    assert sorted(map(tuple, read_wide(spark, fine, "c.1", fmt=fmt).collect())) == [(1, "g", 1), (1, "g", 1), (1, "g", 2), (1, "x", 2), (1, "x", 3)]
+    for i, bad in enumerate((1.5, -2.0, None)):
+        path = stored([(1, 1, 2.0), (1, 2, bad)], f"bad{i}")
+        for read in (lambda: read_long(spark, path, "c.1", "g", "x", fmt), lambda: read_wide(spark, path, "c.1", ["x"], fmt)):
+            with pytest.raises(PySparkException):
+                read().collect()
+
+
+def test_events_are_summed_and_checked(spark):
+    schema = "a long, b long, x double"
+    ok = spark.createDataFrame([(1, 1, 0.5), (1, 1, 1.5), (2, 1, None), (3, 1, 1.0), (3, 1, -1.0)], schema)
+    assert [tuple(r) for r in matrix_from_events(ok, "a", "b", "x").collect()] == [(1, 1, 2)]
+    for bad in (0.5, -1.0):
+        with pytest.raises(PySparkException):
+            matrix_from_events(spark.createDataFrame([(1, 1, bad)], schema), "a", "b", "x").collect()
+
+
 def test_read_mtx(spark, tmp_path):
     (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n3 2 3\n1 1 5\n 3   1  2\n2 2 1\n")
     (tmp_path / "genes.tsv").write_text("a\tx\nb\ty\nc\tz\n")
