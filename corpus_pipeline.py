@@ -3,6 +3,10 @@
 Quality rules, one document of each group of near copies, removal of repeated passages,
 masking of secrets, packing. Each stage reads all that the one before kept, as documents
 (doc_id, text, lang, source, n_chars); the last returns pieces and their places.
+
+In every stage a null text counts as empty, rows with null or repeated ids are rows of
+their own, columns beside those named stay as they are (the last stage reads doc_id and
+text alone), a long text is taken whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from cytoframe.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go from texts, rejected documents go as a whole."""
+    """Failing lines go from texts; rejected documents go as a whole, those without text among them."""
     ship(spark)
     return clean_documents(docs, chars="n_chars")
 

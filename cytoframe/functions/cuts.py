@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` to the session's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """``checkpoint()`` to the session's ``spark.checkpoint.dir``; a local folder where none is set and all runs on this machine (tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="cytoframe-"))
     return df.checkpoint()

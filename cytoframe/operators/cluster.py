@@ -5,10 +5,15 @@ Graphs are edge lists (i, j, w) with i < j. Labels are (node or cell_id, label).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cuts import checkpointed
+from .reduce import summed
 
 
 def _nearest(emb: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
@@ -121,34 +126,95 @@ def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = 3, rounds:
     return member
 
 
-def _fitted(emb: DataFrame, estimator) -> DataFrame:
-    """Labels by a library estimator fitted on a canonical row order, which makes it reproducible."""
-    from pyspark.ml.functions import array_to_vector
-
-    rows = emb.select("cell_id", array_to_vector("vec").alias("features"))
-    model = estimator.fit(rows.orderBy("cell_id").coalesce(1))
-    return model.transform(rows).select("cell_id", F.col("prediction").alias("label"))
-
-
-def bisecting_kmeans(emb: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    from pyspark.ml.clustering import BisectingKMeans
+def bisecting_kmeans(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:
+    """(cell_id, label): the largest cluster (the one with the least cell among equals) is split in two by k-means until there are ``k``."""
+    now = checkpointed(emb.select("cell_id", "vec", F.lit(0).alias("label")))
+    for new in range(1, k):
+        sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("least")).collect()  # a row per cluster
+        widest = max(sizes, key=lambda r: (r["n"], -r["least"]), default=None)
+        if widest is None or widest["n"] < 2:
+            break
+        halves = kmeans(now.where(F.col("label") == widest["label"]).select("cell_id", "vec"), 2, seed, iterations)
+        moved = halves.where("label = 1").select("cell_id", F.lit(new).alias("to"))
+        now = checkpointed(now.join(moved, "cell_id", "left").select("cell_id", "vec", F.coalesce("to", "label").alias("label")))
+    return now.select("cell_id", "label")
 
-    return _fitted(emb, BisectingKMeans(k=k, seed=seed))
 
+def gmm(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20, ridge: float = 1e-6) -> DataFrame:
+    """(cell_id, label) by a mixture of ``k`` normal distributions with full covariances, fitted by expectation and maximisation.
 
-def gmm(emb: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    from pyspark.ml.clustering import GaussianMixture
+    It starts from k-means. Each iteration is one pass that sums responsibilities, vectors and
+    products on the executors; the driver holds k x dimensions squared. Parameters are rounded
+    to nine digits, so that partitioning can't change labels.
+    """
+    start = emb.join(kmeans(emb, k, seed, 5), "cell_id").select("cell_id", "vec", "label")
+    start = checkpointed(start)
+    first = start.first()
+    if first is None:
+        return start.select("cell_id", "label")
+    d = len(first["vec"])
+
+    def densities(x: np.ndarray, model: list[tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
+        logs = np.full((len(x), k), -np.inf)
+        for c, (weight, mean, cov) in enumerate(model):
+            if weight > 0:
+                chol = np.linalg.cholesky(cov)
+                z = np.linalg.solve(chol, (x - mean).T)
+                logs[:, c] = np.log(weight) - 0.5 * (z * z).sum(0) - np.log(np.diag(chol)).sum()
+        return logs
+
+    def sums(batches: Iterator[pd.DataFrame], model: list | None) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, d + 1, d + 1))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vec"].to_list())
+            if model is None:
+                r = (pdf["label"].to_numpy()[:, None] == np.arange(k)).astype(float)
+            else:
+                logs = densities(x, model)
+                r = np.exp(logs - logs.max(1, keepdims=True))
+                r /= r.sum(1, keepdims=True)
+            one = np.concatenate([np.ones((len(x), 1)), x], 1)
+            total += np.einsum("nc,ni,nj->cij", r, one, one, optimize=True)
+        yield pd.DataFrame({"row": range(k * (d + 1)), "values": list(total.reshape(-1, d + 1))})
+
+    model = None
+    for _ in range(iterations + 1):
+        total = np.zeros((k * (d + 1), d + 1))
+        for row in summed(start.mapInPandas(lambda it, model=model: sums(it, model), "row int, values array<double>")).toLocalIterator():
+            total[row["row"]] = row["values"]
+        total = total.reshape(k, d + 1, d + 1)
+        n = total[:, 0, 0].sum()
+        following = []
+        for m in total:
+            mean = m[0, 1:] / max(m[0, 0], 1e-12)
+            cov = m[1:, 1:] / max(m[0, 0], 1e-12) - np.outer(mean, mean) + ridge * np.eye(d)
+            following.append((round(float(m[0, 0] / n), 9) if m[0, 0] > 1e-6 * n else 0.0, np.round(mean, 9), np.round((cov + cov.T) / 2, 9)))
+        if model is not None and all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(model, following)):
+            break
+        model = following
 
-    return _fitted(emb, GaussianMixture(k=k, seed=seed))
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"cell_id": pdf["cell_id"], "label": densities(np.stack(pdf["vec"].to_list()), model).round(9).argmax(1).astype(np.int32)})
 
+    return start.select("cell_id", "vec").mapInPandas(labelled, "cell_id long, label int")
 
-def pic(graph: DataFrame, k: int, iterations: int = 20) -> DataFrame:
-    """(node, label) by power iteration clustering."""
-    from pyspark.ml.clustering import PowerIterationClustering
 
-    edges = graph.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("w").cast("double").alias("weight")).orderBy("src", "dst").coalesce(1)
-    found = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(edges)
-    return found.select(F.col("id").alias("node"), F.col("cluster").alias("label"))
+def pic(graph: DataFrame, k: int, iterations: int = 20, seed: int = 1) -> DataFrame:
+    """(node, label) by power iteration clustering: a vector is spread along the edges by joins, then its values are clustered by k-means."""
+    edges = checkpointed(_both_ways(graph))
+    degree = edges.groupBy("node").agg(F.sum("w").alias("degree"))
+    unit = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    now = checkpointed(degree.withColumn("x", unit))
+    for _ in range(iterations):
+        near = edges.join(now.select(F.col("node").alias("other"), "x"), "other").groupBy("node").agg(F.sum(F.col("w") * F.col("x")).alias("sum"))
+        now = checkpointed(near.join(degree, "node").select("node", "degree", F.round(F.try_divide("sum", "degree"), 12).alias("x")))
+    scale = now.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))  # one row
+    values = now.crossJoin(scale).select(F.col("node").alias("cell_id"), F.array(F.round(F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("sd")), F.lit(0.0)), 6)).alias("vec"))
+    return kmeans(checkpointed(values), k, seed).select(F.col("cell_id").alias("node"), "label")
 
 
 def relabel_by_size(labels: DataFrame, node: str = "cell_id") -> DataFrame:

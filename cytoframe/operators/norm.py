@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def cell_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("cell_id").agg(F.sum("cnt").alias("total"))
@@ -15,7 +17,7 @@ def size_factors(counts: DataFrame, target: float | str = "median") -> DataFrame
     totals = cell_totals(counts)
     if target != "median":
         return totals.select("cell_id", (F.col("total") / float(target)).alias("size_factor"))
-    middle = totals.agg(F.median("total").alias("target"))  # one row
+    middle = quantiles(totals, "total", [0.5]).select(F.col("q_0").alias("target"))  # one row
     return totals.crossJoin(middle).select("cell_id", (F.col("total") / F.col("target")).alias("size_factor"))
 
 

@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def violin_data(metrics: DataFrame, column: str, by: str) -> DataFrame:
     """Exact quantiles of a metric in each group."""
-    found = metrics.groupBy(by).agg(F.percentile(column, F.array(*map(F.lit, QUANTILES))).alias("q"), F.count(F.lit(1)).alias("n"))
-    return found.select(by, "n", *(F.col("q")[i].alias(f"q{int(100 * q)}") for i, q in enumerate(QUANTILES)))
+    found = quantiles(metrics, column, QUANTILES, by)
+    return found.select(by, "n", *(F.col(f"q_{i}").alias(f"q{int(100 * q)}") for i, q in enumerate(QUANTILES)))
 
 
 def hist_data(metrics: DataFrame, column: str, by: str, width: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 MAD_SCALE = 1.4826
 
 
@@ -61,10 +63,10 @@ def filter_genes(counts: DataFrame, keep: DataFrame) -> DataFrame:
 def mad_outliers(metrics: DataFrame, column: str, n_mads: float, by: str | None = None, scale: float = MAD_SCALE) -> DataFrame:
     """Adds median, mad and keep: whether the metric is within ``n_mads`` scaled MADs of its group's median."""
     group = [by] if by else []
-    centre = metrics.groupBy(*group).agg(F.median(column).alias("median"))
+    centre = quantiles(metrics, column, [0.5], by).select(*group, F.col("q_0").alias("median"))
     # One row per group, or one row.
     joined = metrics.join(centre, group) if by else metrics.crossJoin(centre)
-    spread = joined.groupBy(*group).agg(F.median(F.abs(F.col(column) - F.col("median"))).alias("mad"))
+    spread = quantiles(joined.withColumn("off_", F.abs(F.col(column) - F.col("median"))), "off_", [0.5], by).select(*group, F.col("q_0").alias("mad"))
     joined = joined.join(spread, group) if by else joined.crossJoin(spread)
     return joined.withColumn("keep", F.abs(F.col(column) - F.col("median")) <= n_mads * scale * F.col("mad"))
 

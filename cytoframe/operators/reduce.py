@@ -11,35 +11,45 @@ from pyspark.sql import functions as F
 
 #: Genes of a PCA at most: the Gram matrix on the driver is their square.
 MAX_GENES = 5_000
-#: Vectors of a block of the exact neighbour search.
-BLOCK = 2_048
+#: Vectors of one matrix product of the exact neighbour search, and of a stripe of them that a task holds.
+BLOCK, STRIPE = 2_048, 65_536
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """(row, values): the arrays of each row added up, wherever they come from."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": pdf["row"][:1], "values": [np.sum(np.stack(pdf["values"].to_list()), axis=0)]})
+
+    return parts.groupBy("row").applyInPandas(add, "row int, values array<double>")
 
 
 def gram(layer: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of outer products and of rows over all cells, for a bounded list of genes; one partial matrix per task."""
     if len(genes) > MAX_GENES:
         raise ValueError(f"select at most {MAX_GENES} genes first")
-    place = {g: i for i, g in enumerate(genes)}
+    known = np.array(sorted(genes), np.int64)
+    place = np.argsort(np.argsort(genes)) if len(genes) else np.zeros(0, np.int64)  # of each gene among the sorted ones
     n = len(genes)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, sums = np.zeros((n, n)), np.zeros(n)
         for pdf in batches:
+            if not len(pdf):
+                continue
+            sizes = pdf["genes"].map(len).to_numpy()
             dense = np.zeros((len(pdf), n))
-            for i, (g, v) in enumerate(zip(pdf["genes"], pdf["values"])):
-                dense[i, [place[x] for x in g]] = v
+            dense[np.repeat(np.arange(len(pdf)), sizes), np.searchsorted(known, np.concatenate(pdf["genes"].to_list()))] = np.concatenate(pdf["values"].to_list())
             total += dense.T @ dense
             sums += dense.sum(0)
         yield pd.DataFrame({"row": range(n + 1), "values": [*total, sums]})
 
     chosen = layer.where(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.collect_list("gene_id").alias("genes"), F.collect_list("v").alias("values"))
-    parts = chosen.select("genes", "values").mapInPandas(partial, "row int, values array<double>")
-    # Summed by place on the executors; n + 1 rows reach the driver.
-    summed = parts.select("row", F.posexplode("values").alias("at", "x")).groupBy("row", "at").agg(F.sum("x").alias("x")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("line"))
+    # As many partial matrices as cores; their rows are added on the executors, and n + 1 rows reach the driver.
+    parts = chosen.select("genes", "values").coalesce(max(1, layer.sparkSession.sparkContext.defaultParallelism)).mapInPandas(partial, "row int, values array<double>")
     out = np.zeros((n + 1, n))
-    for r in summed.toLocalIterator():
-        out[r["row"]] = [e["x"] for e in r["line"]]
-    return out[:n], out[n]
+    for r in summed(parts).toLocalIterator():
+        out[r["row"]] = r["values"]
+    return out[:n][np.ix_(place, place)], out[n][place]
 
 
 def pca(layer: DataFrame, genes: list[int], n_cells: int, k: int, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,43 +92,46 @@ def explained_variance(layer: DataFrame, genes: list[int], n_cells: int, k: int)
     return layer.sparkSession.createDataFrame(rows, "pc int, variance double, ratio double")
 
 
-def _packed(emb: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block of vectors: its number, ids and vectors."""
-    block = F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")
-    return emb.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("cell_id", "vec"))).alias("rows"))
+def _nearest(pdf: pd.DataFrame, k: int, metric: str, digits: int) -> pd.DataFrame:
+    """The ``k`` nearest of one stripe's vectors (side 0) among another's (side 1), block by block."""
+    sides = []
+    for side in (0, 1):
+        own = pdf[pdf["side"] == side]
+        x = np.stack(own["vec"].to_list()).astype(np.float64) if len(own) else np.zeros((0, 1))
+        sides.append((own["cell_id"].to_numpy(np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric == "cosine" else x))
+    (ids, rows), (others, columns) = sides
+    out = []
+    for lo in range(0, len(ids), BLOCK):
+        x, mine = rows[lo : lo + BLOCK], ids[lo : lo + BLOCK]
+        best, who = np.full((len(x), 0), -np.inf), np.zeros((len(x), 0), np.int64)
+        for at in range(0, len(others), BLOCK):
+            y, theirs = columns[at : at + BLOCK], others[at : at + BLOCK]
+            sim = x @ y.T if metric == "cosine" else -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+            sim = np.round(sim, digits) + 0.0
+            sim[mine[:, None] == theirs] = -np.inf
+            best, who = np.concatenate([best, sim], 1), np.concatenate([who, np.broadcast_to(theirs, sim.shape)], 1)
+            order = np.lexsort((who, -best), axis=1)[:, :k]
+            best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
+        ok = np.isfinite(best).ravel()
+        out.append(pd.DataFrame({"cell_id": np.repeat(mine, best.shape[1])[ok], "neighbor": who.ravel()[ok], "similarity": best.ravel()[ok]}))
+    return pd.concat(out) if out else pd.DataFrame({"cell_id": np.zeros(0, np.int64), "neighbor": np.zeros(0, np.int64), "similarity": np.zeros(0)})
 
 
 def knn(emb: DataFrame, k: int, metric: str = "cosine", digits: int = 6) -> DataFrame:
     """(cell_id, neighbor, rank, similarity): the exact ``k`` nearest of every vector, ties by id.
 
-    Blocks of vectors meet block by block, each pair one matrix product that keeps ``k`` for each row, so
-    memory is that of two blocks and nothing grows on the driver. The work is the square of
-    the rows, as it must be; :func:`knn_approx` avoids that. ``euclidean`` similarities are negative distances.
+    Stripes of vectors meet two by two, so each vector moves twice for each stripe and not for each
+    block; a task holds two stripes and one matrix product at a time, and nothing grows on the driver.
+    The work is the square of the rows, as it must be; :func:`knn_approx` avoids that. ``euclidean``
+    similarities are negative distances.
     """
-    blocks = max(1, -(-emb.count() // BLOCK))
-    packed = _packed(emb, blocks)
-    pairs = packed.select(F.col("block").alias("a"), F.col("rows").alias("ra")).crossJoin(packed.select(F.col("block").alias("b"), F.col("rows").alias("rb")))
-    if blocks > 1:
-        pairs = pairs.repartition(blocks * blocks, "a", "b")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ra, rb in zip(pdf["ra"], pdf["rb"]):
-                ids, other = (np.array([r["cell_id"] for r in x]) for x in (ra, rb))
-                x, y = (np.array([r["vec"] for r in v], np.float64) for v in (ra, rb))
-                if metric == "cosine":
-                    x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
-                    sim = x @ y.T
-                else:
-                    sim = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-                sim = np.round(sim, digits) + 0.0
-                sim[ids[:, None] == other] = -np.inf
-                order = np.lexsort((np.broadcast_to(other, sim.shape), -sim), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, 1)
-                ok = np.isfinite(best)
-                yield pd.DataFrame({"cell_id": np.repeat(ids, order.shape[1])[ok.ravel()], "neighbor": other[order].ravel()[ok.ravel()], "similarity": best.ravel()[ok.ravel()]})
-
-    found = pairs.select("ra", "rb").mapInPandas(nearest, "cell_id long, neighbor long, similarity double")
+    n = emb.count()
+    cores = emb.sparkSession.sparkContext.defaultParallelism
+    stripes = max(1, -(-n // STRIPE), min(-(-n // BLOCK), int(np.ceil(np.sqrt(cores)))))
+    stripe = F.pmod(F.xxhash64("cell_id"), F.lit(stripes)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    sides = [emb.select(stripe.alias(own), every.alias(other), F.lit(i).alias("side"), "cell_id", "vec").select("a", "b", "side", "cell_id", "vec") for i, (own, other) in enumerate((("a", "b"), ("b", "a")))]
+    found = sides[0].union(sides[1]).groupBy("a", "b").applyInPandas(lambda pdf: _nearest(pdf, k, metric, digits), "cell_id long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("similarity"), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("cell_id", "neighbor", "rank", "similarity")
 

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ingest import canonicalize
+from .ingest import whole
 
 
 def _names(spark: SparkSession, path: str, id_name: str, name: str) -> DataFrame:
-    """Line k names row or column k; the list is read as one value, which keeps its order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\r?\n")).alias("at", "line"))
-    return lines.select((F.col("at") + 1).cast("long").alias(id_name), F.split("line", "\t")[0].alias(name))
+    """Line k names row or column k. Lines are numbered within the file's blocks, and blocks by what precedes them."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.split("value", "\t")[0].alias(name))
+    own = F.row_number().over(Window.partitionBy("block").orderBy("at"))
+    sizes = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # a row per block
+    before = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    return lines.withColumn("own", own).join(before, "block").select((F.col("before") + F.col("own")).cast("long").alias(id_name), name)
 
 
 def read_mtx(spark: SparkSession, folder: str, matrix: str = "matrix.mtx", genes: str = "genes.tsv", barcodes: str = "barcodes.tsv") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, cells, genes) of a folder with a coordinate matrix of ``gene cell value`` lines, ids from 1.
 
-    The size line is the first line that isn't a comment. It has three whole numbers like
-    any other, so it is found by its place: the driver reads the lines up to it, and the
-    scan leaves out that many leading lines of the one file, by its own order.
+    The size line, the first that isn't a comment, has three whole numbers like any other. It
+    is read as an entry and then taken away again from the cell it seems to name, so it
+    doesn't matter which task meets it, and a header may have any number of comments.
     """
-    lines = spark.read.text(f"{folder}/{matrix}")
-    head, size = 0, None
-    for row in lines.limit(10_000).toLocalIterator():
-        head += 1
-        if row["value"].strip() and not row["value"].startswith("%"):
-            size = [int(x) for x in row["value"].split()]
-            break
-    if size is None or len(size) != 3:
+    lines = spark.read.text(f"{folder}/{matrix}").select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '%')")
+    first = lines.first()
+    size = first["value"].split() if first else []
+    if len(size) != 3 or not all(x.isdigit() for x in size):
         raise ValueError("no size line")
-    # Ids follow the order in the file within the first partition, where the header lies.
-    body = lines.withColumn("at", F.monotonically_increasing_id()).where(F.col("at") >= head)
-    parts = F.split(F.trim("value"), r"\s+")
-    entries = body.where(F.trim("value") != "").select(parts[1].cast("long").alias("cell_id"), parts[0].cast("long").alias("gene_id"), parts[2].cast("double").alias("cnt"))
-    cells = _names(spark, f"{folder}/{barcodes}", "cell_id", "cell_name")
-    return canonicalize(entries), cells, _names(spark, f"{folder}/{genes}", "gene_id", "gene_name")
+    parts = F.split("value", r"\s+")
+    entries = lines.select(parts[1].cast("long").alias("cell_id"), parts[0].cast("long").alias("gene_id"), whole(parts[2].cast("double")).alias("cnt"))
+    taken = spark.createDataFrame([(int(size[1]), int(size[0]), -int(size[2]))], "cell_id long, gene_id long, cnt long")
+    counts = entries.union(taken).groupBy("cell_id", "gene_id").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+    return counts, _names(spark, f"{folder}/{barcodes}", "cell_id", "cell_name"), _names(spark, f"{folder}/{genes}", "gene_id", "gene_name")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from cytoframe.functions.quantiles import quantiles
 from cytoframe.operators import cluster, de, norm, outputs, qc, reduce
 from cytoframe.sources import canonicalize, matrix_from_events, read_long, read_mtx, read_wide
 
@@ -195,6 +196,30 @@ def test_clusterings_find_blobs_whatever_the_partitioning(blobs):
     assert cluster.agreement(comps.select(F.col("node").alias("cell_id"), "label"), truth).first().ari >= 0.95
 
 
+def test_library_clusterings(blobs):
+    """Blobs are found, with equal labels whatever the partitioning."""
+    _, emb, truth = blobs
+    near = reduce.knn(emb, 5, "euclidean")
+    graph = near.select(F.least("cell_id", "neighbor").alias("i"), F.greatest("cell_id", "neighbor").alias("j")).distinct().withColumn("w", F.lit(1.0)).cache()
+    for made, least in ((lambda n: cluster.bisecting_kmeans(emb.repartition(n), 3), 0.95), (lambda n: cluster.gmm(emb.repartition(n), 3, seed=2, iterations=5), 0.6), (lambda n: cluster.pic(graph.repartition(n), 3).withColumnRenamed("node", "cell_id"), 0.6)):
+        one, many = (sorted(map(tuple, made(n).collect())) for n in (1, 5))
+        assert one == many and len(one) == 90
+        assert cluster.agreement(made(2), truth).first().purity >= least
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), (None, 301), ("c", 1000)) for x in np.round(rng.exponential(3, n) ** 3, 2)] + [("d", 4.0)] * 7 + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    wanted = (0, 0.1, 0.5, 0.99, 1)
+    got = {r[0]: (r.n, list(r)[2:]) for r in quantiles(df, "x", wanted, "g").collect()}
+    for g in ("a", "b", None, "c", "d"):
+        own = [x for k, x in rows if k == g and x is not None]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(np.quantile(own, wanted).tolist())
+    assert list(quantiles(df, "x", [0.5]).first()) == pytest.approx([1311, np.median([x for _, x in rows if x is not None])])
+    assert quantiles(df.limit(0), "x", [0.5], "g").count() == 0
+
+
 def test_graph_pieces(spark):
     two = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 1.0)], "i long, j long, w double")
     assert {r.label for r in cluster.connected_components(two).collect()} == {0}
@@ -238,11 +263,11 @@ def test_events_are_summed_and_checked(spark):
 
 
 def test_read_mtx(spark, tmp_path):
-    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n3 2 3\n1 1 5\n 3   1  2\n2 2 1\n")
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n" + "% note\n" * 12_000 + "\n3 2 4\n1 1 5\n 3   1  2\n2 2 1\n3 2 4\n")
     (tmp_path / "genes.tsv").write_text("a\tx\nb\ty\nc\tz\n")
     (tmp_path / "barcodes.tsv").write_text("c1\nc2\n")
     counts, cells, genes = read_mtx(spark, f"file://{tmp_path}")
-    assert sorted(map(tuple, counts.collect())) == [(1, 1, 5), (1, 3, 2), (2, 2, 1)]
+    assert sorted(map(tuple, counts.collect())) == [(1, 1, 5), (1, 3, 2), (2, 2, 1), (2, 3, 4)]
     assert sorted(map(tuple, cells.collect())) == [(1, "c1"), (2, "c2")]
     assert sorted(map(tuple, genes.collect())) == [(1, "a"), (2, "b"), (3, "c")]
 
