@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import cut, temporary
 from .words import Slice, U, batch_of, lean, mix, rolling, slices
 
 SHINGLE = 5
@@ -444,6 +444,15 @@ def similarity_components(df: DataFrame, shingle: int = SHINGLE, text: str = "te
     return out.select(F.expr(null.format("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.expr(null.format("coalesce(to, key)")).alias("component_id"))
 
 
+def _judged(source: DataFrame, shingle: int) -> DataFrame:
+    """(key_, id_, stays_, rows) of rows of a component that go, or that stay once though they are several."""
+    described, classes = _components(source, shingle, keys=False)
+    group = classes.select("set1", "set2", "n", F.coalesce("component", "set1").alias("group"))
+    rows = cut(described.where("n > 0").select("key", "id", "set1", "set2", "n").join(group, ["set1", "set2", "n"]).groupBy("group", "key", "id").agg(F.count(F.lit(1)).alias("rows")), "grouped")
+    stays = rows.groupBy("group").agg(F.min(F.struct("key", "id")).alias("stays"))
+    return cut(rows.join(stays, "group").select(F.col("key").alias("key_"), F.col("id").alias("id_"), F.expr("stays = struct(key, id)").alias("stays_"), "rows").where("not stays_ or rows > 1"), "judged")
+
+
 def keep_one(df: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with one row of each component of linked rows: one with the least key, a null one before all others.
 
@@ -452,11 +461,9 @@ def keep_one(df: DataFrame, shingle: int = SHINGLE, text: str = "text", key: str
     besides is the text of kept rows that repeat a row's key and text.
     """
     source = _source(df, text, key)
-    described, classes = _components(source, shingle, keys=False)
-    group = classes.select("set1", "set2", "n", F.coalesce("component", "set1").alias("group"))
-    rows = cut(described.where("n > 0").select("key", "id", "set1", "set2", "n").join(group, ["set1", "set2", "n"]).groupBy("group", "key", "id").agg(F.count(F.lit(1)).alias("rows")), "grouped")
-    stays = rows.groupBy("group").agg(F.min(F.struct("key", "id")).alias("stays"))
-    judged = cut(rows.join(stays, "group").select(F.col("key").alias("key_"), F.col("id").alias("id_"), F.expr("stays = struct(key, id)").alias("stays_"), "rows").where("not stays_ or rows > 1"), "judged")
+    with temporary(df.sparkSession) as kept:
+        judged = _judged(source, shingle)
+        kept.append(judged)
     own = [f"in{i}_" for i in range(len(df.columns))]
     at, of = own[df.columns.index(text)], own[df.columns.index(key)]
     marked = df.toDF(*own).withColumns({"key_": F.coalesce(F.col(of).cast("long"), F.lit(_NO_KEY)), "id_": F.xxhash64(at)})

@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, forget
+from .scratch import cut, forget, temporary
 from .words import Slice, U, batch_of, lean, mix, rolling, slices, windows
 
 WINDOW = 20
@@ -280,25 +280,27 @@ def repeats(source: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = L
     window is one row of each document that has it; minima taken before the exchange and
     splittable joins take it. Lists are of one row's names or windows.
     """
-    asking, copies = source, None
-    for turn in range(len(levels)):
-        names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1])), _NAMES), "names")
-        shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
-        met = names.join(shared, ["name", "check"])
-        told = cut(met.groupBy("key").agg(F.collect_set(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
-        forget(names)
-        told_of = told.where("size(names) > 0")
-        if copies is None:
-            copies = told.where("size(copies) > 0").select("key", "copies")
-            # A copy has no window of its own, but other rows of its key may.
-            several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-            told_of = told_of.where("size(copies) = 0").union(told_of.where("size(copies) > 0").join(several, "key", "left_semi"))
-        asking = source.join(told_of.select("key", "names"), "key").select("key", "text", "names")
-    found = cut(asking.mapInArrow(lambda it: lean(_windows(it, window, levels[-1])), _WINDOWS), "windows")
-    first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
-    seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list(F.struct("hash", "check")).alias("seen"))
-    marks = cut(seen.join(copies, "key", "full_outer").select("key", "copies", "seen"), "repeats")
-    forget(found)
+    with temporary(source.sparkSession) as kept:
+        asking, copies = source, None
+        for turn in range(len(levels)):
+            names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1])), _NAMES), "names")
+            shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
+            met = names.join(shared, ["name", "check"])
+            told = cut(met.groupBy("key").agg(F.collect_set(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
+            forget(names)
+            told_of = told.where("size(names) > 0")
+            if copies is None:
+                copies = told.where("size(copies) > 0").select("key", "copies")
+                # A copy has no window of its own, but other rows of its key may.
+                several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+                told_of = told_of.where("size(copies) = 0").union(told_of.where("size(copies) > 0").join(several, "key", "left_semi"))
+            asking = source.join(told_of.select("key", "names"), "key").select("key", "text", "names")
+        found = cut(asking.mapInArrow(lambda it: lean(_windows(it, window, levels[-1])), _WINDOWS), "windows")
+        first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
+        seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list(F.struct("hash", "check")).alias("seen"))
+        marks = cut(seen.join(copies, "key", "full_outer").select("key", "copies", "seen"), "repeats")
+        forget(found)
+        kept.append(marks)
     return marks
 
 

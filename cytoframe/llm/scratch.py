@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _DIR = "spark.checkpoint.dir"
 _local: list[str] = []
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cytoframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with _freeing_shuffles(spark):
         df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +58,21 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables cut within go at the end, but for those appended to the list that it gives: what is returned must read no others."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        # By their own names, as the same folder may be written with and without its file system.
+        stay = {f.rsplit("/", 2)[-2] for table in kept for f in table.inputFiles()}
+        for path in _open.pop():
+            if path.rsplit("/", 1)[-1] not in stay:
+                _delete(spark, path)
+
+
 def forget(table: DataFrame) -> None:
     """Delete a table made by :func:`cut` once nothing reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
