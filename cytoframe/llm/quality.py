@@ -33,10 +33,16 @@ class Rules:
     endings: str = ".!?…\"'”’»)]:;"
     #: Repetition: this share of words equal the word before.
     max_stutter: float = 0.4
-    #: Boilerplate: phrases, lower case.
+    #: Boilerplate: phrases of English, German, French and Spanish, lower case.
     boilerplate: tuple[str, ...] = (
         "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled", "licensed under", "lorem ipsum",
         "privacy policy", "released under the", "subscribe to our newsletter", "terms of service", "terms of use", "this work is licensed",
+        "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "javascript aktivieren", "javascript ist deaktiviert",
+        "newsletter abonnieren", "nutzungsbedingungen", "diese website verwendet cookies",
+        "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "activer javascript",
+        "javascript est désactivé", "abonnez-vous à notre newsletter", "ce site utilise des cookies",
+        "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal", "habilitar javascript",
+        "javascript está desactivado", "suscríbete a nuestro boletín", "este sitio utiliza cookies",
     )
     #: A document goes if its failing lines hold more than this share of its words.
     max_lost: float = 0.5

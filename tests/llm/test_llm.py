@@ -477,6 +477,44 @@ def test_quality(spark, docs, texts):
     assert quality.judge(empty(spark)).count() == 0 and quality.clean_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("line, rule", [
+    ("Copyright 2020. All rights reserved.", "boilerplate"),
+    ("© 2020 Alle Rechte vorbehalten.", "boilerplate"),
+    ("Tous droits réservés", "boilerplate"),
+    ("Consulte nuestra Política de privacidad.", "boilerplate"),
+    ("Home | News | About", "navigation"),
+    ("five words!! with?? marks** each## one%%", "punctuation"),
+    ("go go go go go", "repetition"),
+    ("one two three four five six seven eight nine ten eleven twelve thirteen", "punctuation"),
+    ("one two three four five six seven eight nine ten eleven twelve thirteen.", None),
+    ("one two three four five six seven eight nine ten eleven twelve", None),
+    ("Short line", None),
+])
+def test_line_rules(line, rule):
+    assert quality.line_failure(line, quality.Rules()) == rule
+
+
+def test_kept_by_the_share_of_lost_words(spark):
+    """A text goes when more than half its words are in failing lines; null, repeated and long rows keep their places."""
+    good, bad = "These plain words make a sound line of prose for everyone who reads it here today.", "Home | News | About"
+    other = "No shared run of eight can be found between that first sentence and this second one."
+    rows = [(1, "\n".join([good] * 2 + ["Unlike lines end here too."])), (2, "\n".join([good, other] + [f"{bad} | {i}" for i in range(5)])), (3, "\n".join([good, other] + [f"{bad} | {i}" for i in range(4)])),
+            (None, None), (3, "\n".join(f"{bad} | {i}" for i in range(20))), (4, "\n".join(f"{i} Many sound lines make {i * 7} long text of {i * i} words." for i in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = []
+    for key, text in rows:
+        lines = [x for x in (text or "").split("\n") if split(x)]
+        lost = sum(len(split(x)) for x in lines if quality.line_failure(x, quality.Rules()))
+        want.append((key, len(split(text or "")), lost))
+    got = quality.judge(df).collect()
+    by = lambda t: tuple(x if x is not None else -1 for x in t)
+    assert sorted(((r.doc_id, r.n_words, r.n_lost_words) for r in got), key=by) == sorted(want, key=by)
+    for r in got:
+        assert r.kept == (not r.base_failed and 2 * r.n_lost_words <= r.n_words)
+    assert {r.doc_id for r in got if r.kept} >= {4} and not any(r.kept for r in got if r.doc_id is None)
+    assert sorted((r.doc_id, r.kept) for r in got if r.doc_id in (2, 3)) == [(2, False), (3, False), (3, True)]
+
+
 # ---- 8: language
 
 def test_gradients():
