@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cuts import checkpointed
+
 #: Genes of a PCA at most: the Gram matrix on the driver is their square.
 MAX_GENES = 5_000
 #: Vectors of one matrix product of the exact neighbour search, and of a stripe of them that a task holds.
@@ -117,8 +119,8 @@ def _nearest(pdf: pd.DataFrame, k: int, metric: str, digits: int) -> pd.DataFram
     return pd.concat(out) if out else pd.DataFrame({"cell_id": np.zeros(0, np.int64), "neighbor": np.zeros(0, np.int64), "similarity": np.zeros(0)})
 
 
-def knn(emb: DataFrame, k: int, metric: str = "cosine", digits: int = 6) -> DataFrame:
-    """(cell_id, neighbor, rank, similarity): the exact ``k`` nearest of every vector, ties by id.
+def knn(emb: DataFrame, k: int, metric: str = "cosine", digits: int = 6, of: DataFrame | None = None) -> DataFrame:
+    """(cell_id, neighbor, rank, similarity): the exact ``k`` nearest of every vector, or of those of ``of``, ties by id.
 
     Stripes of vectors meet two by two, so each vector moves twice for each stripe and not for each
     block; a task holds two stripes and one matrix product at a time, and nothing grows on the driver.
@@ -130,22 +132,29 @@ def knn(emb: DataFrame, k: int, metric: str = "cosine", digits: int = 6) -> Data
     stripes = max(1, -(-n // STRIPE), min(-(-n // BLOCK), int(np.ceil(np.sqrt(cores)))))
     stripe = F.pmod(F.xxhash64("cell_id"), F.lit(stripes)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
-    sides = [emb.select(stripe.alias(own), every.alias(other), F.lit(i).alias("side"), "cell_id", "vec").select("a", "b", "side", "cell_id", "vec") for i, (own, other) in enumerate((("a", "b"), ("b", "a")))]
+    sides = [rows.select(stripe.alias(own), every.alias(other), F.lit(i).alias("side"), "cell_id", "vec").select("a", "b", "side", "cell_id", "vec") for i, (rows, own, other) in enumerate(((emb if of is None else of, "a", "b"), (emb, "b", "a")))]
     found = sides[0].union(sides[1]).groupBy("a", "b").applyInPandas(lambda pdf: _nearest(pdf, k, metric, digits), "cell_id long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("similarity"), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("cell_id", "neighbor", "rank", "similarity")
 
 
 def knn_approx(emb: DataFrame, k: int, radius: float, bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
-    """Neighbours within ``radius`` (Euclidean) that random projections bring together, the nearest ``k`` of each."""
+    """The nearest ``k`` (Euclidean) of every vector among those that random projections bring within ``radius`` of it.
+
+    Vectors with fewer than ``k`` there, outliers above all, are searched exactly, so each gets ``k`` where there are so many.
+    A wide radius makes more candidates, a narrow one more exact searches.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     rows = emb.select("cell_id", array_to_vector("vec").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, radius, "distance").select(F.col("datasetA.cell_id").alias("cell_id"), F.col("datasetB.cell_id").alias("neighbor"), F.round(-F.col("distance"), 6).alias("similarity")).where("cell_id <> neighbor")
+    near = model.approxSimilarityJoin(rows, rows, radius, "distance").select(F.col("datasetA.cell_id").alias("cell_id"), F.col("datasetB.cell_id").alias("neighbor"), (F.round(-F.col("distance"), 6) + 0.0).alias("similarity")).where("cell_id <> neighbor")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("similarity"), "neighbor"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("cell_id", "neighbor", "rank", "similarity")
+    found = checkpointed(near.withColumn("rank", rank).where(F.col("rank") <= k).select("cell_id", "neighbor", "rank", "similarity"))
+    full = found.where(F.col("rank") == k).select("cell_id")
+    rest = knn(emb, k, "euclidean", of=emb.join(full, "cell_id", "left_anti"))
+    return found.join(full, "cell_id", "left_semi").unionByName(rest)
 
 
 def snn(neighbors: DataFrame) -> DataFrame:

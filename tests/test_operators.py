@@ -179,6 +179,20 @@ def test_knn_forms(blobs, monkeypatch):
     assert one == many == want
 
 
+def test_approximate_neighbours(spark, blobs):
+    """Recall against brute force, with outliers that have nobody within the radius; every vector gets k."""
+    points = np.concatenate([blobs[0], 50 * np.eye(4), np.random.default_rng(8).normal(0, 1, (100, 4))])
+    emb = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "cell_id long, vec array<double>")
+    d = np.round(np.sqrt(((points[:, None] - points) ** 2).sum(2)), 6)
+    n = len(points)
+    want = {(i, j) for i in range(n) for j in sorted(set(range(n)) - {i}, key=lambda j: (d[i, j], j))[:4]}
+    rows = reduce.knn_approx(emb, 4, radius=1.2).collect()
+    got = {(r.cell_id, r.neighbor) for r in rows}
+    assert len(rows) == len(got) == 4 * n and len(got & want) >= 0.9 * len(want)
+    assert {(i, j) for i, j in want if 90 <= i < 94} <= got
+    assert all(r.similarity == pytest.approx(-d[r.cell_id, r.neighbor], abs=2e-6) for r in rows)
+
+
 def test_clusterings_find_blobs_whatever_the_partitioning(blobs):
     _, emb, truth = blobs
     seen = []
