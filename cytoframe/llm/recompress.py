@@ -61,13 +61,18 @@ class Cores:
         return np.where(whole, missing[self.hi] == missing[self.lo], np.isin(self.rest ^ salt[self.rows[at]], asked)) if len(whole) else whole
 
     def found_in(self, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The names, with their rows, that cores of these windows hold."""
+        """The names, with their rows, that cores of these windows hold; a row's name once."""
         lo, hi, whole = self.lo[windows_], self.hi[windows_], self.lo[windows_] < self.hi[windows_]
         edge = np.zeros(len(self.names) + 1, np.int32)
         np.add.at(edge, lo[whole], 1)
         np.add.at(edge, hi[whole], -1)
         held = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        return np.concatenate([self.names[held], self.rest[windows_][~whole]]), np.concatenate([self.rows[held], self.rows[lo[~whole]]])
+        names, rows = np.concatenate([self.names[held], self.rest[windows_][~whole]]), np.concatenate([self.rows[held], self.rows[lo[~whole]]])
+        order = np.lexsort((names, rows))
+        names, rows = names[order], rows[order]
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (rows[1:] != rows[:-1])
+        return names[new], rows[new]
 
 
 def cores(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[Cores]:
@@ -286,7 +291,7 @@ def repeats(source: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = L
             names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1])), _NAMES), "names")
             shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
             met = names.join(shared, ["name", "check"])
-            told = cut(met.groupBy("key").agg(F.collect_set(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
+            told = cut(met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
             forget(names)
             told_of = told.where("size(names) > 0")
             if copies is None:
