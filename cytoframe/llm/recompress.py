@@ -41,6 +41,19 @@ def window_hashes(s: Slice, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.n
     return mix(rolling(h, k)[at]), (mix(rolling(mix(h ^ _RUN), k)[at]) >> U(32)).astype(np.uint32)
 
 
+def listed_in(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ones. Most of those that aren't are told by their low bits, before any search."""
+    bits = min(22, len(listed).bit_length() + 3)
+    mask = U((1 << bits) - 1)
+    table = np.zeros(1 << bits, bool)
+    table[(listed & mask).astype(np.int64)] = True
+    out = table[(x & mask).astype(np.int64)]
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = listed[np.minimum(np.searchsorted(listed, x[at]), len(listed) - 1)] == x[at]
+    return out
+
+
 @dataclass
 class Cores:
     """A level's names with the row of each, the range of names that is each window's core, and the name of a window whose core is empty."""
@@ -54,25 +67,24 @@ class Cores:
     def outlast(self, wanted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which windows have nothing but names in their core that are wanted by their row; rows want ``sizes`` names each, in order."""
         salt = mix(np.arange(1, len(sizes) + 1, dtype=U) * _RIGHT)
-        asked = np.unique(wanted ^ np.repeat(salt, sizes))
-        missing = np.concatenate([[0], np.cumsum(~np.isin(self.names ^ salt[self.rows], asked))])
+        asked = np.sort(wanted ^ np.repeat(salt, sizes))
+        missing = np.concatenate([[0], np.cumsum(~listed_in(self.names ^ salt[self.rows], asked))])
         whole = self.lo < self.hi
         at = np.minimum(self.lo, max(0, len(self.rows) - 1))
-        return np.where(whole, missing[self.hi] == missing[self.lo], np.isin(self.rest ^ salt[self.rows[at]], asked)) if len(whole) else whole
+        return np.where(whole, missing[self.hi] == missing[self.lo], listed_in(self.rest ^ salt[self.rows[at]], asked)) if len(whole) else whole
 
     def found_in(self, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The names, with their rows, that cores of these windows hold; a row's name once."""
+        """The names, with their rows, that cores of these windows hold."""
         lo, hi, whole = self.lo[windows_], self.hi[windows_], self.lo[windows_] < self.hi[windows_]
         edge = np.zeros(len(self.names) + 1, np.int32)
         np.add.at(edge, lo[whole], 1)
         np.add.at(edge, hi[whole], -1)
         held = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        names, rows = np.concatenate([self.names[held], self.rest[windows_][~whole]]), np.concatenate([self.rows[held], self.rows[lo[~whole]]])
-        order = np.lexsort((names, rows))
-        names, rows = names[order], rows[order]
-        new = np.ones(len(names), bool)
-        new[1:] = (names[1:] != names[:-1]) | (rows[1:] != rows[:-1])
-        return names[new], rows[new]
+        # Neighbouring windows with empty cores often have the same name.
+        rest, at = self.rest[windows_][~whole], self.rows[lo[~whole]]
+        new = np.ones(len(rest), bool)
+        new[1:] = (rest[1:] != rest[:-1]) | (at[1:] != at[:-1])
+        return np.concatenate([self.names[held], rest[new]]), np.concatenate([self.rows[held], at[new]])
 
 
 def cores(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[Cores]:
@@ -119,15 +131,21 @@ def cores(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, levels: tupl
 
 def first_met(code: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Which of the pairs are the first that are equal to them in both numbers."""
-    order = np.lexsort((check, code))
-    new = np.ones(len(code), bool)
-    new[order[1:]] = (code[order[1:]] != code[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
-    return new
+    out = np.ones(len(code), bool)
+    order = np.argsort(code)
+    twin = code[order[1:]] == code[order[:-1]]
+    # Only numbers that occur twice need an order that keeps the first in front.
+    alike = np.zeros(len(code), bool)
+    alike[order[1:][twin]] = alike[order[:-1][twin]] = True
+    at = np.flatnonzero(alike)
+    at = at[np.lexsort((check[at], code[at]))]
+    out[at[1:]] = (code[at[1:]] != code[at[:-1]]) | (check[at[1:]] != check[at[:-1]])
+    return out
 
 
 def among(code: np.ndarray, check: np.ndarray, listed: np.ndarray, listed_check: np.ndarray) -> np.ndarray:
     """Which of the pairs are listed, equal in both numbers."""
-    out = np.isin(code, listed)
+    out = listed_in(code, np.sort(listed))
     at = np.flatnonzero(out)
     # Listed ones stand first, so a pair is listed if it isn't the first of its kind, or repeats one that is.
     both, checks = np.concatenate([listed, code[at]]), np.concatenate([listed_check, check[at]])
