@@ -31,7 +31,7 @@ from .words import Slice, U, batch_of, lean, mix, rolling, slices, windows
 
 WINDOW = 20
 #: Levels whose names a Spark round counts. A symbol of level n is about 1.33 ** n words long; a core of 20 words is rarely empty before the seventh.
-LEVELS = (4, 6)
+LEVELS = (5, 6)
 _NO_KEY = -(1 << 63)
 _LEFT, _RIGHT, _RUN = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
