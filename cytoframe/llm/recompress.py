@@ -125,7 +125,7 @@ def cores(h: np.ndarray, owner: np.ndarray, at: np.ndarray, k: int, levels: tupl
         if level in levels:
             full_lo, full_hi = place_of.copy(), place_of.copy()
             full_lo[live], full_hi[live] = lo, hi
-            out.append(Cores(mix(sym ^ U(level) * _RUN), own, full_lo, full_hi, mix(rest ^ _RUN)))
+            out.append(Cores(mix(sym ^ U(level * int(_RUN) % (1 << 64))), own, full_lo, full_hi, mix(rest ^ _RUN)))
     return out
 
 

@@ -790,3 +790,18 @@ def test_pipeline(spark, docs, texts, tmp_path):
         kept = {k: r.text for k, r in rows.items()}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(kept)
+
+
+def test_searches_among_hashes_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 500):
+        code, check = rng.integers(0, max(1, n // 2), n, dtype=np.uint64), rng.integers(0, 2, n, dtype=np.uint32)
+        code[n // 2 :] <<= np.uint64(40)
+        met, want = set(), []
+        for pair in zip(code.tolist(), check.tolist()):
+            want.append(pair not in met)
+            met.add(pair)
+        assert recompress.first_met(code, check).tolist() == want
+        for k in (0, 1, 60):
+            listed = np.sort(rng.choice(np.append(code, np.uint64(7)), k))
+            assert recompress.listed_in(code, listed).tolist() == np.isin(code, listed).tolist()
