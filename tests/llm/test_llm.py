@@ -736,7 +736,8 @@ def test_copies_are_told_by_row(spark):
 @pytest.mark.parametrize("name", queries.SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
