@@ -173,7 +173,16 @@ def _signed(x: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(x).view(kind)
 
 
-_NAMES = "name long, check int, key long"
+#: Columns that tell rows apart: a key that one row has, or else the key and a hash of the text.
+_ONE, _SEVERAL = ["key"], ["key", "sub"]
+
+
+def _schema(*columns: tuple[str, pa.DataType], by: list[str]) -> pa.Schema:
+    return pa.schema([*columns, *((c, pa.int64()) for c in by)])
+
+
+def _ddl(columns: str, by: list[str]) -> str:
+    return ", ".join([columns, *(f"{c} long" for c in by)])
 
 
 def _lists(column: pa.Array, lo: int, n: int) -> tuple[pa.Array, np.ndarray]:
@@ -182,20 +191,20 @@ def _lists(column: pa.Array, lo: int, n: int) -> tuple[pa.Array, np.ndarray]:
     return own.flatten(), pa.compute.fill_null(pa.compute.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _names(batches: Iterator[pa.RecordBatch], k: int, levels: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _names(batches: Iterator[pa.RecordBatch], k: int, levels: tuple[int, ...], by: list[str]) -> Iterator[pa.RecordBatch]:
     """(name, 0, key) for each name of the last level in a core of a row's windows that outlast the level before it; in the first round for all windows, and (name, check, key) for the row as a whole."""
-    schema = pa.schema([("name", pa.int64()), ("check", pa.int32()), ("key", pa.int64())])
+    schema = _schema(("name", pa.int64()), ("check", pa.int32()), by=by)
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for s in slices(batch.column(1)):
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        for s in slices(batch.column("text")):
             h, owner, at = s.hashes(), s.owner(), windows(s, k)
             if not len(at):
                 continue
             *before, last = cores(h, owner, at, k, levels[-2:])
             if before:
-                asked, sizes = _lists(batch.column(2), s.first, s.n)
+                asked, sizes = _lists(batch.column("names"), s.first, s.n)
                 names, who = last.found_in(np.flatnonzero(before[0].outlast(asked.to_numpy(zero_copy_only=False).view(U), sizes)))
-                yield batch_of(schema, _signed(names, np.int64), np.zeros(len(names), np.int32), keys[s.first + who])
+                yield batch_of(schema, _signed(names, np.int64), np.zeros(len(names), np.int32), *(c[s.first + who] for c in keys))
                 continue
             names, who = last.found_in(np.arange(len(at)))
             whole, check = document_names(h, s)
@@ -204,30 +213,27 @@ def _names(batches: Iterator[pa.RecordBatch], k: int, levels: tuple[int, ...]) -
                 schema,
                 np.concatenate([_signed(names, np.int64), _signed(whole[long], np.int64)]),
                 np.concatenate([np.zeros(len(names), np.int32), _signed(check[long], np.int32) | 1]),
-                np.concatenate([keys[s.first + who], keys[s.first + long]]),
+                *(np.concatenate([c[s.first + who], c[s.first + long]]) for c in keys),
             )
 
 
-_WINDOWS = "hash long, check int, key long"
-
-
-def _windows(batches: Iterator[pa.RecordBatch], k: int, level: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], k: int, level: int, by: list[str]) -> Iterator[pa.RecordBatch]:
     """(hash, check, key) of each different window of a row whose core at this level has names only that are among the row's."""
-    schema = pa.schema([("hash", pa.int64()), ("check", pa.int32()), ("key", pa.int64())])
+    schema = _schema(("hash", pa.int64()), ("check", pa.int32()), by=by)
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for s in slices(batch.column(1)):
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        for s in slices(batch.column("text")):
             h, owner, at = s.hashes(), s.owner(), windows(s, k)
-            asked, sizes = _lists(batch.column(2), s.first, s.n)
+            asked, sizes = _lists(batch.column("names"), s.first, s.n)
             at = at[cores(h, owner, at, k, (level,))[0].outlast(asked.to_numpy(zero_copy_only=False).view(U), sizes)]
             who = owner[at]
             code, check = window_hashes(s, h, at, k)
             first = first_met(code ^ mix((who + 1).astype(U) * _RIGHT), check)
-            yield batch_of(schema, _signed(code[first], np.int64), _signed(check[first], np.int32), keys[s.first + who[first]])
+            yield batch_of(schema, _signed(code[first], np.int64), _signed(check[first], np.int32), *(c[s.first + who[first]] for c in keys))
 
 
 def _copied(h: np.ndarray, s: Slice, copies: pa.Array) -> np.ndarray:
-    """Which rows of a slice bear one of the document names listed for their key."""
+    """Which rows of a slice bear one of the document names listed for them."""
     out, listed = np.zeros(s.n, bool), copies.to_pylist()
     if any(listed):
         name, check = document_names(h, s)
@@ -241,7 +247,7 @@ _OUT = "key long, n_words long, n_removed long, kept_text string"
 
 
 def _kept(s: Slice, copies: pa.Array, seen: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, all of a row whose name is among its key's copies, or that the row itself repeats."""
+    """Words, removed words and kept text of a slice's rows: windows go that are listed as seen in an earlier row, all of a row whose name is among its copies, or that the row itself repeats."""
     h, owner, at = s.hashes(), s.owner(), windows(s, k)
     who = owner[at]
     code, check = window_hashes(s, h, at, k)
@@ -295,33 +301,42 @@ def _rewrite(batches: Iterator[pa.RecordBatch], k: int, at: int, chars: int) ->
             yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(stays)
 
 
-def repeats(source: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """For rows (key, text): key, copies (names of its rows that as a whole repeat an earlier one), seen (hash and check of its windows that an earlier row has).
+def _told_apart(source: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows (key, text) with columns that tell rows apart, and these: keys where each is one row's, else keys and hashes of texts.
+
+    Rows that share both are equal, and so is what is found for them.
+    """
+    if source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return source.select("key", "text"), _ONE
+    return source.select("key", "text", F.xxhash64("text").alias("sub")), _SEVERAL
+
+
+def repeats(source: DataFrame, by: list[str], window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """For rows (key, text, and what else tells them apart, ``by``): copies (a row's name, if as a whole it repeats an earlier one), seen (hash and check of its windows that an earlier row has).
 
     What moves: in each round a name for each symbol still in question, one hash for each window
     that outlasts the rounds, and the text of rows that hear of shared names. A frequent name or
     window is one row of each document that has it; minima taken before the exchange and
-    splittable joins take it. Lists are of one row's names or windows.
+    splittable joins take it. Lists are of one row's names or windows, however many rows share its key.
     """
+    gathered = F.collect_list if by == _ONE else F.collect_set  # equal rows have each name several times
     with temporary(source.sparkSession) as kept:
         asking, copies = source, None
         for turn in range(len(levels)):
-            names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1])), _NAMES), "names")
+            names = cut(asking.mapInArrow(lambda it, turn=turn: lean(_names(it, window, levels[: turn + 1], by)), _ddl("name long, check int", by)), "names")
             shared = names.groupBy("name", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first").drop("last")
             met = names.join(shared, ["name", "check"])
-            told = cut(met.groupBy("key").agg(F.collect_list(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
+            told = cut(met.groupBy(*by).agg(gathered(F.expr("if(check = 0, name, null)")).alias("names"), F.collect_set(F.expr("if(check <> 0 and key > first, struct(name, check), null)")).alias("copies")), "shared-names")
             forget(names)
             told_of = told.where("size(names) > 0")
             if copies is None:
-                copies = told.where("size(copies) > 0").select("key", "copies")
-                # A copy has no window of its own, but other rows of its key may.
-                several = source.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-                told_of = told_of.where("size(copies) = 0").union(told_of.where("size(copies) > 0").join(several, "key", "left_semi"))
-            asking = source.join(told_of.select("key", "names"), "key").select("key", "text", "names")
-        found = cut(asking.mapInArrow(lambda it: lean(_windows(it, window, levels[-1])), _WINDOWS), "windows")
+                copies = told.where("size(copies) > 0").select(*by, "copies")
+                told_of = told_of.where("size(copies) = 0")  # a copy has no window of its own
+            asking = source.join(told_of.select(*by, "names"), by).select(*by, "text", "names")
+        found = cut(asking.mapInArrow(lambda it: lean(_windows(it, window, levels[-1], by)), _ddl("hash long, check int", by)), "windows")
         first = found.groupBy("hash", "check").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
-        seen = found.join(first, ["hash", "check"]).where("key > first").groupBy("key").agg(F.collect_list(F.struct("hash", "check")).alias("seen"))
-        marks = cut(seen.join(copies, "key", "full_outer").select("key", "copies", "seen"), "repeats")
+        seen = found.join(first, ["hash", "check"]).where("key > first").groupBy(*by).agg(gathered(F.struct("hash", "check")).alias("seen"))
+        marks = cut(seen.join(copies, by, "full_outer").select(*by, "copies", "seen"), "repeats")
         forget(found)
         kept.append(marks)
     return marks
@@ -340,8 +355,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, text: str = "text", key:
     both; a row as a whole goes only if it is itself a copy. Other columns are not read; an empty table gives no rows. The text moves once
     more, to meet its marks.
     """
-    source = df.select(_key(key).alias("key"), F.col(text).alias("text"))
-    marked = source.join(repeats(source, window), "key", "left").select("key", "text", "copies", "seen")
+    source, by = _told_apart(df.select(_key(key).alias("key"), F.col(text).alias("text")))
+    marked = source.join(repeats(source, by, window), by, "left").select("key", "text", "copies", "seen")
     removed = marked.mapInArrow(lambda it: lean(_remove(it, window)), _OUT)
     return removed.select(F.expr(f"nullif(key, {_NO_KEY + 1}L - 1L)").alias("doc_id"), "n_words", "n_removed", "kept_text")
 
@@ -352,10 +367,11 @@ def rewrite_documents(df: DataFrame, window: int = WINDOW, text: str = "text", k
     All columns stay. A text of which nothing is removed stays as it is, one of which
     nothing is left goes with its row.
     """
-    marks = repeats(df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text")), window)
+    source, by = _told_apart(df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text")))
+    marks = repeats(source, by, window)
     own = [f"in{i}_" for i in range(len(df.columns))]
-    rows = df.toDF(*own).withColumn("key_", _key(own[df.columns.index(key)]))
-    marked = rows.join(marks, rows.key_ == marks.key, "left").select(*own, F.col("copies").alias("copies_"), F.col("seen").alias("seen_"))
+    rows = df.toDF(*own).withColumns({"key": _key(own[df.columns.index(key)]), "sub": F.xxhash64(own[df.columns.index(text)])})
+    marked = rows.join(marks, by, "left").select(*own, F.col("copies").alias("copies_"), F.col("seen").alias("seen_"))
     at, length = df.columns.index(text), df.columns.index(chars) if chars else -1
     out = marked.select(*own).schema
     return marked.mapInArrow(lambda it: lean(_rewrite(it, window, at, length)), out).toDF(*df.columns)

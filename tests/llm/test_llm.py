@@ -730,6 +730,35 @@ def test_copies_are_told_by_row(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left) == sorted([(-1, t), (-1, v), (5, u)])
 
 
+def test_many_rows_without_an_id(spark):
+    """Rows that share a null or a repeated id have lists of their own, not one for all of them."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    own = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    passage = " ".join(word() for _ in range(25))
+    rows = [(None, t) for t in own] + [(k, f"{word()} {own[k]} {word()}") for k in range(200)] + [(7000, f"{word()} {passage}")] * 2 + [(None, own[0]), (8000, passage), (8000, own[299])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = lambda r: -1 if r[0] is None else r[0]
+    seen = {}
+    for r in rows:
+        w = r[1].split()
+        for i in range(len(w) - 19):
+            g = tuple(w[i : i + 20])
+            seen[g] = min(seen.get(g, 1 << 60), first(r))
+    want = []
+    for r in rows:
+        w = r[1].split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            if seen[tuple(w[i : i + 20])] < first(r):
+                gone[i : i + 20] = [True] * 20
+        want.append((first(r), len(w), sum(gone), " ".join(x for x, y in zip(w, gone) if not y)))
+    got = recompress.remove_repeats(df)
+    assert sorted(map(tuple, got.fillna(-1, ["doc_id"]).collect())) == sorted(want)
+    marks = recompress.repeats(*(lambda x: (x[0], x[1]))(recompress._told_apart(df.select(recompress._key("doc_id").alias("key"), "text"))))
+    assert marks.agg(F.max(F.size("seen"))).first()[0] <= 23
+
+
 # ---- registered queries
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
