@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: list[str] = []
+
+
+def _shared(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local folder where none is set and all runs on this machine (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="cytoframe-"))
+    return _local[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` to the session's ``spark.checkpoint.dir``; a local folder where none is set and all runs on this machine (tests)."""
+    """``checkpoint()`` to the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="cytoframe-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of this session in the shared folder."""
+    return f"{_shared(spark)}/cytoframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a cut whose columns can be pruned and whose size the optimizer knows."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

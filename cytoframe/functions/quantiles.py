@@ -4,35 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges of equal width into which a group's values are dealt.
-RANGES = 256
+from .running import running_counts
 
 
-def quantiles(df: DataFrame, column: str, wanted: Sequence[float], by: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, column: str, wanted: Sequence[float], by: str | None = None, split: int | None = None) -> DataFrame:
     """(by, n, q_0, q_1, ..): interpolated quantiles of a column's values, null ones left out, one row for each group.
 
-    Values are counted, distinct ones summed up within ranges, and ranges in order: a
-    window sees the distinct values of one range, or one row for each range.
+    Values are counted, and the counts of smaller values are running sums over ranges of about as many
+    different values each (see :func:`.running.running_counts`), so that neither a large group nor outliers
+    bring many values into one task.
     """
     keys = ["by_"] if by else []
     values = df.select(*([F.col(by).alias("by_")] if by else []), F.col(column).cast("double").alias("x_")).where("x_ is not null")
     counts = values.groupBy(*keys, "x_").agg(F.count(F.lit(1)).alias("n_"))
-    bounds = counts.groupBy(*keys).agg(F.min("x_").alias("low_"), F.max("x_").alias("high_"), F.sum("n_").alias("all_"))
-    share = F.coalesce(F.try_divide(F.col("x_") - F.col("low_"), F.col("high_") - F.col("low_")), F.lit(0.0))
+    bounds = counts.groupBy(*keys).agg(F.sum("n_").alias("all_"))
+    placed = running_counts(counts, keys, "x_", "n_", split=split).withColumn("upto_", F.col("before") + F.col("n_"))
     # One row for each group, or one row.
-    joined = counts.join(bounds.withColumnRenamed("by_", "of_"), F.col("by_").eqNullSafe(F.col("of_"))).drop("of_") if by else counts.crossJoin(bounds)
-    dealt = joined.withColumn("range_", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)))
-    within = Window.partitionBy(*keys, "range_").orderBy("x_")
-    running = dealt.withColumn("upto_", F.sum("n_").over(within))
-    ranges = dealt.groupBy(*keys, "range_").agg(F.sum("n_").alias("held_"))
-    order = (Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))).orderBy("range_")
-    before = ranges.withColumn("before_", F.sum("held_").over(order) - F.col("held_")).drop("held_")
-    before = before.toDF(*(f"{c}r" for c in before.columns))
-    on = F.col("range_") == F.col("range_r")
-    placed = running.join(before, on & F.col("by_").eqNullSafe(F.col("by_r")) if by else on).withColumn("upto_", F.col("upto_") + F.col("before_r"))
+    placed = placed.join(bounds.withColumnRenamed("by_", "of_"), F.col("by_").eqNullSafe(F.col("of_"))).drop("of_") if by else placed.crossJoin(bounds)
     sides, out = [], []
     for i, q in enumerate(wanted):
         place = (F.col("all_") - 1) * F.lit(float(q))

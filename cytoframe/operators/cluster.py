@@ -9,41 +9,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import checkpointed
+from ..functions.cuts import stored
 from .reduce import summed
 
 
+#: Vectors whose distances to all centres are held at once.
+_BLOCK = 4_096
+_NEAREST = "struct<label: int, d: double>"
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _assigned(x: np.ndarray, names: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the nearest centre of each row, the first among equals, and the squared distance, rounded to nine digits.
+
+    Each distance is summed up by itself, so it doesn't depend on the rows beside it.
+    """
+    label, least = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for lo in range(0, len(x), _BLOCK):
+        part = x[lo : lo + _BLOCK]
+        d = np.stack([((part - c) ** 2).sum(1) for c in centres], 1).round(9)
+        best = d.argmin(1)
+        label[lo : lo + _BLOCK], least[lo : lo + _BLOCK] = names[best], d[np.arange(len(part)), best]
+    return label, least
+
+
 def _nearest(emb: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
-    """Adds label: the nearest centroid, the first among equals. Centroids are few and go into the plan as literals."""
-    def distance(c: list[float]):
-        return F.round(F.aggregate(F.zip_with("vec", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    """Adds label and d, the nearest of few centroids and the squared distance to it."""
+    names, centres = np.array([k for k, _ in centroids], np.int32), np.array([c for _, c in centroids], np.float64)
+
+    def found(vectors: pa.Array) -> pa.Array:
+        label, d = _assigned(_matrix(vectors), names, centres)
+        return pa.StructArray.from_arrays([pa.array(label), pa.array(d)], ["label", "d"])
 
-    to = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("label")) for k, c in centroids)))
-    return emb.withColumn("label", to["label"])
+    to = F.arrow_udf(found, _NEAREST)
+    return emb.withColumn("near_", to("vec")).select(*emb.columns, "near_.label", "near_.d")
 
 
 def kmeans_step(emb: DataFrame, centroids: DataFrame) -> DataFrame:
     """One Lloyd iteration from given centroids (label, vec): (label, n, vec), means rounded to nine digits.
 
-    Rounding makes the result independent of the order in which partial sums arrive.
+    Tasks add up their vectors by label and send a row for each. Rounding makes the
+    result independent of the order in which these sums arrive.
     """
     given = sorted((r["label"], list(r["vec"])) for r in centroids.collect())  # k rows
-    assigned = _nearest(emb, given).select("label", F.posexplode("vec").alias("at", "x"))
-    means = assigned.groupBy("label", "at").agg(F.round(F.avg("x"), 9).alias("x"), F.count(F.lit(1)).alias("n"))
-    return means.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("vec"))
+    names, centres = np.array([k for k, _ in given], np.int32), np.array([c for _, c in given], np.float64)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), centres.shape[1] + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                at = np.searchsorted(names, _assigned(x, names, centres)[0])
+                np.add.at(total, at, np.concatenate([np.ones((len(x), 1)), x], 1))
+        met = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(names[met], pa.int32()), pa.array(list(total[met]), pa.list_(pa.float64()))], ["row", "values"])
+
+    parts = emb.select("vec").mapInArrow(sums, "row int, values array<double>")
+    means = F.transform(F.slice("values", 2, centres.shape[1]), lambda x: F.round(x / F.col("values")[0], 9))
+    return summed(parts).select(F.col("row").alias("label"), F.col("values")[0].cast("long").alias("n"), means.alias("vec"))
+
+
+def _reclustered(points: np.ndarray, weights: np.ndarray, k: int, seed: int, restarts: int = 10) -> np.ndarray:
+    """``k`` centres of few weighted points: k-means++ and Lloyd on the driver, the cheapest of some restarts."""
+    best, least = points[:k], np.inf
+    for turn in range(restarts):
+        rng = np.random.default_rng([seed % (1 << 32), turn])
+        chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+        while len(chosen) < k:
+            d = np.min([((points - points[c]) ** 2).sum(1) for c in chosen], 0) * weights
+            if not d.sum():
+                break
+            chosen.append(int(rng.choice(len(points), p=d / d.sum())))
+        centres = points[chosen]
+        for _ in range(50):
+            label, d = _assigned(points, np.arange(len(centres), dtype=np.int32), centres)
+            held = np.bincount(label, weights, len(centres))
+            sums = np.stack([np.bincount(label, weights * x, len(centres)) for x in points.T], 1)
+            following = np.where(held[:, None] > 0, sums / np.maximum(held, 1e-300)[:, None], centres)
+            if np.allclose(following, centres, rtol=0, atol=1e-9):
+                break
+            centres = following
+        cost = float((_assigned(points, np.arange(len(centres), dtype=np.int32), centres)[1] * weights).sum())
+        if cost < least - 1e-12:
+            best, least = centres, cost
+    return best
+
 
+def kmeans_seeds(emb: DataFrame, k: int, seed: int = 0, rounds: int = 5, oversampling: float = 2.0) -> list[list[float]]:
+    """At most ``k`` starting centres by k-means||: in each round every cell is drawn with a chance of ``oversampling`` * k times its share of the cost so far.
+
+    Draws come from a hash of cell, seed and round and costs are summed as decimals, so the same cells are drawn
+    under any partitioning. The candidates, about ``oversampling`` * k * ``rounds`` of them, are weighted by the cells nearest to
+    them and clustered on the driver.
+    """
+    first = emb.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(1).collect()
+    centres = [list(map(float, r["vec"])) for r in first]
+    if not centres:
+        return []
+    for turn in range(rounds):
+        scored = _nearest(emb, list(enumerate(centres)))
+        cost = scored.agg(F.sum(F.col("d").cast("decimal(38,9)")).cast("double")).first()[0]
+        if not cost:
+            break
+        drawn = F.pmod(F.xxhash64("cell_id", F.lit(seed), F.lit(turn + 1)), F.lit(1 << 52)) / float(1 << 52)
+        for r in scored.where(drawn * cost < oversampling * k * F.col("d")).select("cell_id", "vec").orderBy("cell_id").collect():
+            centres.append(list(map(float, r["vec"])))
+    points = np.unique(np.array(centres), axis=0)
+    counts = {r["label"]: r["n"] for r in _nearest(emb, [(i, list(p)) for i, p in enumerate(points)]).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = np.array([counts.get(i, 0) for i in range(len(points))], float)
+    return np.round(_reclustered(points, weights, k, seed), 9).tolist()
 
-def kmeans(emb: DataFrame, k: int, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """(cell_id, label) by Lloyd from ``k`` cells chosen by hash: the same under any partitioning.
+
+def kmeans(emb: DataFrame, k: int, seed: int = 0, iterations: int = 20, start: list[list[float]] | None = None) -> DataFrame:
+    """(cell_id, label) by Lloyd from given centres, or from those of :func:`kmeans_seeds`: the same under any partitioning.
 
     Each iteration is one distributed aggregation; ``k`` centroids at a time are on the driver.
+    Where there are fewer than ``k`` different vectors, there are fewer labels.
     """
-    first = emb.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(k).collect()
-    now = [(i, [float(x) for x in r["vec"]]) for i, r in enumerate(first)]
-    spark = emb.sparkSession
+    spark, emb = emb.sparkSession, stored(emb.select("cell_id", "vec"), "vectors")
+    now = list(enumerate(kmeans_seeds(emb, k, seed) if start is None else start))
+    if not now:
+        return emb.select("cell_id", F.lit(0).alias("label"))
     for _ in range(iterations):
         step = kmeans_step(emb, spark.createDataFrame(now, "label int, vec array<double>"))
         new = {r["label"]: list(r["vec"]) for r in step.collect()}
@@ -66,69 +159,152 @@ def label_propagation(graph: DataFrame, iterations: int = 5, digits: int = 9) ->
         votes = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("w"), digits).alias("weight"))
         # The best label as an aggregate with partial sums: no node's neighbourhood is sorted.
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "label")).alias("best"))
-        labels = checkpointed(best.select("node", F.col("best.label").alias("label")))
+        labels = stored(best.select("node", F.col("best.label").alias("label")), "step")
     return labels
 
 
 def connected_components(graph: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by least labels and pointer jumping."""
     edges = _both_ways(graph).select("node", "other").distinct()
-    labels = checkpointed(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "step")
     while True:
         around = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(around, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("target"))
         jumped = step.join(labels.select(F.col("node").alias("target"), F.col("label").alias("far")), "target", "left")
-        moved = checkpointed(jumped.select("node", "before", F.least("target", F.coalesce("far", "target")).alias("label")))
+        moved = stored(jumped.select("node", "before", F.least("target", F.coalesce("far", "target")).alias("label")), "step")
         labels = moved.select("node", "label")
         if moved.where("label <> before").isEmpty():
             return labels
 
 
+def _moved(edges: DataFrame, state: DataFrame, total: float, resolution: float, rounds: int, level: int) -> tuple[DataFrame, bool]:
+    """Nodes (node, k, label) after parallel moves to the neighbouring community with the largest positive gain of modularity, and whether any moved.
+
+    In each round half of the nodes, chosen by hash, may move; halves keep neighbours from swapping for ever.
+    """
+    moved_any = False
+    for turn in range(rounds):
+        volume = state.groupBy("label").agg(F.sum("k").alias("volume"))
+        near = edges.where("node <> other").join(state.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("w").alias("links"))
+        own = state.select("node", "k", F.col("label").alias("own"))
+        options = own.select("node", "k", "own", F.col("own").alias("label")).union(near.join(own, "node").where("label <> own").select("node", "k", "own", "label"))
+        scored = options.join(near, ["node", "label"], "left").join(volume, "label")
+        rest = F.col("volume") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.coalesce("links", F.lit(0.0)) - resolution * F.col("k") * rest / total, 9)
+        least = F.min(F.struct((-F.col("gain")).alias("loss"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("best")
+        best = scored.withColumn("gain", gain).groupBy("node").agg(least, F.first("own").alias("own"), F.first("k").alias("k"))
+        turns = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == turn % 2
+        after = stored(best.select("node", "k", "own", F.when(turns, F.col("best.label")).otherwise(F.col("own")).alias("label")), "step")
+        changed = not after.where("label <> own").isEmpty()
+        state = after.select("node", "k", "label")
+        moved_any |= changed
+        if not changed and turn % 2:
+            break
+    return state, moved_any
+
+
+def _named(state: DataFrame) -> DataFrame:
+    """(node, label) with communities named after their least nodes."""
+    names = state.groupBy("label").agg(F.min("node").alias("name"))
+    return stored(state.join(names, "label").select("node", F.col("name").alias("label")), "step")
+
+
+def _aggregated(edges: DataFrame, state: DataFrame) -> DataFrame:
+    """The graph whose nodes are the communities."""
+    a, b = (state.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to")) for c in ("node", "other"))
+    return stored(edges.join(a, "node").join(b, "other").groupBy("node_to", "other_to").agg(F.sum("w").alias("w")).toDF("node", "other", "w"), "step")
+
+
+def _carried(member: DataFrame, state: DataFrame) -> DataFrame:
+    return stored(member.join(state.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")), "step")
+
+
 def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 8) -> DataFrame:
     """(node, label) by Louvain with parallel moves, all distributed.
 
-    In each round half of the nodes, chosen by hash, may move to the neighbouring community with the largest
-    positive gain of modularity; halves keep neighbours from swapping for ever. Then
-    communities become nodes of a smaller graph and it starts again. A community is named after its least node.
+    Nodes move (see :func:`_moved`); then communities become nodes of a smaller graph and it starts
+    again. A community is named after its least node.
     """
-    edges = checkpointed(_both_ways(graph))
+    edges = stored(_both_ways(graph), "step")
     total = edges.agg(F.sum("w")).first()[0] or 0.0  # 2m
-    member = checkpointed(edges.select("node").distinct().withColumn("label", F.col("node")))
+    member = stored(edges.select("node").distinct().withColumn("label", F.col("node")), "step")
     if not total:
         return member
     for level in range(levels):
-        degree = edges.groupBy("node").agg(F.sum("w").alias("k"))
-        state = checkpointed(degree.withColumn("label", F.col("node")))
-        moved_any = False
-        for turn in range(rounds):
-            volume = state.groupBy("label").agg(F.sum("k").alias("volume"))
-            near = edges.where("node <> other").join(state.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("w").alias("links"))
-            own = state.select("node", "k", F.col("label").alias("own"))
-            options = own.select("node", "k", "own", F.col("own").alias("label")).union(near.join(own, "node").where("label <> own").select("node", "k", "own", "label"))
-            scored = options.join(near, ["node", "label"], "left").join(volume, "label")
-            rest = F.col("volume") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.coalesce("links", F.lit(0.0)) - resolution * F.col("k") * rest / total, 9)
-            best = scored.withColumn("gain", gain).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("best"), F.first("own").alias("own"), F.first("k").alias("k"))
-            turns = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == turn % 2
-            after = checkpointed(best.select("node", "k", "own", F.when(turns, F.col("best.label")).otherwise(F.col("own")).alias("label")))
-            changed = not after.where("label <> own").isEmpty()
-            state = after.select("node", "k", "label")
-            moved_any |= changed
-            if not changed and turn % 2:
-                break
+        start = stored(edges.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")), "step")
+        state, moved_any = _moved(edges, start, total, resolution, rounds, level)
         if not moved_any:
             break
-        names = state.groupBy("label").agg(F.min("node").alias("name"))
-        state = checkpointed(state.join(names, "label").select("node", F.col("name").alias("label")))
-        member = checkpointed(member.join(state.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")))
-        a, b = (state.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to")) for c in ("node", "other"))
-        edges = checkpointed(edges.join(a, "node").join(b, "other").groupBy("node_to", "other_to").agg(F.sum("w").alias("w")).toDF("node", "other", "w"))
+        state = _named(state)
+        member, edges = _carried(member, state), _aggregated(edges, state)
     return member
 
 
+def _refined(edges: DataFrame, state: DataFrame, total: float, resolution: float, rounds: int, level: int) -> DataFrame:
+    """(node, label): parts of the communities of ``state`` (node, k, label), each connected.
+
+    Every node starts by itself. In each round the nodes of one half that are still by themselves, and well connected
+    to the rest of their community, may join the part of a neighbour of the other half, in the same community, with the
+    largest positive gain. What is joined stays as it is in that round and no part is ever left, so a part is
+    connected as long as each that joins has an edge into it.
+    """
+    community = state.select("node", "k", F.col("label").alias("community"))
+    tagged = edges.where("node <> other").join(community.select("node", "community"), "node")
+    inside = stored(tagged.join(community.select(F.col("node").alias("other"), F.col("community").alias("to")), "other").where("community = to").select("node", "other", "w"), "step")
+    volume = community.groupBy("community").agg(F.sum("k").alias("all"))
+    within = inside.groupBy("node").agg(F.sum("w").alias("within"))
+    fit = F.coalesce("within", F.lit(0.0)) >= resolution * F.col("k") * (F.col("all") - F.col("k")) / total - 1e-9
+    parts = stored(community.join(volume, "community").join(within, "node", "left").select("node", "k", fit.alias("fit"), F.col("node").alias("label")), "step")
+    for turn in range(rounds):
+        sizes = parts.groupBy("label").agg(F.sum("k").alias("volume"), F.count(F.lit(1)).alias("members"))
+        known = stored(parts.join(sizes, "label").withColumn("mover", (F.pmod(F.xxhash64("node", F.lit(level), F.lit("parts")), F.lit(2)) == turn % 2) & (F.col("members") == 1) & F.col("fit")), "step")
+        movers, rest = known.where("mover").select("node", "k"), known.where("not mover").select(F.col("node").alias("other"), "label", "volume")
+        links = inside.join(movers, "node").join(rest, "other").groupBy("node", "k", "label", "volume").agg(F.sum("w").alias("links"))
+        gain = F.round(F.col("links") - resolution * F.col("k") * F.col("volume") / total, 9)
+        chosen = links.withColumn("gain", gain).where("gain > 0").groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "label"))["label"].alias("to"))
+        joined = stored(known.join(chosen, "node", "left").select("node", "k", "fit", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")), "step")
+        parts = joined.select("node", "k", "fit", "label")
+        if turn % 2 and joined.where("moved").isEmpty():
+            break
+    return _named(parts.select("node", "label"))
+
+
+def leiden(graph: DataFrame, resolution: float = 1.0, levels: int = 5, rounds: int = 8) -> DataFrame:
+    """(node, label) by Leiden with parallel moves, all distributed: every community is connected.
+
+    As in :func:`louvain` nodes move between communities, but what becomes a node of the smaller graph is a
+    connected part of a community (see :func:`_refined`); it starts in that community, so moves go on from there. At
+    the end a community that moves have left in several pieces is split into these, which can only raise modularity.
+    A community is named after its least node.
+    """
+    edges = whole = stored(_both_ways(graph), "step")
+    total = edges.agg(F.sum("w")).first()[0] or 0.0  # 2m
+    member = stored(edges.select("node").distinct().withColumn("label", F.col("node")), "step")  # the node of the smaller graph
+    if not total:
+        return member
+    start = stored(edges.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")), "step")
+    found = start.select("node", "label")
+    for level in range(levels):
+        state, moved_any = _moved(edges, start, total, resolution, rounds, level)
+        found = state.select("node", "label")
+        if not moved_any:
+            break
+        parts = _refined(edges, state, total, resolution, rounds, level)
+        of = state.join(parts.select("node", F.col("label").alias("part")), "node")
+        member, edges = _carried(member, parts), _aggregated(edges, parts)
+        # Nodes of the smaller graph start in their communities.
+        start = stored(of.groupBy("part").agg(F.sum("k").alias("k"), F.min("label").alias("label")).withColumnRenamed("part", "node"), "step")
+        found = start.select("node", "label")
+    labels = _carried(member, found)
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("node", "other"))
+    same = whole.where("node <> other").join(a, "node").join(b, "other").where("lnode = lother").select(F.col("node").alias("i"), F.col("other").alias("j"), "w")
+    pieces = connected_components(same)
+    return labels.join(pieces.withColumnRenamed("label", "piece"), "node", "left").select("node", F.coalesce("piece", "node").alias("label"))
+
+
 def bisecting_kmeans(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:
     """(cell_id, label): the largest cluster (the one with the least cell among equals) is split in two by k-means until there are ``k``."""
-    now = checkpointed(emb.select("cell_id", "vec", F.lit(0).alias("label")))
+    now = stored(emb.select("cell_id", "vec", F.lit(0).alias("label")), "step")
     for new in range(1, k):
         sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("cell_id").alias("least")).collect()  # a row per cluster
         widest = max(sizes, key=lambda r: (r["n"], -r["least"]), default=None)
@@ -136,7 +312,7 @@ def bisecting_kmeans(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20
             break
         halves = kmeans(now.where(F.col("label") == widest["label"]).select("cell_id", "vec"), 2, seed, iterations)
         moved = halves.where("label = 1").select("cell_id", F.lit(new).alias("to"))
-        now = checkpointed(now.join(moved, "cell_id", "left").select("cell_id", "vec", F.coalesce("to", "label").alias("label")))
+        now = stored(now.join(moved, "cell_id", "left").select("cell_id", "vec", F.coalesce("to", "label").alias("label")), "step")
     return now.select("cell_id", "label")
 
 
@@ -148,7 +324,7 @@ def gmm(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20, ridge: floa
     to nine digits, so that partitioning can't change labels.
     """
     start = emb.join(kmeans(emb, k, seed, 5), "cell_id").select("cell_id", "vec", "label")
-    start = checkpointed(start)
+    start = stored(start, "step")
     first = start.first()
     if first is None:
         return start.select("cell_id", "label")
@@ -203,18 +379,38 @@ def gmm(emb: DataFrame, k: int, seed: int = 1, iterations: int = 20, ridge: floa
     return start.select("cell_id", "vec").mapInPandas(labelled, "cell_id long, label int")
 
 
-def pic(graph: DataFrame, k: int, iterations: int = 20, seed: int = 1) -> DataFrame:
-    """(node, label) by power iteration clustering: a vector is spread along the edges by joins, then its values are clustered by k-means."""
-    edges = checkpointed(_both_ways(graph))
+def pic(graph: DataFrame, k: int, iterations: int = 40, seed: int = 1, vectors: int | None = None, tolerance: float = 1e-4) -> DataFrame:
+    """(node, label) by power iteration clustering: vectors are spread along the edges by joins, then their values are clustered by k-means.
+
+    There are several vectors (2 k of them), as one tells clusters apart only where its start does. After each step they are
+    centred and scaled, so that what is left of them are the directions that fade slowest, and a quarter of a node's value
+    stays, so that values can't swing. It stops once a step changes values by no more than the one before did (its acceleration is below ``tolerance``).
+    """
+    edges = stored(_both_ways(graph), "step")
     degree = edges.groupBy("node").agg(F.sum("w").alias("degree"))
-    unit = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    now = checkpointed(degree.withColumn("x", unit))
+    names = [f"x{i}" for i in range(vectors or max(2, 2 * k))]
+    unit = lambda i: F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / float(1 << 20)
+    now = stored(degree.select("node", "degree", *(unit(i).alias(x) for i, x in enumerate(names))), "step")
+    before = None
     for _ in range(iterations):
-        near = edges.join(now.select(F.col("node").alias("other"), "x"), "other").groupBy("node").agg(F.sum(F.col("w") * F.col("x")).alias("sum"))
-        now = checkpointed(near.join(degree, "node").select("node", "degree", F.round(F.try_divide("sum", "degree"), 12).alias("x")))
-    scale = now.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))  # one row
-    values = now.crossJoin(scale).select(F.col("node").alias("cell_id"), F.array(F.round(F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("sd")), F.lit(0.0)), 6)).alias("vec"))
-    return kmeans(checkpointed(values), k, seed).select(F.col("cell_id").alias("node"), "label")
+        near = edges.join(now.select(F.col("node").alias("other"), *names), "other").groupBy("node").agg(*(F.sum(F.col("w") * F.col(x)).alias(f"s{x}") for x in names))
+        step = near.join(now, "node").select("node", "degree", *(F.col(x).alias(f"old{x}") for x in names), *((0.25 * F.col(x) + 0.75 * F.coalesce(F.try_divide(f"s{x}", "degree"), F.lit(0.0))).alias(x) for x in names))
+        step = stored(step, "step")
+        # One row: by degree, the mean and the spread of each vector.
+        moments = step.agg(F.sum("degree").alias("all"), *(f(x) for x in names for f in (lambda x: F.sum(F.col("degree") * F.col(x)), lambda x: F.sum(F.col("degree") * F.col(x) * F.col(x))))).first()
+        if not moments["all"]:
+            break
+        mean = [moments[1 + 2 * i] / moments["all"] for i in range(len(names))]
+        sd = [max(moments[2 + 2 * i] / moments["all"] - m * m, 0.0) ** 0.5 for i, m in enumerate(mean)]
+        scaled = [F.round((F.col(x) - round(m, 12)) / round(s, 12), 9).alias(x) if s > 1e-9 else F.lit(0.0).alias(x) for x, m, s in zip(names, mean, sd)]
+        now = stored(step.select("node", "degree", *(F.col(f"old{x}") for x in names), *scaled), "step")
+        change = now.agg(F.max(F.greatest(*(F.abs(F.col(x) - F.col(f"old{x}")) for x in names)))).first()[0]
+        now = now.select("node", "degree", *names)
+        if before is not None and abs(before - change) < tolerance:
+            break
+        before = change
+    values = now.select(F.col("node").alias("cell_id"), F.array(*(F.round(x, 6) for x in names)).alias("vec"))
+    return kmeans(values, k, seed).select(F.col("cell_id").alias("node"), "label")
 
 
 def relabel_by_size(labels: DataFrame, node: str = "cell_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cuts import stored
+from ..functions.running import running_counts
+
 
 def _grid(own: DataFrame, total: DataFrame, groups: DataFrame) -> DataFrame:
     """``own`` with a row for each group and each gene of ``total``, 0 where a group has no stored entry, and n1, n2, n_all.
@@ -44,36 +48,56 @@ def log_fc(layer: DataFrame, groups: DataFrame) -> DataFrame:
     return s.select("grp", "gene_id", inside.alias("mean_in"), outside.alias("mean_out"), (inside - outside).alias("log_fc"))
 
 
-def normal_p(z: Column) -> Column:
-    """Two-sided p of a normal statistic, by Abramowitz and Stegun 26.2.17 (relative error 3e-6 up to 2, 2 % at 10)."""
+#: From here on the tail is a continued fraction, below it one less a series; and terms of both.
+_SERIES_UP_TO, _TERMS = 3.0, 48
+_LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
+
+
+def normal_log_p(z: Column) -> Column:
+    """ln of the two-sided p of a normal statistic, with a relative error of p under 1e-9 however far out it lies.
+
+    Up to 3 it is ln(1 - 2 phi(z) (z + z^3 / 3 + z^5 / 15 + ..)); beyond, Q(z) = phi(z) / (z + 1 / (z + 2 / (z + 3 / ..))),
+    of which the logarithm is taken factor by factor, so that nothing underflows.
+    """
     a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
+    near, far = F.least(a, F.lit(_SERIES_UP_TO)), F.greatest(a, F.lit(_SERIES_UP_TO))
+    # From the last term inwards: a * (1 + a^2 / 3 * (1 + a^2 / 5 * (..))).
+    series = F.aggregate(F.sequence(F.lit(2 * _TERMS + 1), F.lit(3), F.lit(-2)), F.lit(1.0), lambda rest, k: 1 + near * near / k * rest)
+    inside = F.log1p(-2 * F.exp(-near * near / 2 - _LOG_SQRT_2PI) * near * series)
+    fraction = F.aggregate(F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)), far, lambda rest, k: far + k / rest)
+    outside = math.log(2) - far * far / 2 - _LOG_SQRT_2PI - F.log(fraction)
+    return F.when(a.isNull(), F.lit(None)).when(a <= _SERIES_UP_TO, inside).otherwise(outside)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a normal statistic (see :func:`normal_log_p`); 0 where it is below the least double."""
+    return F.exp(normal_log_p(z))
 
 
 def wilcoxon(layer: DataFrame, groups: DataFrame, digits: int = 6) -> DataFrame:
-    """Rank-sum of each group against the rest for each gene that occurs: u, z (tie-corrected, no continuity correction) and p.
+    """Rank-sum of each group against the rest for each gene that occurs: u, z (tie-corrected, no continuity correction), p and log_p.
 
-    Values are rounded before ranking. Only non-zeros are ranked; the block of zeros has a closed
-    form. Ranks come from counts of distinct values per gene, so a gene that every cell has costs
-    one row per value in its window and not one per cell.
+    Values are rounded before ranking and may be negative, as centred or scaled ones are; null ones count
+    as zeros. Only non-zeros are ranked: the block of zeros stands between negative and positive values
+    with a rank in closed form. Ranks come from counts of different values, and those of a gene with very many are
+    summed up in ranges (see :func:`~..functions.running.running_counts`), so no gene is one task.
     """
-    rows = layer.select("cell_id", "gene_id", F.round("v", digits).alias("v")).where("v > 0").join(groups, "cell_id")
-    by_group = rows.groupBy("gene_id", "v", "grp").agg(F.count(F.lit(1)).alias("n"))
+    rows = layer.select("cell_id", "gene_id", F.round("v", digits).alias("v")).where("v <> 0").join(groups, "cell_id")
+    by_group = stored(rows.groupBy("gene_id", "v", "grp").agg(F.count(F.lit(1)).alias("n")), "values")
     by_value = by_group.groupBy("gene_id", "v").agg(F.sum("n").alias("tie"))
-    lower = Window.partitionBy("gene_id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_value.withColumn("rank", F.coalesce(F.sum("tie").over(lower), F.lit(0)) + (F.col("tie") + 1) / 2)
-    per_gene = by_value.groupBy("gene_id").agg(F.sum("tie").alias("nnz"), F.sum(F.col("tie").cast("double") * F.col("tie") * F.col("tie") - F.col("tie")).alias("ties"))
-    inside = by_group.join(ranked, ["gene_id", "v"]).groupBy("grp", "gene_id").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("nnz1"))
+    ranked = running_counts(by_value, ["gene_id"], "v", "tie").select("gene_id", "v", (F.col("before") + (F.col("tie") + 1) / 2).alias("rank"))
+    tie = F.col("tie").cast("double")
+    per_gene = by_value.groupBy("gene_id").agg(F.sum("tie").alias("nnz"), F.sum(tie * tie * tie - tie).alias("ties"), F.sum(F.when(F.col("v") < 0, F.col("tie")).otherwise(0)).alias("negative"))
+    positive = F.when(F.col("v") > 0, F.col("n")).otherwise(0)
+    inside = by_group.join(ranked, ["gene_id", "v"]).groupBy("grp", "gene_id").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("nnz1"), F.sum(positive).alias("above"))
     s = _grid(inside, per_gene, groups)
     n1, n2, n, z0 = F.col("n1").cast("double"), F.col("n_all") - F.col("n1"), F.col("n_all").cast("double"), (F.col("n_all") - F.col("nnz")).cast("double")
-    rank_sum = F.col("r") + F.col("nnz1") * z0 + (n1 - F.col("nnz1")) * (z0 + 1) / 2
+    rank_sum = F.col("r") + F.col("above") * z0 + (n1 - F.col("nnz1")) * (F.col("negative") + (z0 + 1) / 2)
     u = rank_sum - n1 * (n1 + 1) / 2
     t = F.col("ties") + z0 * z0 * z0 - z0
     variance = n1 * n2 / 12 * ((n + 1) - t / F.nullif(n * (n - 1), F.lit(0.0)))
     z = F.when(variance > 1e-12, (u - n1 * n2 / 2) / F.sqrt(F.greatest(variance, F.lit(1e-12)))).otherwise(0.0)
-    return s.withColumn("u", u).withColumn("z", z).select("grp", "gene_id", "u", "z", normal_p(F.col("z")).alias("p"))
+    return s.withColumn("u", u).withColumn("z", z).withColumn("log_p", normal_log_p(F.col("z"))).select("grp", "gene_id", "u", "z", F.exp("log_p").alias("p"), "log_p")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -143,12 +167,20 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, by: str) -> DataFrame:
 
 
 def bh_adjust(tests: DataFrame, by: str = "grp", p: str = "p") -> DataFrame:
-    """Adds q (Benjamini-Hochberg within ``by``); equal p-values share the largest rank among them."""
-    group = Window.partitionBy(by)
-    ranked = tests.withColumn("rank_", F.count(F.lit(1)).over(group.orderBy(p))).withColumn("m_", F.count(F.lit(1)).over(group))
-    raw = F.col(p) * F.col("m_") / F.col("rank_")
-    downward = group.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("raw_", raw).withColumn("q", F.least(F.lit(1.0), F.min("raw_").over(downward))).drop("rank_", "m_", "raw_")
+    """Adds q (Benjamini-Hochberg within ``by``); equal p-values share the largest rank among them.
+
+    Where there is a column ``log_p``, it is what is ranked, and log_q is added too: values of p too small for
+    a double stay apart.
+    """
+    group, logs = Window.partitionBy(by), "log_p" in tests.columns and p == "p"
+    order = "log_p" if logs else p
+    ranked = tests.withColumn("rank_", F.count(F.lit(1)).over(group.orderBy(order))).withColumn("m_", F.count(F.lit(1)).over(group))
+    downward = group.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    if logs:
+        log_q = F.least(F.lit(0.0), F.min(F.col("log_p") + F.log(F.col("m_") / F.col("rank_"))).over(downward))
+        return ranked.withColumn("log_q", log_q).withColumn("q", F.exp("log_q")).drop("rank_", "m_")
+    raw = F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(downward)
+    return ranked.withColumn("q", F.least(F.lit(1.0), raw)).drop("rank_", "m_")
 
 
 def markers(tests: DataFrame, top_n: int, score: str = "z", digits: int = 6) -> DataFrame:

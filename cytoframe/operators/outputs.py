@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
@@ -56,8 +58,8 @@ def heatmap(means: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def volcano(tests: DataFrame, changes: DataFrame) -> DataFrame:
-    """log_fc against -log10 q; q = 0 is shown as 300."""
-    y = F.when(F.col("q") <= 1e-300, 300.0).otherwise(-F.log10("q"))
+    """log_fc against -log10 q, from log_q where tests have it; else q = 0 is shown as 300."""
+    y = -F.col("log_q") / math.log(10) if "log_q" in tests.columns else F.when(F.col("q") <= 1e-300, 300.0).otherwise(-F.log10("q"))
     return tests.join(changes, ["grp", "gene_id"]).select("grp", "gene_id", "log_fc", y.alias("neg_log10_q"))
 
 
@@ -68,15 +70,30 @@ def composition(labels: DataFrame, cells: DataFrame, batch: str) -> DataFrame:
     return n.join(total, "label").select("label", batch, "n", (F.col("n") / F.col("all")).alias("share"))
 
 
+def _row_hash(df: DataFrame) -> list[Column]:
+    row = F.xxhash64(*(F.to_json(F.struct(F.col(c).alias("v"))) for c in sorted(df.columns)))
+    return [F.sum(row.cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")]
+
+
 def fingerprint(df: DataFrame) -> str:
     """A hash of the rows, whatever their order and partitioning: the sum of row hashes as a decimal, with their count."""
-    columns = sorted(df.columns)
-    row = F.xxhash64(*(F.to_json(F.struct(F.col(c).alias("v"))) for c in columns))
-    out = df.select(row.cast("decimal(38,0)").alias("h")).agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    out = df.agg(*_row_hash(df)).first()
     return f"{out['h'] or 0}:{out['n']}"
 
 
-def provenance(spark: SparkSession, step: str, params: dict[str, object], source: DataFrame, result: DataFrame, run_id: str | None = None) -> DataFrame:
+def fingerprinted(df: DataFrame, store: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``store`` makes of ``df``, and its fingerprint, observed while it is stored: no second pass reads it."""
+    seen = Observation()
+    out = store(df.observe(seen, *_row_hash(df)))
+    return out, f"{seen.get['h'] or 0}:{seen.get['n']}"
+
+
+def provenance_row(spark: SparkSession, step: str, params: dict[str, object], source: str, result: str, run_id: str | None = None) -> DataFrame:
     """One row: run_id, step, params, input_fingerprint, output_fingerprint."""
-    row = (run_id or uuid.uuid4().hex, step, {k: json.dumps(v, sort_keys=True) for k, v in params.items()}, fingerprint(source), fingerprint(result))
+    row = (run_id or uuid.uuid4().hex, step, {k: json.dumps(v, sort_keys=True) for k, v in params.items()}, source, result)
     return spark.createDataFrame([row], "run_id string, step string, params map<string,string>, input_fingerprint string, output_fingerprint string")
+
+
+def provenance(spark: SparkSession, step: str, params: dict[str, object], source: DataFrame, result: DataFrame, run_id: str | None = None) -> DataFrame:
+    """:func:`provenance_row` of two tables, each read once more."""
+    return provenance_row(spark, step, params, fingerprint(source), fingerprint(result), run_id)

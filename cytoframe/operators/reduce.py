@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import checkpointed
+from ..functions.cuts import checkpointed, stored
 
-#: Genes of a PCA at most: the Gram matrix on the driver is their square.
+#: Genes of a Gram matrix at most, as it is their square; a PCA of more goes by subspace iteration.
 MAX_GENES = 5_000
 #: Vectors of one matrix product of the exact neighbour search, and of a stripe of them that a task holds.
 BLOCK, STRIPE = 2_048, 65_536
@@ -54,11 +55,20 @@ def gram(layer: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return out[:n][np.ix_(place, place)], out[n][place]
 
 
+def _signed(loadings: np.ndarray) -> np.ndarray:
+    """Each component's largest loading made positive, the first gene's among equals."""
+    top = np.abs(np.round(loadings, 9)).argmax(0)
+    return loadings * np.where(loadings[top, range(loadings.shape[1])] < 0, -1, 1)
+
+
 def pca(layer: DataFrame, genes: list[int], n_cells: int, k: int, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(loadings genes x k, variances, mean) of centred PCA over all cells, implicit zeros included.
 
-    Each component's sign makes its largest loading positive, the first gene's among equals.
+    Of up to MAX_GENES genes by their Gram matrix, of more by :func:`subspace_pca`. Each component's sign makes its
+    largest loading positive, the first gene's among equals.
     """
+    if len(genes) > MAX_GENES:
+        return subspace_pca(layer, genes, n_cells, k, scaled)[:3]
     products, sums = gram(layer, genes)
     mean = sums / n_cells
     cov = (products - n_cells * np.outer(mean, mean)) / max(1, n_cells - 1)
@@ -67,10 +77,75 @@ def pca(layer: DataFrame, genes: list[int], n_cells: int, k: int, scaled: bool =
         cov = cov / np.outer(sd, sd)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
-    loadings = vectors[:, order]
-    top = np.abs(np.round(loadings, 9)).argmax(0)
-    loadings = loadings * np.where(loadings[top, range(len(order))] < 0, -1, 1)
-    return loadings, np.maximum(values[order], 0), mean
+    return _signed(vectors[:, order]), np.maximum(values[order], 0), mean
+
+
+#: Genes whose partial results are one row.
+_GENES = 1_024
+
+
+def _times(layer: DataFrame, known: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Transposed matrix times matrix times ``block`` (genes x r), from sparse rows; a partial result of that size for each task."""
+    n, r = block.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, r))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            gene = np.searchsorted(known, batch.column(0).flatten().to_numpy())
+            value = batch.column(1).flatten().to_numpy()[:, None]
+            cell = np.repeat(np.arange(len(sizes)), sizes)
+            scores = np.add.reduceat(value * block[gene], np.cumsum(sizes) - sizes)
+            parts = value * scores[cell]
+            for j in range(r):
+                total[:, j] += np.bincount(gene, parts[:, j], n)
+        blocks = [total[lo : lo + _GENES].ravel() for lo in range(0, n, _GENES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.list_(pa.float64()))], ["row", "values"])
+
+    parts = layer.coalesce(max(1, layer.sparkSession.sparkContext.defaultParallelism)).mapInArrow(partial, "row int, values array<double>")
+    out = np.zeros((n, r))
+    for row in summed(parts).toLocalIterator():
+        out[row["row"] * _GENES : (row["row"] + 1) * _GENES] = np.reshape(row["values"], (-1, r))
+    return out
+
+
+def subspace_pca(layer: DataFrame, genes: list[int], n_cells: int, k: int, scaled: bool = False, extra: int = 10, rounds: int = 200, tolerance: float = 1e-13, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(loadings, variances, mean, total variance) by randomized block power iteration with orthogonalisation.
+
+    The driver and each task hold genes x (k + extra) numbers. A random block is multiplied by the covariance in one pass
+    over the stored sparse rows, centring and scaling being applied to the block and not to the matrix, and made orthogonal
+    again; it ends when a round changes no eigenvalue by more than ``tolerance`` of the first and no wanted vector by more
+    than its root, or after ``rounds``.
+    """
+    chosen = layer.join(layer.sparkSession.createDataFrame([(int(g),) for g in genes], "gene_id long"), "gene_id", "left_semi")
+    rows = stored(chosen.groupBy("cell_id").agg(F.collect_list("gene_id").alias("genes"), F.collect_list(F.col("v").cast("double")).alias("values")).select("genes", "values"), "sparse-rows")
+    known = np.array(sorted(genes), np.int64)
+    place = np.argsort(np.argsort(genes))
+    sums, squares = np.zeros(len(genes)), np.zeros(len(genes))
+    for r in chosen.groupBy("gene_id").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).toLocalIterator():
+        at = int(np.searchsorted(known, r["gene_id"]))
+        sums[at], squares[at] = r["s"], r["q"]
+    mean = sums / n_cells
+    variance = np.maximum((squares - n_cells * mean * mean) / max(1, n_cells - 1), 0)
+    weight = 1 / np.sqrt(np.maximum(variance, 1e-12)) if scaled else np.ones(len(genes))
+    k = min(k, len(genes))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(genes), min(len(genes), k + extra))))
+    before, kept = None, None
+    for _ in range(rounds):
+        inner = weight[:, None] * q
+        y = weight[:, None] * (_times(rows, known, inner) - n_cells * np.outer(mean, mean @ inner)) / max(1, n_cells - 1)
+        values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        order = np.argsort(-values)
+        values, vectors = values[order], (q @ turn[:, order])[:, :k]
+        q, _ = np.linalg.qr(y @ turn[:, order])
+        still = before is not None and np.abs(values[:k] - before[:k]).max() <= tolerance * max(values[0], 1e-300)
+        if still and (1 - np.abs((vectors * kept).sum(0))).max() <= tolerance:
+            break
+        before, kept = values, vectors
+    total = float((variance * weight * weight).sum())
+    return _signed(vectors[place]), np.maximum(values[:k], 0), mean[place], total
 
 
 def loadings_table(layer: DataFrame, genes: list[int], loadings: np.ndarray, mean: np.ndarray) -> DataFrame:
@@ -88,9 +163,12 @@ def project(layer: DataFrame, loadings: DataFrame, cells: DataFrame) -> DataFram
 
 def explained_variance(layer: DataFrame, genes: list[int], n_cells: int, k: int) -> DataFrame:
     """(pc, variance, ratio) of the first ``k`` components."""
-    _, values, _ = pca(layer, genes, n_cells, len(genes))
-    total = float(values.sum()) or 1.0
-    rows = [(i, float(v), float(v) / total) for i, v in enumerate(values[:k])]
+    if len(genes) > MAX_GENES:
+        _, values, _, total = subspace_pca(layer, genes, n_cells, k)
+    else:
+        _, values, _ = pca(layer, genes, n_cells, len(genes))
+        total = float(values.sum())
+    rows = [(i, float(v), float(v) / (total or 1.0)) for i, v in enumerate(values[:k])]
     return layer.sparkSession.createDataFrame(rows, "pc int, variance double, ratio double")
 
 
@@ -157,11 +235,98 @@ def knn_approx(emb: DataFrame, k: int, radius: float, bucket: float = 0.5, table
     return found.join(full, "cell_id", "left_semi").unionByName(rest)
 
 
+#: Cells whose neighbourhoods a task joins at a time.
+_HOODS = 128
+_PAIRS = pa.schema([("cell_id", pa.int64()), ("neighbor", pa.int64()), ("similarity", pa.float64())])
+
+
+def _closer(table: pa.Table, width: int, metric: str, digits: int) -> pa.Table:
+    """Of the neighbourhoods (hood: rows member, vec, worst) of some cells the pairs of members that are closer than what a member has, each pair once.
+
+    A member's ``width`` closest of all neighbourhoods here are kept.
+    """
+    hood, member, worst = (table.column(c).to_numpy() for c in ("hood", "member", "worst"))
+    x = np.stack(table.column("vec").to_numpy()).astype(np.float64)
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    order = np.argsort(hood, kind="stable")
+    bounds = [*np.flatnonzero(np.concatenate([[True], hood[order][1:] != hood[order][:-1]])).tolist(), len(order)]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo, hi in zip(bounds, bounds[1:]):
+        own = order[lo:hi]
+        y, who = x[own], member[own]
+        sim = y @ y.T if metric == "cosine" else -np.sqrt(np.maximum(((y * y).sum(1)[:, None] + (y * y).sum(1)) - 2 * (y @ y.T), 0))
+        sim = np.round(sim, digits) + 0.0
+        i, j = np.nonzero((sim > worst[own][:, None]) & (who[:, None] != who))
+        found.append((who[i], who[j], sim[i, j]))
+    a, b, sim = (np.concatenate(parts) for parts in zip(*found))
+    order = np.lexsort((b, -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    a, b, sim = a[fresh], b[fresh], sim[fresh]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    keep = rank < width
+    return pa.Table.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sim[keep])], schema=_PAIRS)
+
+
+def knn_descent(emb: DataFrame, k: int, metric: str = "euclidean", width: int | None = None, rounds: int = 12, tolerance: float = 0.002, seed: int = 1, digits: int = 6) -> DataFrame:
+    """(cell_id, neighbor, rank, similarity): nearly the ``k`` nearest of every vector, by neighbour descent.
+
+    A neighbour's neighbour is likely a neighbour. Every cell has a list of ``width`` (5 k, 20 at least), at first of cells
+    that share one of two hashes. In a round each cell's list, and some of the cells that list it (2 ``width``, chosen by hash, so that a
+    hub's round is bounded), meet: all are compared, and a pair closer than the worst of a list enters it. Cells around which
+    nothing has changed sit out. It ends when a round changes less than ``tolerance`` of all entries. There is no radius and no search against
+    all: the work of a round is in proportion to the cells. Lists that come out short, where there are few
+    cells, are whole.
+    """
+    width = width or max(20, 5 * k)
+    vectors = stored(emb.select("cell_id", "vec"), "vectors")
+    n = vectors.count()
+    best = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("similarity"), "neighbor"))
+    hoods = max(1, -(-n // _HOODS))
+
+    def met(members: DataFrame) -> DataFrame:
+        """Pairs found among the members (hood, member, worst) of neighbourhoods."""
+        gathered = members.join(vectors.withColumnRenamed("cell_id", "member"), "member").withColumn("task", F.pmod(F.xxhash64("hood"), F.lit(hoods)))
+        return gathered.groupBy("task").applyInArrow(lambda t: _closer(t, width, metric, digits), "cell_id long, neighbor long, similarity double")
+
+    # Two dealings, so that no group of cells is closed in itself.
+    groups = max(1, n // width)
+    dealt = F.explode(F.array(*(F.pmod(F.xxhash64("cell_id", F.lit(seed), F.lit(i)), F.lit(groups)) + i * groups for i in (0, 1))))
+    start = met(vectors.select(dealt.alias("hood"), F.col("cell_id").alias("member"), F.lit(float("-inf")).alias("worst"))).distinct()
+    lists = stored(start.withColumn("rank", best).where(F.col("rank") <= width).withColumn("fresh", F.lit(True)), "lists")
+    for turn in range(rounds):
+        listing = F.row_number().over(Window.partitionBy("neighbor").orderBy(F.xxhash64("cell_id", "neighbor", F.lit(turn)), "cell_id"))
+        back = lists.select("cell_id", "neighbor", "fresh", listing.alias("at")).where(F.col("at") <= 2 * width).select(F.col("neighbor").alias("hood"), F.col("cell_id").alias("member"), "fresh")
+        around = lists.select(F.col("cell_id").alias("hood"), F.col("neighbor").alias("member"), "fresh").union(back).groupBy("hood", "member").agg(F.bool_or("fresh").alias("fresh"))
+        awake = around.where("fresh").select("hood").distinct()
+        worst = lists.groupBy("cell_id").agg(F.when(F.count(F.lit(1)) >= width, F.min("similarity")).otherwise(float("-inf")).alias("worst"))
+        members = around.join(awake, "hood", "left_semi").select("hood", "member").join(worst.withColumnRenamed("cell_id", "member"), "member")
+        both = lists.select("cell_id", "neighbor", "similarity", F.lit(False).alias("fresh")).union(met(members).withColumn("fresh", F.lit(True)))
+        merged = both.groupBy("cell_id", "neighbor").agg(F.max("similarity").alias("similarity"), F.bool_and("fresh").alias("fresh"))
+        lists = stored(merged.withColumn("rank", best).where(F.col("rank") <= width).select("cell_id", "neighbor", "similarity", "rank", "fresh"), "lists")
+        if lists.where("fresh").count() <= tolerance * n * width:
+            break
+    return lists.where(F.col("rank") <= k).select("cell_id", "neighbor", "rank", "similarity")
+
+
+#: Cells around one neighbour that meet in one task; of more, blocks of that many meet all.
+HUB = 1_024
+
+
 def snn(neighbors: DataFrame) -> DataFrame:
-    """(i, j, w): Jaccard similarity of the neighbour lists of cells that share a neighbour, i < j."""
+    """(i, j, w): Jaccard similarity of the neighbour lists of cells that share a neighbour, i < j.
+
+    Any two cells around a neighbour are a pair of the result, so a hub has as many as the square of its cells; these are
+    cut into blocks, each of which meets all of them in a task of its own.
+    """
     n = neighbors.groupBy("cell_id").agg(F.count(F.lit(1)).alias("k"))
-    left, right = (neighbors.select(F.col("cell_id").alias(c), "neighbor") for c in "ij")
-    shared = left.join(right, "neighbor").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
+    blocks = neighbors.groupBy("neighbor").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("blocks"))
+    known = neighbors.select("cell_id", "neighbor").join(blocks, "neighbor")
+    left = known.select("neighbor", F.pmod(F.xxhash64("cell_id"), "blocks").alias("block"), F.col("cell_id").alias("i"))
+    right = known.select("neighbor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("cell_id").alias("j"))
+    shared = left.join(right, ["neighbor", "block"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
     sized = shared.join(n.select(F.col("cell_id").alias("i"), F.col("k").alias("ki")), "i").join(n.select(F.col("cell_id").alias("j"), F.col("k").alias("kj")), "j")
     return sized.select("i", "j", (F.col("shared") / (F.col("ki") + F.col("kj") - F.col("shared"))).alias("w"))
 

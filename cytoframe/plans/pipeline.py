@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cuts import checkpointed
+from ..functions.cuts import stored
 from ..functions.shipping import ship
 from ..operators import cluster, de, norm, outputs, qc, reduce
 
@@ -22,6 +22,10 @@ class Params:
     n_bins: int = 20
     n_pcs: int = 20
     n_neighbors: int = 15
+    #: ``exact`` (all pairs), or ``descent`` for tables of which that is too much.
+    neighbors: str = "exact"
+    #: ``leiden`` or ``louvain``.
+    communities: str = "leiden"
     resolution: float = 1.0
     top_markers: int = 20
 
@@ -54,13 +58,15 @@ class Pipeline:
     def run(self, counts: DataFrame, cells: DataFrame, genes: DataFrame, params: Params = Params()) -> Result:
         ship(self.spark)
         out, steps = Result(), []
+        prints = {id(counts): outputs.fingerprint(counts)}  # what a step has stored was hashed on its way
 
         def step(name: str, source: DataFrame, result: DataFrame, *used: str) -> DataFrame:
             """Stores a step's result; its row of provenance has the parameters that it used."""
-            stored = checkpointed(result)
+            table, found = outputs.fingerprinted(result, lambda df: stored(df, name))
+            prints[id(table)] = found
             chosen = {k: v for k, v in asdict(params).items() if k in used}
-            steps.append(outputs.provenance(self.spark, name, chosen, source, stored, run_id="run"))
-            return stored
+            steps.append(outputs.provenance_row(self.spark, name, chosen, prints[id(source)], found, run_id="run"))
+            return table
 
         metrics = qc.cell_metrics(counts, cells).join(cells.select("cell_id", self.batch), "cell_id")
         judged = qc.mad_outliers(metrics, "total", params.n_mads, by=self.batch)
@@ -81,10 +87,12 @@ class Pipeline:
         scores = step("scores", layer, reduce.project(layer, table, kept_cells).withColumn("score", F.round("score", 6) + 0.0), "n_pcs")
         emb = scores.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pc", "score"))), lambda e: e["score"]).alias("vec"))
 
-        near = step("neighbors", scores, reduce.knn(emb, params.n_neighbors, "euclidean"), "n_neighbors")
+        search = {"exact": reduce.knn, "descent": reduce.knn_descent}[params.neighbors]
+        near = step("neighbors", scores, search(emb, params.n_neighbors, "euclidean"), "n_neighbors", "neighbors")
         graph = near.select(F.least("cell_id", "neighbor").alias("i"), F.greatest("cell_id", "neighbor").alias("j")).distinct().withColumn("w", F.lit(1.0))
-        found = cluster.louvain(graph, params.resolution).select(F.col("node").alias("cell_id"), "label")
-        labels = step("clusters", near, cluster.relabel_by_size(found), "resolution")
+        divide = {"leiden": cluster.leiden, "louvain": cluster.louvain}[params.communities]
+        found = divide(graph, params.resolution).select(F.col("node").alias("cell_id"), "label")
+        labels = step("clusters", near, cluster.relabel_by_size(found), "resolution", "communities")
 
         groups = labels.select("cell_id", F.col("label").cast("string").alias("grp"))
         tests = step("tests", layer, de.bh_adjust(de.wilcoxon(layer, groups)))

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cuts import shared_path, stored
 from ..operators import cluster, de, norm, outputs, qc, reduce
-from ..sources import canonicalize, matrix_from_events, matrix_from_text, read_long, read_wide
+from ..sources import canonicalize, matrix_from_events, matrix_from_text, read_long, read_matrix, read_wide, write_mtx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,6 +111,16 @@ def i2_read_wide(spark, d):
     return read_wide(spark, f"{d}/labels.parquet", "doc_id")
 
 
+@query(_BASE + " SELECT * FROM counts")
+def i3_read_mtx(spark, d):
+    """The matrix written as a Matrix Market folder, in parts, and read back by the data source; ids there begin at 1."""
+    counts = _counts(spark, d).select((F.col("cell_id") + 1).alias("cell_id"), (F.col("gene_id") + 1).alias("gene_id"), "cnt")
+    size = counts.agg(F.max("cell_id"), F.max("gene_id")).first()
+    path = shared_path(spark, "matrix.mtx")
+    write_mtx(counts, size[0], size[1], path)
+    return read_matrix(spark, path, partition_bytes=1 << 20).select((F.col("cell_id") - 1).alias("cell_id"), (F.col("gene_id") - 1).alias("gene_id"), "cnt")
+
+
 @query("SELECT l_orderkey AS cell_id, l_partkey AS gene_id, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem GROUP BY 1, 2")
 def i4_canonicalize(spark, d):
     return canonicalize(read_long(spark, f"{d}/lineitem.parquet", "l_orderkey", "l_partkey", "l_quantity"))
@@ -236,15 +247,16 @@ def n8_batch_center(spark, d):
 _N_GENES = 2_000
 
 
-def _variable_genes(spark: SparkSession, d: str) -> list[int]:
-    """A bounded list, as the pipeline chooses it: the most variable genes."""
-    found = norm.hvg(norm.gene_moments(_layer(spark, d), _cells(spark, d).count()), _N_GENES)
-    return sorted(r["gene_id"] for r in found.where("is_hvg").select("gene_id").collect())
+def _variable(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+    """The layer, stored once for all passes over it, and a bounded list of genes, as the pipeline chooses it: the most variable ones."""
+    layer = stored(_layer(spark, d), "layer")
+    found = norm.hvg(norm.gene_moments(layer, _cells(spark, d).count()), _N_GENES)
+    return layer, sorted(r["gene_id"] for r in found.where("is_hvg").select("gene_id").collect())
 
 
 @query()
 def d1_pca(spark, d):
-    layer, genes = _layer(spark, d), _variable_genes(spark, d)
+    layer, genes = _variable(spark, d)
     loadings, _, mean = reduce.pca(layer, genes, _cells(spark, d).count(), 10)
     return _rounded(reduce.loadings_table(layer, genes, loadings, mean))
 
@@ -264,7 +276,7 @@ def d2_project(spark, d):
 
 @query()
 def d3_explained_variance(spark, d):
-    return _rounded(reduce.explained_variance(_layer(spark, d), _variable_genes(spark, d), _cells(spark, d).count(), 10))
+    return _rounded(reduce.explained_variance(*_variable(spark, d), _cells(spark, d).count(), 10))
 
 
 @query(_KNN + " SELECT * FROM near")
@@ -277,6 +289,20 @@ def d5_knn_approx(spark, d):
     return reduce.knn_approx(_emb(spark, d), 5, radius=1.2)
 
 
+@query()
+def d5_knn_descent(spark, d):
+    return reduce.knn_descent(_emb(spark, d), 5)
+
+
+@query("SELECT 5 * count(*) AS n, TRUE AS recalled FROM embeddings")
+def d5_recall(spark, d):
+    """Entries that neighbour descent finds, and whether at least 0.95 of the exact ones are among them."""
+    exact, near = (f(_emb(spark, d), 5).select("cell_id", "neighbor") for f in (lambda e, k: reduce.knn(e, k, "euclidean"), reduce.knn_descent))
+    near = near.withColumn("found", F.lit(1))
+    both = exact.withColumn("true", F.lit(1)).join(near, ["cell_id", "neighbor"], "full")
+    return both.agg(F.count("found").alias("n"), (F.count(F.when(F.col("found") == F.col("true"), 1)) >= 0.95 * F.count("true")).alias("recalled"))
+
+
 @query(_KNN + """, s AS (SELECT a.cell_id AS i, b.cell_id AS j, count(*) AS shared FROM near a JOIN near b USING (neighbor) WHERE a.cell_id < b.cell_id GROUP BY 1, 2)
 SELECT i, j, round(shared / CAST(10 - shared AS DOUBLE), 6) AS w FROM s""")
 def d6_snn(spark, d):
@@ -298,6 +324,24 @@ def c1_kmeans(spark, d):
     return cluster.kmeans(_emb(spark, d), 8, seed=3, iterations=10)
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd from the first six vectors, iteration by iteration."""
+    near = "row_number() OVER (PARTITION BY e.cell_id ORDER BY round(list_sum(list_transform(list_zip(e.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), c.label) AS r"
+    sql = _EMB + ", c0 AS (SELECT CAST(cell_id AS INTEGER) AS label, vec FROM emb WHERE cell_id < 6)"
+    for k in range(rounds):
+        sql += f""", a{k} AS (SELECT cell_id, vec, label FROM (SELECT e.cell_id, e.vec, c.label, {near} FROM emb e, c{k} c) WHERE r = 1),
+m{k} AS (SELECT label, pos, round(avg(x), 9) AS x FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM a{k}) GROUP BY 1, 2),
+c{k + 1} AS (SELECT label, list(x ORDER BY pos) AS vec FROM m{k} GROUP BY 1)"""
+    return sql + f" SELECT cell_id, label FROM (SELECT e.cell_id, c.label, {near} FROM emb e, c{rounds} c) WHERE r = 1"
+
+
+@query(_lloyd_sql(3))
+def c1_kmeans_given(spark, d):
+    """Three iterations from given centres."""
+    start = [list(r["vec"]) for r in _first_centroids(spark, d).orderBy("label").collect()]  # six rows
+    return cluster.kmeans(_emb(spark, d), 6, iterations=3, start=start)
+
+
 def _first_centroids(spark: SparkSession, d: str) -> DataFrame:
     return _emb(spark, d).where("cell_id < 6").select(F.col("cell_id").cast("int").alias("label"), "vec")
 
@@ -334,6 +378,23 @@ def c5_louvain(spark, d):
     return cluster.louvain(_graph(spark, d), levels=2, rounds=4)
 
 
+@query()
+def c5_leiden(spark, d):
+    return cluster.leiden(_graph(spark, d), levels=3, rounds=4)
+
+
+@query(_GRAPH + " SELECT (SELECT count(*) FROM (SELECT i FROM graph UNION SELECT j FROM graph)) AS nodes, 0::BIGINT AS disconnected, TRUE AS beats_label_propagation")
+def c5_leiden_quality(spark, d):
+    """Nodes with a community, communities that fall into pieces, and whether its modularity is at least that of label propagation."""
+    graph = stored(_graph(spark, d), "graph")
+    found = stored(cluster.leiden(graph, levels=3, rounds=4), "leiden")
+    a, b = (found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ij")
+    inside = graph.join(a, "i").join(b, "j").where("li = lj").select("i", "j", "w")
+    pieces = found.join(cluster.connected_components(inside).withColumnRenamed("label", "piece"), "node", "left").groupBy("label").agg(F.count_distinct(F.coalesce("piece", "node")).alias("pieces"), F.count(F.lit(1)).alias("n"))
+    scores = [cluster.modularity(graph, x).first()[0] for x in (found, cluster.label_propagation(graph, 5))]
+    return pieces.agg(F.sum("n").alias("nodes"), F.count(F.when(F.col("pieces") > 1, 1)).alias("disconnected")).withColumn("beats_label_propagation", F.lit(scores[0] >= scores[1]))
+
+
 @query()
 def c6_bisecting_kmeans(spark, d):
     return cluster.bisecting_kmeans(_emb(spark, d), 4)
@@ -399,7 +460,11 @@ def e2_log_fc(spark, d):
     return _rounded(de.log_fc(_layer(spark, d), _groups(spark, d)))
 
 
-_P = """2 * 0.3989422804014327::DOUBLE * exp(-{z} * {z} / 2) * (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (0.319381530::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (-0.356563782::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (1.781477937::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * (-1.821255978::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * abs({z}))) * 1.330274429::DOUBLE))))"""
+# ln of the two-sided normal tail erfc(x), x = |z| / sqrt(2), by the trapezoidal rule for its integral over 1 / (n^2 h^2 + x^2) at h = 1 / 2; up to x = pi / h a pole adds a term.
+_X = "(abs({z}) / sqrt(2.0::DOUBLE))"
+_SUM = f"(0.5::DOUBLE * {_X} / pi() * (1 / ({_X} * {_X}) + 2 * list_sum(list_transform(range(1, 14), lambda n: exp(-0.25::DOUBLE * n * n) / (0.25::DOUBLE * n * n + {_X} * {_X})))))"
+_LOG_P = f"(CASE WHEN abs({{z}}) < 1e-9 THEN 0.0::DOUBLE WHEN abs({{z}}) < 8.8 THEN ln({_SUM} * exp(-{_X} * {_X}) - 2 / (exp(4 * pi() * {_X}) - 1)) ELSE ln({_SUM}) - {_X} * {_X} END)"
+_P = f"exp({_LOG_P})"
 _RANKS = _DENSE + """, r AS (SELECT grp, gene_id, round(v, 6) AS v FROM dense),
 rk AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY v) + (count(*) OVER (PARTITION BY gene_id, v) - 1) / 2.0::DOUBLE AS rnk, count(*) OVER (PARTITION BY gene_id, v)::DOUBLE AS tie FROM r),
 tt AS (SELECT gene_id, sum(tie * tie - 1) AS ties FROM rk GROUP BY 1), i AS (SELECT grp, gene_id, sum(rnk) AS r FROM rk GROUP BY 1, 2),
@@ -408,7 +473,7 @@ k AS (SELECT grp, gene_id, r - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 2 AS mu, n1 * n
 wx AS (SELECT grp, gene_id, u, CASE WHEN va > 1e-12 THEN (u - mu) / sqrt(greatest(va, 1e-12)) ELSE 0 END AS z FROM k)"""
 
 
-@query(_RANKS + f" SELECT grp, gene_id, round(u, 3) AS u, round(z, 5) + 0.0 AS z, round(least(1, {_P.format(z='z')}), 5) AS p FROM wx")
+@query(_RANKS + f" SELECT grp, gene_id, round(u, 3) AS u, round(z, 5) + 0.0 AS z, round({_P.format(z='z')}, 5) AS p FROM wx")
 def e3_wilcoxon(spark, d):
     out = de.wilcoxon(_layer(spark, d), _groups(spark, d))
     return out.select("grp", "gene_id", F.round("u", 3).alias("u"), (F.round("z", 5) + 0.0).alias("z"), F.round("p", 5).alias("p"))
@@ -437,10 +502,11 @@ def e5_pseudobulk(spark, d):
     return de.pseudobulk(_counts(spark, d), _cells(spark, d), "nation")
 
 
-@query(f"SELECT k, round(least(1, {_P.format(z='(k / 100.0::DOUBLE)')}), 6) AS p FROM (SELECT l_orderkey % 600 AS k FROM lineitem GROUP BY 1)")
+@query(f"SELECT k, round({_P.format(z='(k / 15.0::DOUBLE)')}, 9) AS p, round({_LOG_P.format(z='(k / 15.0::DOUBLE)')}, 6) + 0.0 AS log_p FROM (SELECT l_orderkey % 600 AS k FROM lineitem GROUP BY 1)")
 def e6_normal_p(spark, d):
     k = _table(spark, d, "lineitem").select((F.col("l_orderkey") % 600).alias("k")).distinct()
-    return _rounded(k.select("k", de.normal_p(F.col("k") / 100.0).alias("p")))
+    z = F.col("k") / 15.0
+    return k.select("k", F.round(de.normal_p(z), 9).alias("p"), (F.round(de.normal_log_p(z), 6) + 0.0).alias("log_p"))
 
 
 @query("""WITH t AS (SELECT p_type AS grp, p_partkey AS gene_id, ((p_partkey * 7919) % 1000) / 1000.0::DOUBLE AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY grp ORDER BY p) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM t), x AS (SELECT *, p * m / rk AS raw FROM r)
@@ -456,7 +522,7 @@ def e8_markers(spark, d):
 
 
 @query(_SUMS + """, c AS (SELECT grp, gene_id, n_all, a, ta - a AS c, n1 - a AS b, n2 - (ta - a) AS d FROM io),
-x AS (SELECT grp, gene_id, coalesce(n_all * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 0) AS chi2 FROM c)""" + f" SELECT grp, gene_id, round(chi2, 5) AS chi2, round(least(1, {_P.format(z='sqrt(chi2)')}), 5) AS p FROM x")
+x AS (SELECT grp, gene_id, coalesce(n_all * (a * d - b * c) * (a * d - b * c) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 0) AS chi2 FROM c)""" + f" SELECT grp, gene_id, round(chi2, 5) AS chi2, round({_P.format(z='sqrt(chi2)')}, 5) AS p FROM x")
 def e9_chisq_pct(spark, d):
     return _rounded(de.chisq_pct(_layer(spark, d), _groups(spark, d)), 5)
 
@@ -491,7 +557,7 @@ def o3_mean_variance(spark, d):
 
 @query()
 def o4_elbow(spark, d):
-    return _rounded(outputs.elbow(reduce.explained_variance(_layer(spark, d), _variable_genes(spark, d), _cells(spark, d).count(), 10)))
+    return _rounded(outputs.elbow(reduce.explained_variance(*_variable(spark, d), _cells(spark, d).count(), 10)))
 
 
 @query(_EMB + " SELECT cell_id, round(vec[1], 6) AS x, round(vec[2], 6) AS y, label AS cluster FROM emb")
@@ -513,12 +579,14 @@ def o7_heatmap(spark, d):
     return _rounded(outputs.heatmap(de.group_means(layer, groups), de.markers(de.wilcoxon(layer, groups), 10, digits=4)), 5)
 
 
-@query(_RANKS + f""", own AS (SELECT grp, gene_id, sum(v) AS s FROM dense GROUP BY 1, 2), tot AS (SELECT gene_id, sum(s) AS ts FROM own GROUP BY 1), fc AS (SELECT grp, gene_id, s / n1 - (ts - s) / (n_all - n1) AS log_fc FROM own JOIN tot USING (gene_id) JOIN gs USING (grp), allc),
-pp AS (SELECT grp, gene_id, round(least(1, {_P.format(z='z')}), 6) AS p FROM wx), rr AS (SELECT *, count(*) OVER (PARTITION BY grp ORDER BY p) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM pp), qq AS (SELECT grp, gene_id, least(1, min(p * m / rk) OVER (PARTITION BY grp ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM rr)
-SELECT grp, gene_id, round(log_fc, 5) + 0.0 AS log_fc, round(CASE WHEN q <= 1e-300 THEN 300 ELSE -log10(q) END, 3) + 0.0 AS neg_log10_q FROM qq JOIN fc USING (grp, gene_id)""")
+@query(_RANKS + f""", own AS (SELECT grp, gene_id, sum(v) AS s FROM dense GROUP BY 1, 2), tot AS (SELECT gene_id, sum(s) AS ts FROM own GROUP BY 1),
+fc AS (SELECT grp, gene_id, s / n1 - (ts - s) / (n_all - n1) AS log_fc FROM own JOIN tot USING (gene_id) JOIN gs USING (grp), allc),
+pp AS (SELECT grp, gene_id, round({_LOG_P.format(z='z')}, 6) AS log_p FROM wx), rr AS (SELECT *, count(*) OVER (PARTITION BY grp ORDER BY log_p) AS rk, count(*) OVER (PARTITION BY grp) AS m FROM pp),
+qq AS (SELECT grp, gene_id, least(0, min(log_p + ln(m / rk::DOUBLE)) OVER (PARTITION BY grp ORDER BY log_p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS log_q FROM rr)
+SELECT grp, gene_id, round(log_fc, 5) + 0.0 AS log_fc, round(-log_q / ln(10), 3) + 0.0 AS neg_log10_q FROM qq JOIN fc USING (grp, gene_id)""")
 def o8_volcano(spark, d):
     layer, groups = _layer(spark, d), _groups(spark, d)
-    tests = de.bh_adjust(de.wilcoxon(layer, groups).withColumn("p", F.round("p", 6)))
+    tests = de.bh_adjust(de.wilcoxon(layer, groups).withColumn("log_p", F.round("log_p", 6)))
     return outputs.volcano(tests, de.log_fc(layer, groups)).select("grp", "gene_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), (F.round("neg_log10_q", 3) + 0.0).alias("neg_log10_q"))
 
 

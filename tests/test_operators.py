@@ -7,9 +7,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from cytoframe.functions import running
+from cytoframe.functions.cuts import stored
 from cytoframe.functions.quantiles import quantiles
 from cytoframe.operators import cluster, de, norm, outputs, qc, reduce
-from cytoframe.sources import canonicalize, matrix_from_events, read_long, read_mtx, read_wide
+from cytoframe.sources import canonicalize, matrix_from_events, read_long, read_matrix, read_mtx, read_wide, write_mtx
 
 
 def long(spark, dense):
@@ -95,7 +97,82 @@ def test_wilcoxon_equals_brute_force(matrix, dense):
             var = 20 * 40 / 12 * (61 - (ties**3 - ties).sum() / (60 * 59))
             z = (u - 400) / math.sqrt(var)
             r = got[f"g{g}", j]
-            assert r.u == pytest.approx(u) and r.z == pytest.approx(z) and r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=2e-2, abs=1e-12)
+            assert r.u == pytest.approx(u) and r.z == pytest.approx(z) and r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-9, abs=0)
+
+
+@pytest.mark.parametrize("split", [None, 3])
+def test_wilcoxon_ranks_negatives_and_splits_genes(spark, monkeypatch, split):
+    """Centred values of both signs, implicit and stored zeros, ties; genes in one window or in ranges."""
+    if split:
+        monkeypatch.setattr(running, "SPLIT", split)
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(0, 1, (40, 5)), 1) * (rng.random((40, 5)) < 0.8)
+    v[:, 1] = -np.abs(v[:, 1])
+    v[:, 2] = np.arange(40) / 7 - 2
+    rows = [(i, j, float(v[i, j])) for i in range(40) for j in range(5) if v[i, j] or i % 2] + [(41, 0, -3.0)]
+    layer = spark.createDataFrame([*rows, (3, 0, None)][:-1], "cell_id long, gene_id long, v double").repartition(3)
+    groups = spark.createDataFrame([(i, f"g{i % 3}") for i in range(40)], "cell_id long, grp string")
+    got = {(r.grp, r.gene_id): r for r in de.wilcoxon(layer, groups).collect()}
+    assert len(got) == 15
+    for g in range(3):
+        inside = np.arange(40) % 3 == g
+        for j in range(5):
+            x, y = v[inside, j], v[~inside, j]
+            u = (x[:, None] > y).sum() + 0.5 * (x[:, None] == y).sum()
+            _, ties = np.unique(v[:, j], return_counts=True)
+            var = len(x) * len(y) / 12 * (41 - (ties**3 - ties).sum() / (40 * 39))
+            assert got[f"g{g}", j].u == pytest.approx(u) and got[f"g{g}", j].z == pytest.approx((u - len(x) * len(y) / 2) / math.sqrt(var))
+
+
+def test_no_gene_is_one_window(spark, monkeypatch):
+    """A gene that all cells have, each with its own value: its values go to many tasks, and counts stay exact."""
+    monkeypatch.setattr(running, "SPLIT", 500)
+    rng = np.random.default_rng(1)
+    values = np.concatenate([[1e12], rng.permutation(6000) / 7])  # an outlier doesn't crowd the others into one range
+    df = spark.createDataFrame([(1, float(x), 1 + k % 3) for k, x in enumerate(values)] + [(None, 1.0, 5), (None, 2.0, 6)], "g int, v double, n long").repartition(4)
+    found = running.running_counts(df, ["g"], "v", "n")
+    order = np.argsort(values)
+    want = dict(zip(values[order].tolist(), (np.cumsum(1 + order % 3) - (1 + order % 3)).tolist()))
+    rows = found.collect()
+    assert {r.v: r.before for r in rows if r.g == 1} == want and {r.v: r.before for r in rows if r.g is None} == {1.0: 0, 2.0: 5}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(key_" in plan and "range_" in plan
+    bounds = [x for x in sorted(values) if x != 1e12]
+    keyed = df.where("g = 1").withColumn("key_", F.struct("g"))
+    chosen = sorted(r.v for r in keyed.where(F.pmod(F.xxhash64("key_", "v"), F.lit(6001 // running.RANGES)) == 0).collect())
+    widest = max(b - a for a, b in zip([0, *np.searchsorted(bounds, chosen)], [*np.searchsorted(bounds, chosen), 6000]))
+    assert 150 < len(chosen) < 400 and widest < 300
+
+
+def test_normal_tails_are_exact(spark):
+    from fractions import Fraction
+
+    def log_p(z):
+        """By the continued fraction in exact arithmetic for large z, by erfc for small."""
+        if z < 5:
+            return math.log(math.erfc(z / math.sqrt(2)))
+        x = Fraction(z)
+        rest = x
+        for k in range(60, 0, -1):
+            rest = (x + k / rest).limit_denominator(10**40)
+        return math.log(2) - z * z / 2 - 0.5 * math.log(2 * math.pi) - math.log(rest)
+
+    zs = [0.0, 1e-9, 0.01, 0.5, 1.0, 2.0, 2.999, 3.0, 3.001, 4.0, 6.0, 8.5, 12.0, 20.0, 30.0, 37.5, 40.0, 300.0]
+    df = spark.createDataFrame([(z * s,) for z in zs for s in (1, -1)] + [(None,)], "z double")
+    rows = df.select("z", de.normal_log_p(F.col("z")).alias("l"), de.normal_p(F.col("z")).alias("p")).collect()
+    assert rows[-1].l is None and rows[-1].p is None
+    for r in rows[:-1]:
+        # A difference of logarithms is the relative error of p; rounding of z * z / 2 alone is 1e-16 of it.
+        assert r.l == pytest.approx(log_p(abs(r.z)), abs=1e-9 if abs(r.z) < 50 else 1e-8, rel=0)
+        assert r.p == pytest.approx(math.exp(r.l), rel=1e-12, abs=0) and r.p <= 1
+
+
+def test_adjustment_in_logs_does_not_saturate(spark):
+    tests = spark.createDataFrame([("a", i, z) for i, z in enumerate([45.0, 60.0, 60.0, 2.0])], "grp string, gene_id long, z double")
+    tests = tests.withColumn("log_p", de.normal_log_p(F.col("z"))).withColumn("p", F.exp("log_p"))
+    changes = tests.select("grp", "gene_id", F.lit(1.0).alias("log_fc"))
+    y = [r.neg_log10_q for r in outputs.volcano(de.bh_adjust(tests), changes).orderBy("gene_id").collect()]
+    assert y[1] == y[2] > y[0] > 400 and y[3] == pytest.approx(-math.log10(math.erfc(math.sqrt(2))), abs=1e-9)
 
 
 def test_markers_find_planted_genes(matrix):
@@ -210,15 +287,155 @@ def test_clusterings_find_blobs_whatever_the_partitioning(blobs):
     assert cluster.agreement(comps.select(F.col("node").alias("cell_id"), "label"), truth).first().ari >= 0.95
 
 
-def test_library_clusterings(blobs):
-    """Blobs are found, with equal labels whatever the partitioning."""
-    _, emb, truth = blobs
+@pytest.fixture(scope="module")
+def three(spark):
+    """Three well separated blobs, as points and as a graph of neighbours in three components."""
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(0, 0.3, (40, 2)) + centre for centre in ([0, 0], [5, 0], [0, 5])])
+    emb = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "cell_id long, vec array<double>").cache()
+    truth = spark.createDataFrame([(i, i // 40) for i in range(120)], "cell_id long, truth int").cache()
     near = reduce.knn(emb, 5, "euclidean")
     graph = near.select(F.least("cell_id", "neighbor").alias("i"), F.greatest("cell_id", "neighbor").alias("j")).distinct().withColumn("w", F.lit(1.0)).cache()
-    for made, least in ((lambda n: cluster.bisecting_kmeans(emb.repartition(n), 3), 0.95), (lambda n: cluster.gmm(emb.repartition(n), 3, seed=2, iterations=5), 0.6), (lambda n: cluster.pic(graph.repartition(n), 3).withColumnRenamed("node", "cell_id"), 0.6)):
-        one, many = (sorted(map(tuple, made(n).collect())) for n in (1, 5))
-        assert one == many and len(one) == 90
-        assert cluster.agreement(made(2), truth).first().purity >= least
+    return emb, truth, graph
+
+
+def rand_index(labels, truth=lambda i: i // 40):
+    """Adjusted, of (cell, label) rows."""
+    from collections import Counter
+
+    pairs = lambda c: sum(n * (n - 1) / 2 for n in c.values())
+    both, a, b = Counter((k, truth(i)) for i, k in labels), Counter(k for _, k in labels), Counter(truth(i) for i, _ in labels)
+    expected = pairs(a) * pairs(b) / (len(labels) * (len(labels) - 1) / 2)
+    return (pairs(both) - expected) / ((pairs(a) + pairs(b)) / 2 - expected)
+
+
+def test_kmeans_finds_blobs_from_any_seed(three):
+    emb, _, _ = three
+    seen = {}
+    for seed in range(10):
+        for n in (1, 4, 9) if not seed else (4,):
+            labels = sorted(map(tuple, cluster.kmeans(emb.repartition(n), 3, seed=seed).collect()))
+            assert rand_index(labels) >= 0.95
+            assert seen.setdefault(seed, labels) == labels
+
+
+def test_mixtures_and_bisection_find_blobs(three):
+    emb, _, _ = three
+    for seed, parts in ((1, (1, 5)), (2, (2,)), (3, (2,))):
+        found = [sorted(map(tuple, cluster.gmm(emb.repartition(n), 3, seed=seed).collect())) for n in parts]
+        assert found[0] == found[-1] and rand_index(found[0]) >= 0.95
+    one, many = (sorted(map(tuple, cluster.bisecting_kmeans(emb.repartition(n), 3).collect())) for n in (1, 5))
+    assert one == many and rand_index(one) >= 0.95
+
+
+def test_power_iteration_finds_components(three):
+    graph = three[2]
+    one, many = (sorted(map(tuple, cluster.pic(graph.repartition(n), 3).collect())) for n in (1, 5))
+    assert one == many and rand_index(one) >= 0.95
+    assert rand_index(list(map(tuple, cluster.pic(graph, 3, seed=7).collect()))) >= 0.95
+
+
+def test_seeds_of_few_vectors(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "cell_id long, vec array<double>")
+    assert {r.label for r in cluster.kmeans(same, 3).collect()} == {0}
+    assert cluster.kmeans(same.limit(0), 3).collect() == []
+    two = spark.createDataFrame([(i, [float(i % 2)]) for i in range(9)], "cell_id long, vec array<double>")
+    assert len({r.label for r in cluster.kmeans(two, 4).collect()}) == 2
+
+
+def pieces(graph, labels):
+    """Connected pieces of each community."""
+    of = {r.node: r.label for r in labels.collect()}
+    near = {}
+    for r in graph.collect():
+        if of[r.i] == of[r.j]:
+            near.setdefault(r.i, set()).add(r.j)
+            near.setdefault(r.j, set()).add(r.i)
+    found, out = set(), {}
+    for v in sorted(of):
+        if v not in found:
+            out[of[v]] = out.get(of[v], 0) + 1
+            todo = [v]
+            while todo:
+                x = todo.pop()
+                if x not in found:
+                    found.add(x)
+                    todo += near.get(x, ())
+    return of, out
+
+
+def test_leiden_communities_are_connected(spark):
+    rng = np.random.default_rng(4)
+    # Eight planted groups of 20; few links between them.
+    group = np.arange(160) // 20
+    edges = [(i, j, 1.0) for i in range(160) for j in range(i + 1, 160) if rng.random() < (0.35 if group[i] == group[j] else 0.02)]
+    planted = spark.createDataFrame(edges, "i long, j long, w double")
+    # A ring of bridges: nodes between two triangles, which moves easily tear apart.
+    ring = [(3 * k + a, 3 * k + b, 1.0) for k in range(12) for a, b in ((0, 1), (1, 2), (0, 2))] + [(3 * k + 2, 3 * k + 3, 1.5) for k in range(11)]
+    for graph in (planted, spark.createDataFrame(ring, "i long, j long, w double")):
+        found = stored(cluster.leiden(graph.repartition(3)), "leiden")
+        of, n = pieces(graph, found)
+        assert set(n.values()) == {1} and all(label == min(v for v in of if of[v] == label) for label in n)
+        mine, theirs = (cluster.modularity(graph, x).first()[0] for x in (found, cluster.louvain(graph)))
+        assert mine >= theirs - 1e-9
+        if graph is planted:
+            assert rand_index(list(of.items()), lambda i: i // 20) >= 0.95
+            assert sorted(of.items()) == sorted(map(tuple, cluster.leiden(graph.repartition(7)).collect()))
+    assert cluster.leiden(planted.limit(0)).count() == 0
+
+
+def test_neighbour_descent(spark):
+    """Recall against brute force on vectors without structure, with outliers, a hub and copies."""
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(0, 1, (600, 12)), 50 * np.eye(12)[:4], np.zeros((1, 12)), np.ones((30, 12))])
+    n = len(points)
+    emb = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "cell_id long, vec array<double>")
+    for metric in ("euclidean", "cosine"):
+        exact = {(r.cell_id, r.neighbor): r.similarity for r in reduce.knn(emb, 5, metric).collect()}
+        rows = reduce.knn_descent(emb.repartition(5), 5, metric).collect()
+        assert len(rows) == 5 * n and all(r.cell_id != r.neighbor for r in rows)
+        worst = {}
+        for (i, _), s in exact.items():
+            worst[i] = min(worst.get(i, s), s)
+        assert sum(r.similarity >= worst[r.cell_id] for r in rows) >= 0.95 * len(rows)
+    few = reduce.knn_descent(emb.limit(3), 5)
+    assert few.count() == 6 and reduce.knn_descent(emb.limit(0), 5).count() == 0
+
+
+def test_subspace_pca_equals_gram(matrix, dense, monkeypatch):
+    layer, genes = norm.log_norm(matrix[0]), [3, 0, 7, 1, 2, 10, 9, 8, 4, 5, 6]
+    for scaled in (False, True):
+        monkeypatch.setattr(reduce, "MAX_GENES", 5_000)
+        want = reduce.pca(layer, genes, 60, 3, scaled)
+        monkeypatch.setattr(reduce, "MAX_GENES", 5)
+        got = reduce.pca(layer, genes, 60, 3, scaled)
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got, want))
+    ratios = [reduce.explained_variance(layer, genes, 60, 3).collect()]
+    monkeypatch.setattr(reduce, "MAX_GENES", 5_000)
+    ratios.append(reduce.explained_variance(layer, genes, 60, 3).collect())
+    assert [r.ratio for r in ratios[0]] == pytest.approx([r.ratio for r in ratios[1]], abs=1e-8)
+    # Fewer vectors than genes: the block must be iterated.
+    got = reduce.subspace_pca(layer, genes, 60, 2, extra=2)
+    assert np.allclose(got[0], want[0][:, :2] if not scaled else reduce.pca(layer, genes, 60, 2)[0], atol=1e-6)
+
+
+def test_subspace_pca_of_many_genes(spark):
+    """20,000 genes, two planted directions."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        for g in rng.choice(20_000, 40, replace=False):
+            rows.append((i, int(g), 0.1))
+        rows += [(i, 20_000 + (i % 3), 5.0)]
+    layer = spark.createDataFrame(rows, "cell_id long, gene_id long, v double").groupBy("cell_id", "gene_id").agg(F.sum("v").alias("v"))
+    genes = list(range(20_003))
+    loadings, values, mean = reduce.pca(layer, genes, 60, 2)
+    assert loadings.shape == (20_003, 2) and mean[20_000] == pytest.approx(5 / 3)
+    dense = np.zeros((60, 20_003))
+    for r in layer.collect():
+        dense[r.cell_id, r.gene_id] = r.v
+    want = np.linalg.svd(dense - dense.mean(0), compute_uv=False)[:2] ** 2 / 59
+    assert values == pytest.approx(want, rel=1e-9)
 
 
 def test_quantiles_equal_numpy(spark):
@@ -232,6 +449,7 @@ def test_quantiles_equal_numpy(spark):
         assert got[g][0] == len(own) and got[g][1] == pytest.approx(np.quantile(own, wanted).tolist())
     assert list(quantiles(df, "x", [0.5]).first()) == pytest.approx([1311, np.median([x for _, x in rows if x is not None])])
     assert quantiles(df.limit(0), "x", [0.5], "g").count() == 0
+    assert {r[0]: (r.n, list(r)[2:]) for r in quantiles(df, "x", wanted, "g", split=50).collect()} == got
 
 
 def test_graph_pieces(spark):
@@ -276,22 +494,82 @@ def test_events_are_summed_and_checked(spark):
             matrix_from_events(spark.createDataFrame([(1, 1, bad)], schema), "a", "b", "x").collect()
 
 
-def test_read_mtx(spark, tmp_path):
-    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n" + "% note\n" * 12_000 + "\n3 2 4\n1 1 5\n 3   1  2\n2 2 1\n3 2 4\n")
+_TOP = "%%MatrixMarket matrix coordinate integer general\n"
+
+
+@pytest.mark.parametrize("by_text", [False, True])
+def test_read_mtx(spark, tmp_path, by_text):
+    (tmp_path / "matrix.mtx").write_text(_TOP + "% note\n" * 12_000 + "\n3 2 4\n1 1 5\n 3   1  2\n\n2 2 1\n3 2 4\n")
     (tmp_path / "genes.tsv").write_text("a\tx\nb\ty\nc\tz\n")
     (tmp_path / "barcodes.tsv").write_text("c1\nc2\n")
-    counts, cells, genes = read_mtx(spark, f"file://{tmp_path}")
+    counts, cells, genes = read_mtx(spark, f"file://{tmp_path}", by_text=by_text)
     assert sorted(map(tuple, counts.collect())) == [(1, 1, 5), (1, 3, 2), (2, 2, 1), (2, 3, 4)]
     assert sorted(map(tuple, cells.collect())) == [(1, "c1"), (2, "c2")]
     assert sorted(map(tuple, genes.collect())) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+@pytest.mark.parametrize("by_text", [False, True])
+def test_read_matrix_checks_what_it_reads(spark, tmp_path, by_text):
+    def read(text, size=1 << 20):
+        path = tmp_path / "m.mtx"
+        path.write_text(text)
+        return sorted(map(tuple, read_matrix(spark, f"file://{path}", by_text, size).collect()))
+
+    assert read("2 2 1\n2 1 3") == [(1, 2, 3)]
+    symmetric = "%%MatrixMarket matrix coordinate real symmetric\n3 3 3\n1 1 2.0\n3 1 4e0\n3 2 0\n"
+    assert read(symmetric) == [(1, 1, 2), (1, 3, 4), (3, 1, 4)]
+    assert read("%%MatrixMarket matrix coordinate pattern general\n2 3 2\n1 3\n2 1\n") == [(1, 2, 1), (3, 1, 1)]
+    assert read(_TOP + "2 2 2\n1 1 4\n1 1 1\n") == [(1, 1, 5)] and read(_TOP + "2 2 0\n") == []
+    bad = ["2 2 1\n9 9 1\n", "2 2 1\n0 1 1\n", "2 2 3\n1 1 1\n", "2 2 1\n1 1 1\n2 2 2\n", "2 2 1\n1 1\n", "2 2 1\n1 1 -4\n", "2 2 1\n1 1 0.5\n", "2 x 1\n1 1 1\n", "", "%%MatrixMarket matrix array real general\n2 2\n1\n1\n1\n1\n", "2 2 1\n1 1 1 1\n", "2 2 1\n1 b 1\n"]
+    for text in bad:
+        with pytest.raises((ValueError, PySparkException)):
+            read(text)
+
+
+def test_matrix_source_reads_ranges_of_bytes(spark, tmp_path):
+    """Every line belongs to the range in which it begins, wherever ranges end; compressed files and folders of parts are read alike."""
+    import gzip
+
+    rng = np.random.default_rng(3)
+    entries = [(int(r) + 1, int(c) + 1, int(v)) for (r, c), v in zip(np.argwhere(np.ones((30, 20))), rng.integers(1, 10**6, 600))]
+    text = _TOP + f"30 20 {len(entries)}\n" + "".join(f"{r} {c} {v}\n" for r, c, v in entries)
+    want = sorted((c, r, v) for r, c, v in entries)
+    for name, body in (("plain.mtx", text), ("open.mtx", text.rstrip("\n"))):
+        (tmp_path / name).write_text(body)
+        for size in (37, 1000, 1 << 20):
+            assert sorted(map(tuple, read_matrix(spark, f"{tmp_path}/{name}", partition_bytes=size).collect())) == want
+    with gzip.open(tmp_path / "m.mtx.gz", "wt") as out:
+        out.write(text)
+    for by_text in (False, True):
+        assert sorted(map(tuple, read_matrix(spark, f"file://{tmp_path}/m.mtx.gz", by_text).collect())) == want
+    assert spark.read.format("mtx").option("partitionBytes", 1000).load(f"{tmp_path}/plain.mtx").rdd.getNumPartitions() == -(-(len(text) - len(_TOP) - len("30 20 600\n")) // 1000)
+    counts = spark.createDataFrame(want, "cell_id long, gene_id long, cnt long").repartition(3)
+    write_mtx(counts, 20, 30, f"{tmp_path}/parts.mtx")
+    assert sorted(map(tuple, read_matrix(spark, f"{tmp_path}/parts.mtx", partition_bytes=500).collect())) == want
+
+
 def test_fingerprint_ignores_order(matrix):
     counts = matrix[0]
     assert outputs.fingerprint(counts) == outputs.fingerprint(counts.repartition(9)) == outputs.fingerprint(counts.orderBy(F.desc("cnt")))
     assert outputs.fingerprint(counts) != outputs.fingerprint(counts.where("cell_id > 0"))
 
 
+def test_fingerprint_is_observed_while_a_table_is_stored(matrix):
+    table, found = outputs.fingerprinted(matrix[0].repartition(3), lambda df: stored(df, "counts"))
+    assert found == outputs.fingerprint(matrix[0]) == outputs.fingerprint(table) and table.columns == matrix[0].columns
+    assert outputs.fingerprinted(matrix[0].limit(0), lambda df: stored(df, "counts"))[1] == outputs.fingerprint(matrix[0].limit(0)) == "0:0"
+
+
+@pytest.mark.parametrize("hub", [1_024, 7])
+def test_shared_neighbours_around_a_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr(reduce, "HUB", hub)
+    rng = np.random.default_rng(5)
+    lists = {i: {0 if i else 99, *map(int, rng.integers(1, 60, 3))} - {i} for i in range(60)}
+    df = spark.createDataFrame([(i, j) for i, near in lists.items() for j in near], "cell_id long, neighbor long")
+    want = {(i, j): len(lists[i] & lists[j]) / len(lists[i] | lists[j]) for i in lists for j in lists if i < j and lists[i] & lists[j]}
+    assert {(r.i, r.j): r.w for r in reduce.snn(df).collect()} == pytest.approx(want)
+
+
 def test_empty_tables(spark):
     counts = spark.createDataFrame([], "cell_id long, gene_id long, cnt long")
     cells = spark.createDataFrame([], "cell_id long, grp string")
