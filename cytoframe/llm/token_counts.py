@@ -62,14 +62,18 @@ def attribute(ends: np.ndarray, starts: np.ndarray, rule: str = "majority") -> t
     first = np.searchsorted(starts, begin, "right") - 1
     last = np.searchsorted(starts, ends - 1, "right") - 1
     to = last.copy() if rule == "last" else first.copy()
+    # A row for each section that a crossing token reaches into, in order.
     crossing = np.flatnonzero(first != last)
-    for i in crossing:
-        held = np.arange(first[i], last[i] + 1)
-        upper = np.append(starts[held[1:]], ends[i])
-        size = np.minimum(upper, ends[i]) - np.maximum(starts[held], begin[i])
-        if rule == "majority":
-            to[i] = held[np.argmax(size)]
-        touched[held[size > 0]] += 1
+    reach = last[crossing] - first[crossing] + 1
+    token = np.repeat(crossing, reach)
+    held = first[token] + np.arange(len(token)) - np.repeat(np.cumsum(reach) - reach, reach)
+    upper = np.append(starts, ends[-1])[held + 1]
+    size = np.minimum(upper, ends[token]) - np.maximum(starts[held], begin[token])
+    np.add.at(touched, held[size > 0], 1)
+    if rule == "majority":
+        best = np.lexsort((held, -size, token))
+        head = np.concatenate([[True], token[best][1:] != token[best][:-1]])[: len(best)]
+        to[token[best][head]] = held[best][head]
     np.add.at(given, to, 1)
     return given, touched
 
@@ -110,7 +114,7 @@ def section_token_counts(df: DataFrame, ranks: str, pattern: str, fields: tuple[
     it), so sections cover the document and their n_tokens add up to doc_tokens. n_crossing
     counts tokens that touch the section and another. Null and empty fields are one empty
     section, without tokens. Repeated and null keys each keep their rows; other columns
-    are not read. Nothing is shuffled.
+    are not read, a document of any length is encoded as a whole, and an empty table gives no rows. Nothing is shuffled.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

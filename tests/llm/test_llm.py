@@ -236,12 +236,51 @@ def test_section_counts(spark, docs, texts):
         t = t or ""
         assert "".join(t[r.char_start : r.char_end] for r in rows) == t
         assert sum(r.n_tokens for r in rows) == len(model.encoding.encode_ordinary(t)) == rows[0].doc_tokens
-        assert len(rows) == max(1, t.rstrip("\n").count("\n") + 1) or t.endswith("\n")
+        assert len(rows) == max(1, t.count("\n") + (not t.endswith("\n")))
     fields = token_counts.section_token_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, fields=("source", "text")).where("doc_id = 3").collect()
     assert [r.field for r in fields] == ["source", "text"]
     assert token_counts.section_token_counts(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_counts_equal_a_count_byte_by_byte(spark, rule):
+    """Several fields, sections by line, multibyte text, blank lines, null and repeated ids, equal rows, a long text."""
+    rng = random.Random(31)
+    bits = ["\n", "\n\n", " ", "é", "漢字", "🙂", "word", " of", "\t", "x\ny", "  \n", "1234", "don't", "—"]
+    text = lambda n: "".join(rng.choice(bits) for _ in range(n))
+    rows = [(None if k % 7 == 3 else k // 2, text(rng.randrange(60)), text(rng.randrange(5)) if k % 5 else None) for k in range(40)]
+    rows += [rows[0], (90, text(40_000), "\n"), (91, None, None), (92, "\n\n\n", ""), (93, "", "a\n")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, title string, field string, section int")
+    model = token_counts.byte_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    want, crossings = [], 0
+    for key, *fields in ((r[0], r[2], r[1]) for r in rows):
+        sections, of = [], []  # of: the section of each byte
+        for i, value in enumerate(fields):
+            lines = re.findall(r"[^\n]*\n|[^\n]+", value or "") or [""]
+            for k, line in enumerate(lines):
+                own = line + "|\n" * (k == len(lines) - 1 and i == 0)
+                of += [len(sections)] * len(own.encode())
+                sections.append((("title", "text")[i], k, own))
+        counts, touched, at = [0] * len(sections), [0] * len(sections), 0
+        tokens = model.encoding.encode_ordinary("".join(own for *_, own in sections))
+        for t in tokens:
+            n = len(model.encoding.decode_single_token_bytes(t))
+            held = Counter(of[at : at + n])
+            at += n
+            order = sorted(held)
+            counts[{"majority": min(order, key=lambda x: (-held[x], x)), "first": order[0], "last": order[-1]}[rule]] += 1
+            if len(held) > 1:
+                crossings += 1
+                for x in held:
+                    touched[x] += 1
+        start = 0
+        for (name, k, own), c, x in zip(sections, counts, touched):
+            want.append((key, name, k, start, start + len(own), c, x, len(tokens)))
+            start += len(own)
+    got = token_counts.section_token_counts(df.repartition(3), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ("title", "text"), "|\n", rule)
+    assert crossings > 100 and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 # ---- 5: packing
 
 @given(st.lists(st.integers(1, 60), max_size=300))
@@ -761,6 +800,25 @@ def test_many_rows_without_an_id(spark):
 
 # ---- registered queries
 
+_L, _S, _I, _B = "bigint", "string", "int", "boolean"
+#: Columns that a query has at least, with their types.
+CONTRACT = {
+    "op1": {"doc_id": _L, "n_bytes": _L, "payload_bytes": _L, "payload_sha256": _S, "tail_crc32": _L, "media_bytes": _L, "media_sha256": _S, "feature": _S},
+    "op2": {"doc_id": _L, "n_tokens": _L, "ids_sha256": _S, "decoded_sha256": _S},
+    "op3": {"doc_id": _L, "size": _L, "text_crc32": _L, "law": _S, "shard": _I, "slot": _L, "grown_shard": _I},
+    "op4": {"doc_id": _L, "n_tokens": _L},
+    "op5": {"doc_id": _L, "piece": _I, "start": _L, "length": _L, "ids_crc32": _L, "sequence_id": _L, "offset": _L},
+    "op6": {"doc_id": _L, "n_assign": _L, "n_access": _L, "n_hex": _L, "base_sha256": _S, "spans": _S},
+    "op7": {"doc_id": _L, "n_words": _L, "word_chars": _L, "n_symbols": _L, "n_dup_lines": _L, "n_repeat_words": _L, "base_failed": _B, "kept": _B},
+    "op8": {"doc_id": _L, "held_out": _B, "lang_pred": _S, "score": "double"},
+    "op9": {"doc_id": _L, "n_shingles": _L, "component_id": _L},
+    "op10": {"doc_id": _L, "n_words": _L, "n_removed": _L, "kept_sha256": _S},
+    "op11": {"doc_id": _L, "n": _L, "form": _S, "prefix_chars": _L, "middle_chars": _L, "output_sha256": _S, "restored_sha256": _S},
+    "op12": {"doc_id": _L, "fingerprint": _S, "component_id": _L},
+    "op13": {"anchor_id": _L, "positive_id": _L, "rank": _I, "negative_id": _L, "positive_score": _L, "negative_score": _L},
+}
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", queries.SQL)
 def test_query_equals_sql(spark, name):
@@ -770,7 +828,7 @@ def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
-    assert sorted(columns) == sorted(df.columns)
+    assert sorted(columns) == sorted(df.columns) and CONTRACT[name.split("_")[0]].items() <= dict(df.dtypes).items()
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(want.fetchall())
 
 
@@ -778,6 +836,7 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
 def test_query_covers_its_table(spark, name):
     df = queries.QUERIES[name](spark, DATA)
+    assert CONTRACT[name.split("_")[0]].items() <= dict(df.dtypes).items()
     ids = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in df.select("doc_id").collect()} == ids
 
