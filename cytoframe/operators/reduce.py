@@ -26,13 +26,26 @@ def summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("row").applyInPandas(add, "row int, values array<double>")
 
 
+def _rows(sums: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Few rows of :func:`summed`, on the driver."""
+    table = sums.toArrow()
+    for row, values in zip(table["row"].to_pylist(), table["values"]):
+        yield row, values.values.to_numpy()
+
+
+#: Rows of a Gram matrix that are one row of a table.
+_ROWS = 64
+
+
 def gram(layer: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of outer products and of rows over all cells, for a bounded list of genes; one partial matrix per task."""
     if len(genes) > MAX_GENES:
         raise ValueError(f"select at most {MAX_GENES} genes first")
-    known = np.array(sorted(genes), np.int64)
-    place = np.argsort(np.argsort(genes)) if len(genes) else np.zeros(0, np.int64)  # of each gene among the sorted ones
     n = len(genes)
+    if not n:
+        return np.zeros((0, 0)), np.zeros(0)
+    known = np.array(sorted(genes), np.int64)
+    place = np.argsort(np.argsort(genes))  # of each gene among the sorted ones
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, sums = np.zeros((n, n)), np.zeros(n)
@@ -44,14 +57,15 @@ def gram(layer: DataFrame, genes: list[int]) -> tuple[np.ndarray, np.ndarray]:
             dense[np.repeat(np.arange(len(pdf)), sizes), np.searchsorted(known, np.concatenate(pdf["genes"].to_list()))] = np.concatenate(pdf["values"].to_list())
             total += dense.T @ dense
             sums += dense.sum(0)
-        yield pd.DataFrame({"row": range(n + 1), "values": [*total, sums]})
+        both = np.concatenate([total, sums[None, :]])
+        yield pd.DataFrame({"row": range(0, n + 1, _ROWS), "values": [both[lo : lo + _ROWS].ravel() for lo in range(0, n + 1, _ROWS)]})
 
     chosen = layer.where(F.col("gene_id").isin(genes)).groupBy("cell_id").agg(F.collect_list("gene_id").alias("genes"), F.collect_list("v").alias("values"))
-    # As many partial matrices as cores; their rows are added on the executors, and n + 1 rows reach the driver.
+    # As many partial matrices as cores; blocks of their rows are added on the executors, and one matrix reaches the driver.
     parts = chosen.select("genes", "values").coalesce(max(1, layer.sparkSession.sparkContext.defaultParallelism)).mapInPandas(partial, "row int, values array<double>")
     out = np.zeros((n + 1, n))
-    for r in summed(parts).toLocalIterator():
-        out[r["row"]] = r["values"]
+    for row, values in _rows(summed(parts)):
+        out[row : row + _ROWS] = values.reshape(-1, n)
     return out[:n][np.ix_(place, place)], out[n][place]
 
 
@@ -106,8 +120,8 @@ def _times(layer: DataFrame, known: np.ndarray, block: np.ndarray) -> np.ndarray
 
     parts = layer.coalesce(max(1, layer.sparkSession.sparkContext.defaultParallelism)).mapInArrow(partial, "row int, values array<double>")
     out = np.zeros((n, r))
-    for row in summed(parts).toLocalIterator():
-        out[row["row"] * _GENES : (row["row"] + 1) * _GENES] = np.reshape(row["values"], (-1, r))
+    for row, values in _rows(summed(parts)):
+        out[row * _GENES : (row + 1) * _GENES] = values.reshape(-1, r)
     return out
 
 

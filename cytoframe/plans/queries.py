@@ -279,6 +279,14 @@ def d3_explained_variance(spark, d):
     return _rounded(reduce.explained_variance(*_variable(spark, d), _cells(spark, d).count(), 10))
 
 
+@query(_HVG + f" SELECT count(*) AS genes, round(sum(variance), 4) AS variance FROM hvg WHERE rank <= {_N_GENES}")
+def d3_trace(spark, d):
+    """The variances of all components add up to those of the genes."""
+    layer, genes = _variable(spark, d)
+    found = reduce.explained_variance(layer, genes, _cells(spark, d).count(), len(genes))
+    return found.agg(F.count(F.lit(1)).alias("genes"), F.round(F.sum("variance"), 4).alias("variance"))
+
+
 @query(_KNN + " SELECT * FROM near")
 def d4_knn(spark, d):
     return reduce.knn(_emb(spark, d), 5)
@@ -560,6 +568,17 @@ def o4_elbow(spark, d):
     return _rounded(outputs.elbow(reduce.explained_variance(*_variable(spark, d), _cells(spark, d).count(), 10)))
 
 
+@query()
+def o5_embedding_components(spark, d):
+    """The first two components of the embeddings themselves, with the labels."""
+    entries = stored(_emb(spark, d).select("cell_id", F.posexplode("vec").alias("at", "v")).select("cell_id", F.col("at").cast("long").alias("gene_id"), "v"), "entries")
+    dims = sorted(r["gene_id"] for r in entries.select("gene_id").distinct().collect())  # dimensions of a vector
+    cells = _emb(spark, d).select("cell_id")
+    loadings, _, mean = reduce.pca(entries, dims, cells.count(), 2)
+    scores = reduce.project(entries, reduce.loadings_table(entries, dims, loadings, mean), cells)
+    return _rounded(outputs.embedding_scatter(reduce.layout_2d(scores), _labels(spark, d)))
+
+
 @query(_EMB + " SELECT cell_id, round(vec[1], 6) AS x, round(vec[2], 6) AS y, label AS cluster FROM emb")
 def o5_embedding_scatter(spark, d):
     layout = _emb(spark, d).select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
