@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import stored
 from .running import running_counts
 
 
@@ -19,7 +20,8 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[float], by: str | Non
     """
     keys = ["by_"] if by else []
     values = df.select(*([F.col(by).alias("by_")] if by else []), F.col(column).cast("double").alias("x_")).where("x_ is not null")
-    counts = values.groupBy(*keys, "x_").agg(F.count(F.lit(1)).alias("n_"))
+    # Stored, as several passes follow, and those of a plan over this one's result would multiply.
+    counts = stored(values.groupBy(*keys, "x_").agg(F.count(F.lit(1)).alias("n_")), "values")
     bounds = counts.groupBy(*keys).agg(F.sum("n_").alias("all_"))
     placed = running_counts(counts, keys, "x_", "n_", split=split).withColumn("upto_", F.col("before") + F.col("n_"))
     # One row for each group, or one row.
