@@ -241,7 +241,8 @@ def identify(df: DataFrame, sample: Sample = Sample(), training: Training = Trai
     the text's bytes) and, with ``spans``, the labels of all positions as byte spans. Null
     texts and texts without a letter, or all rows if there is nothing to learn from, are
     ``und`` with score 0. Null labels are not learned. One row out for each row in;
-    other columns are not read.
+    rows with null or repeated keys are rows of their own (one without a key is held out), texts of
+    any length are read whole, other columns are not read, and an empty table gives no rows.
     """
     windows = labelled_windows(df, sample, text, label, key)
     net = train([w.encode() for _, w in windows], [v for v, _ in windows], training, sample.width) if windows else None

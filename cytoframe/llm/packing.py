@@ -176,7 +176,9 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     """Each row's ids, ``end_id`` after them, in pieces of ``capacity`` tokens, the last one shorter.
 
     Returns doc_id, piece (from 0), start, length, ids_crc32 and, if asked for, ids. Null and
-    empty texts make one piece of the end id alone. Other columns are not read.
+    empty texts make one piece of the end id alone. Rows with null or repeated keys are rows of
+    their own, a text of any length is cut into as many pieces as it needs, other columns are not read, and
+    an empty table gives no rows.
     """
     out = _PIECES + ", ids array<int>" * with_ids
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_pieces(it, tokenizer, capacity, end_id, with_ids)), out)

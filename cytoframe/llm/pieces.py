@@ -216,8 +216,9 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", key: str = "doc
 
     Returns doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256
     and, if asked for, ids and decoded. Null and empty texts have no ids and decode to the
-    empty text. One row out for each row in; other columns are not read. ``model`` is a
-    path that every executor can open.
+    empty text. One row out for each row in, null and repeated keys and equal rows too; texts of any
+    length are taken whole, other columns are not read, and an empty table gives no rows. ``model``
+    is a path that every executor can open.
     """
     out = _OUT + ", ids array<int>, decoded string" * with_ids
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_encode(it, model, with_ids)), out)

@@ -120,7 +120,8 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", key: str =
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_lost_words, n_lost_lines, clean_text (an untouched text comes
     back unchanged). Null and empty texts: no words, so base_failed. One row out for
-    each row in, null and repeated keys too; other columns are not read. Nothing is shuffled.
+    each row in, null and repeated keys too; texts of any length are judged whole, other columns
+    are not read, and an empty table gives no rows. Nothing is shuffled.
     """
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda it: lean(_judge(it, rules)), _OUT)
 

@@ -242,6 +242,25 @@ def test_section_counts(spark, docs, texts):
     assert token_counts.section_token_counts(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_rows_with_null_and_repeated_ids_are_rows_of_their_own(spark):
+    """op2 and op5: equal rows, ids null or repeated with other texts, clashing columns, a long text."""
+    long = prose(random.Random(8), 12_000)
+    rows = [(None, "one two"), (None, "three"), (4, "one two"), (4, "one two"), (4, "four"), (5, long), (None, None)]
+    df = spark.createDataFrame([(*r, 1, "x", [2], 3) for r in rows], "doc_id long, text string, n_tokens int, piece string, ids array<int>, length int").repartition(2)
+    by_text = {t: r for t in {t for _, t in rows} for r in pieces.encode_pieces(spark.createDataFrame([(1, t)], "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()}
+    got = pieces.encode_pieces(df, P.path("piece_bpe_32k.model")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((k, *tuple(by_text[t])[1:])) for k, t in rows)
+    cut = packing.token_pieces(df, P.path("word_bpe_49k.json"))
+    placed = packing.pack(cut).collect()
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in placed) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in cut.collect())
+    assert sum(r.doc_id == 5 for r in placed) > 3 and sum(r.doc_id == 4 for r in placed) == 3
+    ends = {}
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= packing.CAPACITY
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_counts_equal_a_count_byte_by_byte(spark, rule):
     """Several fields, sections by line, multibyte text, blank lines, null and repeated ids, equal rows, a long text."""
@@ -858,6 +877,17 @@ def test_one_row_of_each_group_stays(spark):
     assert len(got) == 8 and sorted(t or "" for _, t in got)[:3] == ["", "", ""]
 
 
+def test_stages_take_an_empty_table_and_columns_of_any_name(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    none = empty(spark)
+    more = none.selectExpr("*", "1 AS key", "'x' AS names", "2 AS class", "3 AS kept", "4 AS piece")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.count() == 0
+        if name != "packing":
+            assert out.dtypes == none.dtypes and stage(spark, more, "").columns == more.columns
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
