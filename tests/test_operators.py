@@ -313,7 +313,7 @@ def test_kmeans_finds_blobs_from_any_seed(three):
     emb, _, _ = three
     seen = {}
     for seed in range(10):
-        for n in (1, 4, 9) if not seed else (4,):
+        for n in (1, 9) if not seed else (4,):
             labels = sorted(map(tuple, cluster.kmeans(emb.repartition(n), 3, seed=seed).collect()))
             assert rand_index(labels) >= 0.95
             assert seen.setdefault(seed, labels) == labels
@@ -322,7 +322,7 @@ def test_kmeans_finds_blobs_from_any_seed(three):
 def test_mixtures_and_bisection_find_blobs(three):
     emb, _, _ = three
     for seed, parts in ((1, (1, 5)), (2, (2,)), (3, (2,))):
-        found = [sorted(map(tuple, cluster.gmm(emb.repartition(n), 3, seed=seed).collect())) for n in parts]
+        found = [sorted(map(tuple, cluster.gmm(emb.repartition(n), 3, seed=seed, iterations=5).collect())) for n in parts]
         assert found[0] == found[-1] and rand_index(found[0]) >= 0.95
     one, many = (sorted(map(tuple, cluster.bisecting_kmeans(emb.repartition(n), 3).collect())) for n in (1, 5))
     assert one == many and rand_index(one) >= 0.95
@@ -332,7 +332,6 @@ def test_power_iteration_finds_components(three):
     graph = three[2]
     one, many = (sorted(map(tuple, cluster.pic(graph.repartition(n), 3).collect())) for n in (1, 5))
     assert one == many and rand_index(one) >= 0.95
-    assert rand_index(list(map(tuple, cluster.pic(graph, 3, seed=7).collect()))) >= 0.95
 
 
 def test_seeds_of_few_vectors(spark):
@@ -373,14 +372,14 @@ def test_leiden_communities_are_connected(spark):
     # A ring of bridges: nodes between two triangles, which moves easily tear apart.
     ring = [(3 * k + a, 3 * k + b, 1.0) for k in range(12) for a, b in ((0, 1), (1, 2), (0, 2))] + [(3 * k + 2, 3 * k + 3, 1.5) for k in range(11)]
     for graph in (planted, spark.createDataFrame(ring, "i long, j long, w double")):
-        found = stored(cluster.leiden(graph.repartition(3)), "leiden")
+        found = stored(cluster.leiden(graph.repartition(3), levels=3, rounds=4), "leiden")
         of, n = pieces(graph, found)
         assert set(n.values()) == {1} and all(label == min(v for v in of if of[v] == label) for label in n)
-        mine, theirs = (cluster.modularity(graph, x).first()[0] for x in (found, cluster.louvain(graph)))
+        mine, theirs = (cluster.modularity(graph, x).first()[0] for x in (found, cluster.louvain(graph, levels=3, rounds=4)))
         assert mine >= theirs - 1e-9
         if graph is planted:
             assert rand_index(list(of.items()), lambda i: i // 20) >= 0.95
-            assert sorted(of.items()) == sorted(map(tuple, cluster.leiden(graph.repartition(7)).collect()))
+            assert sorted(of.items()) == sorted(map(tuple, cluster.leiden(graph.repartition(7), levels=3, rounds=4).collect()))
     assert cluster.leiden(planted.limit(0)).count() == 0
 
 
