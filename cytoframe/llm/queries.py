@@ -57,9 +57,10 @@ def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import judge
+    from .quality import judge, learned_lines
 
-    return judge(_documents(spark, sf_dir)).drop("clean_text")
+    docs = _documents(spark, sf_dir)
+    return judge(docs, learned=learned_lines(docs)).drop("clean_text")
 
 
 def op8_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -573,6 +573,66 @@ def test_kept_by_the_share_of_lost_words(spark):
     assert sorted((r.doc_id, r.kept) for r in got if r.doc_id in (2, 3)) == [(2, False), (3, False), (3, True)]
 
 
+def frequent_by_hand(texts, least, share, top):
+    """Lines with their (documents, bodies, most), counted in plain Python."""
+    beside, pairs = {}, 0
+    for t in texts:
+        lines = {x.strip(quality.SPACES) for x in (t or "").split("\n")} - {""}
+        pairs += len(lines)
+        body = max(lines, key=lambda x: (len(x), quality._line_hash(x)), default=None)
+        for x in lines:
+            beside.setdefault(x, Counter())[body] += 1
+    enough = max(least, share * len(texts), pairs / quality.MAX_LEARNED)
+    found = {x: (c.total(), len(c), max(c.values())) for x, c in beside.items()}
+    return {x: v for x, v in found.items() if v[1] >= enough and v[2] <= top * v[0]}
+
+
+@pytest.mark.parametrize("share", [0.001, 0.2])
+def test_frequent_lines(spark, share):
+    """A header and a footer of a language without phrases are learned; lines of copies, of near copies and of a body are not."""
+    rng = random.Random(11)
+    header, footer, motto = "Tutti i diritti riservati a chi scrive", "Informativa sui dati", "Buona giornata."
+    body = lambda n=30: prose(rng, n) + "."
+    texts = ["\n".join([header, body(), body(9), f" {footer}\t"]) for _ in range(60)]
+    texts += [f"{body()}\n{motto}\n{footer}\n\n{footer}" for _ in range(25)]
+    copied = [body(25 - i) for i in range(4)]
+    texts += ["\n".join(copied)] * 80 + ["\n".join([*copied, f"{i} own words here."]) for i in range(40)]
+    texts += [body(40)] * 90 + [None, None, "", " \n\t", footer, "\n".join(f"Line {i} of many." for i in range(30_000))]
+    rng.shuffle(texts)
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]  # ids of a row are not looked at
+    df = spark.createDataFrame(list(zip(ids, texts, ids)), "doc_id long, text string, line_hash long").repartition(3)
+    got = {r.line_hash: (r.documents, r.bodies, r.most) for r in quality.frequent_lines(df, share=share).collect()}
+    want = frequent_by_hand(texts, 20, share, 0.1)
+    assert got == {quality._line_hash(x): v for x, v in want.items()}
+    assert set(want) == ({header, footer, motto} if share < 0.1 else {footer})
+    assert quality.learned_lines(df, share=share) == frozenset(got)
+    low = quality.learned_lines(empty(spark))
+    assert low == frozenset()
+
+
+def test_learned_lines_fail(spark):
+    """Rows lose learned lines as they lose those with a phrase, and go when half their words are lost; other texts stay as they are."""
+    rng = random.Random(12)
+    footer = "Kaikki oikeudet pidätetään tällä sivulla ja muualla"
+    rich = [f"{prose(rng, 40)}.\n {footer}" for _ in range(40)]
+    poor = [f"{prose(rng, 16)}.\n" + "\n".join([footer + " " * i for i in range(4)]) for _ in range(3)]
+    plain = [f"{prose(rng, 30)}." for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(rich + poor + plain + [None])), "doc_id long, text string")
+    learned = quality.learned_lines(df)
+    assert learned == {quality._line_hash(footer)}
+    before = {r.doc_id: r for r in quality.judge(df).collect()}
+    after = {r.doc_id: r for r in quality.judge(df, learned=learned).collect()}
+    n = len(footer.split())
+    for i in range(43):
+        copies = 1 if i < 40 else 4
+        assert before[i].n_lost_lines == 0 and (after[i].n_lost_lines, after[i].n_lost_words) == (copies, copies * n)
+        assert after[i].clean_text == before[i].clean_text.split("\n")[0]
+        assert after[i].base_failed == before[i].base_failed and after[i].kept == (not before[i].base_failed and i < 40)
+    assert all(after[i] == before[i] for i in range(43, 64))
+    cleaned = {r.doc_id: r.text for r in quality.clean_documents(df, learned=learned).collect()}
+    assert cleaned == {i: r.clean_text for i, r in after.items() if r.kept}
+
+
 # ---- 8: language
 
 def test_gradients():
