@@ -348,3 +348,73 @@ def snn(neighbors: DataFrame) -> DataFrame:
 def layout_2d(scores: DataFrame) -> DataFrame:
     """(cell_id, x, y) from the first two components."""
     return scores.where("pc < 2").groupBy("cell_id").agg(F.max(F.when(F.col("pc") == 0, F.col("score"))).alias("x"), F.max(F.when(F.col("pc") == 1, F.col("score"))).alias("y"))
+
+
+#: Forces and weights are added as whole numbers of this fraction, so that their sums don't depend on the order.
+_UNIT = float(2**32)
+#: Cells of a group that repel each other in a round, and about as many of a task.
+_CROWD, _CROWDED = 64, 8_192
+
+
+def fuzzy_graph(neighbors: DataFrame) -> DataFrame:
+    """(i, j, share): each pair of listed neighbours in both directions, as a share of the weight around ``i``.
+
+    A list's nearest has weight 1 and the others less by their excess over it, measured by the list's mean excess; a pair
+    that both cells list with a and b has a + b - ab. A list of ties has weight 1 throughout.
+    """
+    lists = neighbors.groupBy("cell_id").agg(F.max("similarity").alias("nearest"), F.avg((-F.col("similarity")).cast("decimal(28, 6)")).cast("double").alias("mean"))
+    excess, usual = F.col("nearest") - F.col("similarity"), F.col("nearest") + F.col("mean")
+    listed = neighbors.join(lists, "cell_id").select(F.col("cell_id").alias("i"), F.col("neighbor").alias("j"), F.when(usual > 1e-6, F.exp(-excess / usual)).otherwise(1.0).alias("a"))
+    both = listed.select("i", "j", "a", F.lit(0.0).alias("b")).union(listed.select("j", "i", F.lit(0.0), "a"))
+    pairs = both.groupBy("i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b")).select("i", "j", F.round((F.col("a") + F.col("b") - F.col("a") * F.col("b")) * _UNIT).cast("long").alias("w"))
+    total = pairs.groupBy("i").agg(F.sum("w").alias("total"))
+    return pairs.join(total, "i").where("w > 0").select("i", "j", (F.col("w") / F.col("total")).alias("share"))
+
+
+def _pushed(table: pa.Table) -> pa.Table:
+    """The mean push on each cell from the others of its group, between points as one over their distance's square and that plus one."""
+    crowd, cell, x, y = (table.column(c).to_numpy() for c in ("crowd", "cell_id", "x", "y"))
+    order = np.lexsort((cell, crowd))
+    crowd, cell, at = crowd[order], cell[order], np.stack([x[order], y[order]], 1)
+    push = np.zeros_like(at)
+    bounds = [*np.flatnonzero(np.concatenate([[True], crowd[1:] != crowd[:-1]])).tolist(), len(crowd)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        if hi - lo > 1:
+            apart = at[lo:hi, None] - at[None, lo:hi]
+            square = (apart * apart).sum(2, keepdims=True)
+            push[lo:hi] = np.clip(apart / ((square + 0.001) * (square + 1)), -4, 4).sum(1) / (hi - lo - 1)
+    return pa.table({"cell_id": cell, "px": push[:, 0], "py": push[:, 1]})
+
+
+def layout_neighbors(neighbors: DataFrame, start: DataFrame, rounds: int = 30, push: float = 2.0, early: float = 0.3) -> DataFrame:
+    """(cell_id, x, y): cells laid out near their neighbours and away from others, from ``start`` (cell_id, x, y) on.
+
+    In a round every cell is drawn to its neighbours in :func:`fuzzy_graph` and pushed by the cells of a group of about
+    64 that a hash of cell and round deals anew, a sample of all; draws are weighted means and pushes count ``push`` times
+    their mean. In the first part, ``early``, far neighbours draw in full, so that clusters find together from any start; later
+    they draw less the farther they are. Steps shrink to nothing over ``rounds``. The work of a round is in proportion to the edges, no task holds more than
+    some thousand cells, and the driver only the width of ``start``. Sums are of whole numbers and groups in order, so
+    the layout is the same under any partitioning. Every cell of ``start`` has a row; one without neighbours is only pushed. An empty
+    table gives no rows.
+    """
+    widest = start.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("width")).first()
+    n, width = widest["n"], widest["width"] or 1.0
+    edges = stored(fuzzy_graph(neighbors), "fuzzy-graph")
+    crowds, tasks = max(1, n // _CROWD), max(1, -(-n // _CROWDED))
+    # Scaled to ten wide; cells at one point are set apart by hash.
+    jitter = lambda salt: (F.pmod(F.xxhash64("cell_id", F.lit(salt)), F.lit(2_000)) - 1_000) / 1e6
+    places = stored(start.select("cell_id", (F.col("x") * (10 / width) + jitter(1)).alias("x"), (F.col("y") * (10 / width) + jitter(2)).alias("y")), "places")
+    for turn in range(rounds):
+        near = places.select(F.col("cell_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
+        ends = edges.join(near, "j").join(places.withColumnRenamed("cell_id", "i"), "i")
+        dx, dy = F.col("xj") - F.col("x"), F.col("yj") - F.col("y")
+        damping = F.lit(1.0) if turn < early * rounds else 1 + dx * dx + dy * dy
+        drawn = [F.sum(F.round(F.col("share") * d / damping * _UNIT).cast("long")).alias(name) for d, name in ((dx, "fx"), (dy, "fy"))]
+        pulls = ends.groupBy(F.col("i").alias("cell_id")).agg(*drawn)
+        crowd = F.pmod(F.xxhash64("cell_id", F.lit(turn)), F.lit(crowds))
+        dealt = places.withColumn("crowd", crowd).withColumn("task", F.pmod("crowd", F.lit(tasks)))
+        pushes = dealt.groupBy("task").applyInArrow(_pushed, "cell_id long, px double, py double")
+        step = 1 - turn / rounds
+        moved = lambda c: (F.col(c) + step * (F.coalesce(F.col(f"f{c}"), F.lit(0)) / _UNIT + push * F.col(f"p{c}"))).alias(c)
+        places = stored(places.join(pulls, "cell_id", "left").join(pushes, "cell_id").select("cell_id", moved("x"), moved("y")), "places")
+    return places

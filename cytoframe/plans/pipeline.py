@@ -27,6 +27,8 @@ class Params:
     #: ``leiden`` or ``louvain``.
     communities: str = "leiden"
     resolution: float = 1.0
+    #: ``components`` (the first two), or ``neighbors`` for a layout that draws neighbours together.
+    layout: str = "components"
     top_markers: int = 20
 
 
@@ -94,6 +96,12 @@ class Pipeline:
         found = divide(graph, params.resolution).select(F.col("node").alias("cell_id"), "label")
         labels = step("clusters", near, cluster.relabel_by_size(found), "resolution", "communities")
 
+        if params.layout not in ("components", "neighbors"):
+            raise ValueError(f"unknown layout {params.layout}")
+        layout = reduce.layout_2d(scores)
+        if params.layout == "neighbors":
+            layout = step("layout", near, reduce.layout_neighbors(near, layout), "layout")
+
         groups = labels.select("cell_id", F.col("label").cast("string").alias("grp"))
         tests = step("tests", layer, de.bh_adjust(de.wilcoxon(layer, groups)))
         top = de.markers(tests, params.top_markers)
@@ -102,7 +110,7 @@ class Pipeline:
         out.tables = {
             "metrics": metrics, "counts": kept, "layer": layer, "variable_genes": variable, "loadings": table, "scores": scores, "neighbors": near, "clusters": labels, "tests": tests, "markers": top,
             "chart_violin": outputs.violin_data(metrics, "total", self.batch), "chart_hist": outputs.hist_data(metrics, "total", self.batch, 100), "chart_mean_variance": outputs.mean_variance(moments, variable),
-            "chart_elbow": outputs.elbow(spread), "chart_embedding": outputs.embedding_scatter(reduce.layout_2d(scores), labels), "chart_dotplot": outputs.dotplot(means, top), "chart_heatmap": outputs.heatmap(means, top),
+            "chart_elbow": outputs.elbow(spread), "chart_embedding": outputs.embedding_scatter(layout, labels), "chart_dotplot": outputs.dotplot(means, top), "chart_heatmap": outputs.heatmap(means, top),
             "chart_volcano": outputs.volcano(tests, de.log_fc(layer, groups)), "chart_composition": outputs.composition(labels, kept_cells, self.batch),
         }
         rows = steps[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cuts import shared_path, stored
@@ -325,6 +325,30 @@ def d7_layout_2d(spark, d):
     return _rounded(reduce.layout_2d(reduce.project(_layer(spark, d), _fixed_loadings(spark, d), _cells(spark, d))), 5)
 
 
+def _laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The fifteen nearest of each embedding, and a layout of them from the vectors' first two dimensions on."""
+    near = stored(reduce.knn_descent(_emb(spark, d), 15), "near")
+    start = _emb(spark, d).select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    return near, reduce.layout_neighbors(near, start)
+
+
+@query()
+def d7_layout_neighbors(spark, d):
+    return _rounded(_laid_out(spark, d)[1])
+
+
+@query("SELECT count(*) AS cells, TRUE AS nearer FROM embeddings")
+def d7_layout_pull(spark, d):
+    """Laid out cells, and whether neighbours lie at most two thirds as far apart as cells that a hash pairs, in the mean."""
+    near, laid = _laid_out(spark, d)
+    crowd = F.pmod(F.xxhash64("cell_id", F.lit(7)), F.lit(max(1, laid.count() // 64)))
+    far = F.lead(F.struct("x", "y")).over(Window.partitionBy(crowd).orderBy(F.xxhash64("cell_id")))
+    apart = lambda x, y: F.avg(F.hypot(F.col("x") - F.col(x), F.col("y") - F.col(y)))
+    paired = laid.withColumn("far", far).agg(F.count(F.lit(1)).alias("cells"), apart("far.x", "far.y").alias("apart"))
+    ends = near.join(laid, "cell_id").join(laid.select(F.col("cell_id").alias("neighbor"), F.col("x").alias("xj"), F.col("y").alias("yj")), "neighbor")
+    return paired.crossJoin(ends.agg(apart("xj", "yj").alias("near"))).select("cells", (3 * F.col("near") <= 2 * F.col("apart")).alias("nearer"))  # a row each
+
+
 # ---- clustering
 
 @query()

@@ -399,6 +399,56 @@ def test_neighbour_descent(spark):
     assert few.count() == 6 and reduce.knn_descent(emb.limit(0), 5).count() == 0
 
 
+def trustworthiness(points, laid, k):
+    """1 for a layout whose ``k`` nearest are among the ``k`` nearest of the points."""
+    far, near = (((p[:, None] - p[None]) ** 2).sum(2) for p in (points, laid))
+    np.fill_diagonal(far, -1)
+    np.fill_diagonal(near, np.inf)
+    n, rank = len(points), far.argsort(1).argsort(1)
+    excess = np.maximum(0, np.take_along_axis(rank, near.argsort(1)[:, :k], 1) - k).sum()
+    return 1 - 2 * excess / (n * k * (2 * n - 3 * k - 1))
+
+
+def test_fuzzy_graph(spark):
+    rows = [(1, 2, -1.0), (1, 3, -2.0), (1, 4, -4.0), (2, 1, -1.0), (3, 1, -2.0), (3, 2, -2.0), (4, 1, -4.0)]
+    got = {(r.i, r.j): r.share for r in reduce.fuzzy_graph(spark.createDataFrame(rows, "cell_id long, neighbor long, similarity double").repartition(3)).collect()}
+    lists, one = {}, {}
+    for i, j, s in rows:
+        lists.setdefault(i, []).append((j, s))
+    for i, own in lists.items():
+        nearest, usual = max(s for _, s in own), np.mean([max(s for _, s in own) - s for _, s in own])
+        one |= {(i, j): np.exp(-(nearest - s) / usual) if usual else 1.0 for j, s in own}
+    weight = {(a, b): one.get((a, b), 0) + one.get((b, a), 0) - one.get((a, b), 0) * one.get((b, a), 0) for p in one for a, b in (p, p[::-1])}
+    for (i, j), w in weight.items():
+        assert got[i, j] == pytest.approx(w / sum(v for (a, _), v in weight.items() if a == i), abs=1e-6)
+    assert got.keys() == weight.keys()
+
+
+def test_layout_of_neighbours(spark):
+    """Four clusters are laid out apart from a start that knows nothing of them, and alike under any partitioning."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([c + rng.normal(0, 1, (40, 8)) for c in rng.normal(0, 4, (4, 8))])
+    emb = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "cell_id long, vec array<double>")
+    near = stored(reduce.knn(emb, 10, "euclidean"), "near")
+    blind = rng.normal(0, 1, (160, 2))
+    start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(blind)], "cell_id long, x double, y double")
+    rows = reduce.layout_neighbors(near, start).orderBy("cell_id").collect()
+    laid = np.array([(r.x, r.y) for r in rows])
+    assert [r.cell_id for r in rows] == list(range(160)) and np.isfinite(laid).all()
+    assert trustworthiness(points, blind, 10) < 0.6 and trustworthiness(points, laid, 10) >= 0.9
+    group = np.repeat(range(4), 40)
+    nearest = ((laid[:, None] - laid[None]) ** 2).sum(2).argsort(1)[:, 1:6]
+    assert (group[nearest] == group[:, None]).mean() >= 0.95
+    short = [sorted(map(tuple, reduce.layout_neighbors(near.repartition(p), start.repartition(p, "x"), rounds=3).collect())) for p in (1, 5)]
+    assert short[0] == short[1]
+    # Without neighbours, at one point, alone, none.
+    some = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0)], "cell_id long, x double, y double")
+    apart = reduce.layout_neighbors(near.limit(0), some, rounds=2).collect()
+    assert len({(r.x, r.y) for r in apart}) == 3
+    assert reduce.layout_neighbors(near.limit(0), some.limit(1), rounds=2).count() == 1
+    assert reduce.layout_neighbors(near.limit(0), some.limit(0), rounds=2).count() == 0
+
+
 def test_subspace_pca_equals_gram(matrix, dense, monkeypatch):
     layer, genes = norm.log_norm(matrix[0]), [3, 0, 7, 1, 2, 10, 9, 8, 4, 5, 6]
     for scaled in (False, True):

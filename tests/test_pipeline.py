@@ -26,3 +26,8 @@ def test_planted_clusters_are_found_again(spark):
     again = Pipeline(spark).run(counts.repartition(7), cells.repartition(3), genes, params)
     prints = [sorted((r.step, r.output_fingerprint) for r in x["provenance"].collect()) for x in (first, again)]
     assert prints[0] == prints[1] and len(prints[0]) == 8
+    laid = Pipeline(spark).run(counts, cells, genes, Params(n_hvg=24, n_bins=1, n_pcs=3, n_neighbors=6, top_markers=4, layout="neighbors"))
+    steps = {r.step: r.output_fingerprint for r in laid["provenance"].collect()}
+    assert set(prints[0]) <= set(steps.items()) and steps.keys() - dict(prints[0]).keys() == {"layout"}
+    chart = laid["chart_embedding"].collect()
+    assert {r.cell_id for r in chart} == kept and [(r.x, r.y) for r in chart] != [(r.x, r.y) for r in first["chart_embedding"].collect()]
