@@ -337,16 +337,16 @@ def d7_layout_neighbors(spark, d):
     return _rounded(_laid_out(spark, d)[1])
 
 
-@query("SELECT count(*) AS cells, TRUE AS nearer FROM embeddings")
+@query()
 def d7_layout_pull(spark, d):
-    """Laid out cells, and whether neighbours lie at most two thirds as far apart as cells that a hash pairs, in the mean."""
+    """Laid out cells, and the mean distances between listed neighbours and between cells that a hash pairs."""
     near, laid = _laid_out(spark, d)
     crowd = F.pmod(F.xxhash64("cell_id", F.lit(7)), F.lit(max(1, laid.count() // 64)))
     far = F.lead(F.struct("x", "y")).over(Window.partitionBy(crowd).orderBy(F.xxhash64("cell_id")))
     apart = lambda x, y: F.avg(F.hypot(F.col("x") - F.col(x), F.col("y") - F.col(y)))
-    paired = laid.withColumn("far", far).agg(F.count(F.lit(1)).alias("cells"), apart("far.x", "far.y").alias("apart"))
+    paired = laid.withColumn("far", far).agg(F.count(F.lit(1)).alias("cells"), F.round(apart("far.x", "far.y"), 6).alias("apart"))
     ends = near.join(laid, "cell_id").join(laid.select(F.col("cell_id").alias("neighbor"), F.col("x").alias("xj"), F.col("y").alias("yj")), "neighbor")
-    return paired.crossJoin(ends.agg(apart("xj", "yj").alias("near"))).select("cells", (3 * F.col("near") <= 2 * F.col("apart")).alias("nearer"))  # a row each
+    return paired.crossJoin(ends.agg(F.round(apart("xj", "yj"), 6).alias("near"))).select("cells", "near", "apart")  # a row each
 
 
 # ---- clustering
