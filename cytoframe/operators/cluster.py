@@ -165,7 +165,7 @@ def label_propagation(graph: DataFrame, iterations: int = 5, digits: int = 9) ->
 
 def connected_components(graph: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, by least labels and pointer jumping."""
-    edges = _both_ways(graph).select("node", "other").distinct()
+    edges = stored(_both_ways(graph).select("node", "other").distinct(), "edges")  # every round reads them
     labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "step")
     while True:
         around = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
