@@ -153,7 +153,7 @@ def _both_ways(graph: DataFrame) -> DataFrame:
 
 def label_propagation(graph: DataFrame, iterations: int = 5, digits: int = 9) -> DataFrame:
     """(node, label): each round a node takes the label with most weight around it, the smallest among equals."""
-    edges = _both_ways(graph)
+    edges = stored(_both_ways(graph), "edges")  # every round reads them
     labels = edges.select("node").distinct().withColumn("label", F.col("node"))
     for _ in range(iterations):
         votes = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("w"), digits).alias("weight"))
