@@ -424,6 +424,7 @@ def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     """One row: sum over clusters of within / m - resolution * (degree / 2m) ** 2."""
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ij")
     tagged = graph.join(a, "i").join(b, "j")
+    graph = stored(graph, "graph")  # three passes follow
     degree = tagged.select(F.col("li").alias("label"), "w").union(tagged.select("lj", "w")).groupBy("label").agg(F.sum("w").alias("degree"))
     within = tagged.where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum("w").alias("within"))
     m = graph.agg(F.sum("w").alias("m"))  # one row
