@@ -148,7 +148,9 @@ def kmeans(emb: DataFrame, k: int, seed: int = 0, iterations: int = 20, start: l
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
-    return graph.select(F.col("i").alias("node"), F.col("j").alias("other"), "w").union(graph.select("j", "i", "w"))
+    """(node, other, w): each edge in both directions, the graph being computed once."""
+    ends = (F.struct(F.col(a).alias("node"), F.col(b).alias("other"), "w") for a, b in ("ij", "ji"))
+    return graph.select(F.explode(F.array(*ends)).alias("edge")).select("edge.*")
 
 
 def label_propagation(graph: DataFrame, iterations: int = 5, digits: int = 9) -> DataFrame:
@@ -422,9 +424,9 @@ def relabel_by_size(labels: DataFrame, node: str = "cell_id") -> DataFrame:
 
 def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: sum over clusters of within / m - resolution * (degree / 2m) ** 2."""
+    graph = stored(graph, "graph")  # three passes follow
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ij")
     tagged = graph.join(a, "i").join(b, "j")
-    graph = stored(graph, "graph")  # three passes follow
     degree = tagged.select(F.col("li").alias("label"), "w").union(tagged.select("lj", "w")).groupBy("label").agg(F.sum("w").alias("degree"))
     within = tagged.where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum("w").alias("within"))
     m = graph.agg(F.sum("w").alias("m"))  # one row
