@@ -32,7 +32,7 @@ def running_counts(counts: DataFrame, by: list[str], value: str, count: str, int
     one_in = F.greatest(F.lit(1), F.floor(F.col("values_") / RANGES))
     chosen = keyed.select("key_", F.col(value).alias("bound_")).join(large, "key_").where(F.pmod(F.xxhash64("key_", "bound_"), one_in) == 0)
     bounds = chosen.groupBy("key_").agg(F.sort_array(F.collect_list("bound_")).alias("bounds_"))
-    placed = keyed.join(bounds, "key_", "left").withColumn("range_", F.coalesce(_place(F.col("bounds_"), F.col(value)), F.lit(0))).drop("bounds_")
+    placed = keyed.join(bounds, "key_", "left").withColumn("range_", F.when(F.col("bounds_").isNull(), F.lit(0)).otherwise(_place(F.col("bounds_"), F.col(value)))).drop("bounds_")
     lower = Window.partitionBy("key_", "range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = placed.withColumn("within_", F.coalesce(F.sum(count).over(lower), F.lit(0)))
     # A row for each range.

@@ -84,7 +84,7 @@ def wilcoxon(layer: DataFrame, groups: DataFrame, digits: int = 6) -> DataFrame:
     """
     rows = layer.select("cell_id", "gene_id", F.round("v", digits).alias("v")).where("v <> 0").join(groups, "cell_id")
     by_group = stored(rows.groupBy("gene_id", "v", "grp").agg(F.count(F.lit(1)).alias("n")), "values")
-    by_value = by_group.groupBy("gene_id", "v").agg(F.sum("n").alias("tie"))
+    by_value = stored(by_group.groupBy("gene_id", "v").agg(F.sum("n").alias("tie")), "ties")  # ranks and totals take several passes
     ranked = running_counts(by_value, ["gene_id"], "v", "tie").select("gene_id", "v", (F.col("before") + (F.col("tie") + 1) / 2).alias("rank"))
     tie = F.col("tie").cast("double")
     per_gene = by_value.groupBy("gene_id").agg(F.sum("tie").alias("nnz"), F.sum(tie * tie * tie - tie).alias("ties"), F.sum(F.when(F.col("v") < 0, F.col("tie")).otherwise(0)).alias("negative"))

@@ -618,7 +618,7 @@ def o6_dotplot(spark, d):
 g AS (SELECT grp, gene_id, avg(v) AS mean_in FROM dense WHERE gene_id IN (SELECT gene_id FROM top) GROUP BY 1, 2), m AS (SELECT gene_id, avg(mean_in) AS m, stddev_samp(mean_in) AS sd FROM g GROUP BY 1)
 SELECT grp, gene_id, round(coalesce((mean_in - m) / nullif(sd, 0), 0), 5) + 0.0 AS z FROM g JOIN m USING (gene_id)""")
 def o7_heatmap(spark, d):
-    layer, groups = _layer(spark, d), _groups(spark, d)
+    layer, groups = stored(_layer(spark, d), "layer"), _groups(spark, d)  # tests and means read it
     return _rounded(outputs.heatmap(de.group_means(layer, groups), de.markers(de.wilcoxon(layer, groups), 10, digits=4)), 5)
 
 
@@ -628,7 +628,7 @@ pp AS (SELECT grp, gene_id, round({_LOG_P.format(z='z')}, 6) AS log_p FROM wx),
 qq AS (SELECT grp, gene_id, least(0, min(log_p + ln(m / rk::DOUBLE)) OVER (PARTITION BY grp ORDER BY log_p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS log_q FROM rr)
 SELECT grp, gene_id, round(log_fc, 5) + 0.0 AS log_fc, round(-log_q / ln(10), 3) + 0.0 AS neg_log10_q FROM qq JOIN fc USING (grp, gene_id)""")
 def o8_volcano(spark, d):
-    layer, groups = _layer(spark, d), _groups(spark, d)
+    layer, groups = stored(_layer(spark, d), "layer"), _groups(spark, d)  # tests and means read it
     tests = de.bh_adjust(de.wilcoxon(layer, groups).withColumn("log_p", F.round("log_p", 6)))
     return outputs.volcano(tests, de.log_fc(layer, groups)).select("grp", "gene_id", (F.round("log_fc", 5) + 0.0).alias("log_fc"), (F.round("neg_log10_q", 3) + 0.0).alias("neg_log10_q"))
 
