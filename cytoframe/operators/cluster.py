@@ -6,14 +6,15 @@ Graphs are edge lists (i, j, w) with i < j. Labels are (node or cell_id, label).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import stored
+from ..functions.cuts import forget, freeing_shuffles, stored
 from .reduce import summed
 
 
@@ -221,25 +222,181 @@ def _carried(member: DataFrame, state: DataFrame) -> DataFrame:
     return stored(member.join(state.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")), "step")
 
 
-def louvain(graph: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 8) -> DataFrame:
-    """(node, label) by Louvain with parallel moves, all distributed.
-
-    Nodes move (see :func:`_moved`); then communities become nodes of a smaller graph and it starts
-    again. A community is named after its least node.
+def _offers(edges: DataFrame, state: DataFrame, total: float, unit: float, resolution: float, draw: int) -> DataFrame:
+    """(node, k, label, to, gain, turn): ``state`` with the neighbouring community to which a node's move adds most to modularity, the gain over staying in mean edges, and a draw from (0, 1]; ``to`` is null where nothing gains."""
+    held = state.join(state.groupBy("label").agg(F.sum("k").alias("volume")), "label")
+    around = edges.join(held.select(F.col("node").alias("other"), "label", "volume"), "other").groupBy("node", "label").agg(F.sum("w").alias("links"), F.first("volume").alias("volume"))
+    own = held.select("node", "k", F.col("label").alias("own"), F.col("volume").alias("held"))
+    away = F.round((F.col("links") - resolution * F.col("k") * F.col("volume") / total) / unit, 9)
+    least = F.min(F.when(F.col("label") != F.col("own"), F.struct((-away).alias("loss"), "label"))).alias("best")
+    within = F.max(F.when(F.col("label") == F.col("own"), F.col("links"))).alias("within")
+    best = own.join(around, "node", "left").groupBy("node").agg(F.first("k").alias("k"), F.first("own").alias("label"), F.first("held").alias("held"), within, least)
+    stay = (F.coalesce("within", F.lit(0.0)) - resolution * F.col("k") * (F.col("held") - F.col("k")) / total) / unit
+    gain = best.select("node", "k", "label", "best", F.round(-F.col("best.loss") - stay, 9).alias("gain"))
+    turn = (F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    return gain.select("node", "k", "label", F.when(F.col("gain") > 0, F.col("best.label")).alias("to"), "gain", turn.alias("turn"))
+
+
+def _taken(edges: DataFrame, offers: DataFrame, total: float, unit: float, resolution: float) -> DataFrame:
+    """(node, k, label) after those moves of ``offers`` that raise modularity together.
+
+    Moves stand in the order of their draws. One that comes later loses the links to earlier ones that leave the community it
+    goes to or enter the one it leaves, and what all earlier ones of its source and of its target weigh; it is made if
+    its gain is larger. What is left out of that sum can only add to modularity, so no round lowers it. Weights are summed over halves,
+    quarters, eighths .. of the draws, not one by one: no community is gathered in a task.
     """
-    edges = stored(_both_ways(graph), "step")
-    total = edges.agg(F.sum("w")).first()[0] or 0.0  # 2m
-    member = stored(edges.select("node").distinct().withColumn("label", F.col("node")), "step")
-    if not total:
-        return member
-    for level in range(levels):
-        start = stored(edges.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")), "step")
-        state, moved_any = _moved(edges, start, total, resolution, rounds, level)
-        if not moved_any:
+    movers = offers.where(F.col("to").isNotNull()).select("node", "k", F.col("label").alias("own"), "to", "turn")
+    other = movers.select(F.col("node").alias("other"), F.col("own").alias("leaves"), F.col("to").alias("enters"), F.col("turn").alias("first"))
+    met = edges.join(movers.select("node", "own", "to", "turn"), "node").join(other, "other").where("first <= turn")
+    lost = met.select("node", F.col("w") / unit * ((F.col("leaves") == F.col("to")).cast("int") + (F.col("enters") == F.col("own")).cast("int")))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("own").alias("label")), F.struct(F.lit(1).alias("end"), F.col("to").alias("label")))).alias("at")
+    sides = movers.select("node", "k", F.floor(-F.log2("turn")).alias("half"), ends).select("node", "k", "half", "at.*")
+    earlier = Window.partitionBy("end", "label").orderBy(F.desc("half"))  # a row for each half, 53 at most
+    weights = sides.groupBy("end", "label", "half").agg(F.sum("k").alias("weight")).withColumn("weight", F.sum("weight").over(earlier))
+    crowd = sides.join(weights, ["end", "label", "half"]).select("node", resolution * F.col("k") * (F.col("weight") - F.col("k")) / total / unit)
+    less = lost.union(crowd).toDF("node", "less").select("node", *(F.lit(None).cast(offers.schema[c].dataType).alias(c) for c in ("k", "label", "to")), (-F.col("less")).alias("gain"))
+    held = (F.first(c, ignorenulls=True).alias(c) for c in ("k", "label", "to"))
+    worth = offers.select("node", "k", "label", "to", "gain").union(less).groupBy("node").agg(*held, F.round(F.sum("gain"), 9).alias("worth"))
+    return worth.select("node", "k", F.when(F.col("to").isNotNull() & (F.col("worth") > 0), F.col("to")).otherwise(F.col("label")).alias("label"))
+
+
+#: Edges that the driver holds at most, of a small graph or around the last nodes that move.
+_HELD = 262_144
+
+
+def _in_turn(edges: dict, k: dict, label: dict, volume: dict, total: float, unit: float, resolution: float) -> dict:
+    """The changed labels of the nodes of ``edges`` (node: [(other, w)]) once they have moved one after another until none of them gains; other nodes stay."""
+    before, moved = {node: label[node] for node in edges}, True
+    while moved:
+        moved = False
+        for node in sorted(edges):
+            own, links = label[node], {label[node]: 0.0}
+            for other, w in edges[node]:
+                if other != node:
+                    links[label[other]] = links.get(label[other], 0.0) + w
+            volume[own] -= k[node]
+            worth = {c: round((x - resolution * k[node] * volume[c] / total) / unit, 9) for c, x in links.items()}
+            best = min(worth, key=lambda c: (-worth[c], c != own, c))  # noqa: B023
+            volume[best] += k[node]
+            if best != own:
+                label[node], moved = best, True
+    return {node: label[node] for node, c in before.items() if label[node] != c}
+
+
+def _lists(rows: pa.Table) -> dict:
+    out: dict = {}
+    for node, other, w in zip(*(rows[c].to_pylist() for c in ("node", "other", "w"))):
+        out.setdefault(node, []).append((other, w))
+    return out
+
+
+def _moved_in_turn(edges: DataFrame, offers: DataFrame, total: float, unit: float, resolution: float) -> DataFrame | None:
+    """(node, k, label) after the nodes of ``offers`` that gain, and those within three edges of them, have moved in turn; none if these nodes have more edges than the driver may hold."""
+    spark, kind, found = offers.sparkSession, offers.schema["node"].dataType.simpleString(), None
+    table = lambda values, *names: F.broadcast(spark.createDataFrame(pa.table(dict(zip(names, values)))).select(*(F.col(c).cast(kind) for c in names)))
+    near = set(offers.where(F.col("to").isNotNull()).select("node").limit(_HELD).toArrow()["node"].to_pylist())
+    for _ in range(4):
+        rows = edges.join(table([list(near)], "node"), "node").select("node", "other", "w").limit(_HELD + 1).toArrow()
+        if len(rows) > _HELD:
+            break
+        found = rows
+        near.update(rows["other"].to_pylist())
+    if found is None:
+        return None
+    held = offers.join(table([list(near)], "node"), "node").select("node", "k", "label").toArrow().to_pydict()
+    label, k = dict(zip(held["node"], held["label"])), dict(zip(held["node"], held["k"]))
+    sizes = offers.groupBy("label").agg(F.sum("k").alias("volume")).join(table([list({*held["label"]})], "label"), "label").toArrow().to_pydict()
+    made = _in_turn(_lists(found), k, label, dict(zip(sizes["label"], sizes["volume"])), total, unit, resolution)
+    return offers.join(table([list(made), list(made.values())], "node", "made"), "node", "left").select("node", "k", F.coalesce("made", "label").alias("label"))
+
+
+def _settled(edges: DataFrame, start: DataFrame, total: float, unit: float, resolution: float, draws: Iterator[int], rounds: int | None, rough: bool) -> tuple[DataFrame, bool]:
+    """(node, k, label) after rounds of moves until no node gains by one, and whether any did; ``rough``: until a twentieth of the nodes at most do."""
+    edges, state, nodes, turn = edges.where("node <> other"), start, start.count(), 0
+    while rounds is None or turn < rounds:
+        seen = Observation()
+        offers = stored(_offers(edges, state, total, unit, resolution, next(draws)).observe(seen, F.count("to").alias("movers")), "step")
+        movers = seen.get["movers"]
+        if not movers or (rough and turn and 20 * movers <= nodes):
+            forget(offers)
+            break
+        after = _moved_in_turn(edges, offers, total, unit, resolution) if rounds is None and movers <= _HELD // 256 else None
+        following = stored(_taken(edges, offers, total, unit, resolution) if after is None else after, "step")
+        forget(offers, *([state] if turn else []))
+        state, turn = following, turn + 1
+    return state, turn > 0
+
+
+def _climbed_in_turn(edges: dict, total: float, unit: float, resolution: float, levels: int | None) -> dict:
+    """The changed labels of the nodes of a small graph after all levels above it."""
+    of, level = {node: node for node in edges}, 0
+    while levels is None or level < levels:
+        k = {node: sum(w for _, w in near) for node, near in edges.items()}
+        made = _in_turn(edges, k, {node: node for node in edges}, dict(k), total, unit, resolution)
+        if not made:
+            break
+        least: dict = {}
+        for node in sorted(edges):
+            least.setdefault(made.get(node, node), node)
+        to = {node: least[made.get(node, node)] for node in edges}
+        sums: dict = {}
+        for node, near in edges.items():
+            at = sums.setdefault(to[node], {})
+            for other, w in near:
+                at[to[other]] = at.get(to[other], 0.0) + w
+        of, edges, level = {node: to[c] for node, c in of.items()}, {node: list(near.items()) for node, near in sums.items()}, level + 1
+    return {node: c for node, c in of.items() if node != c}
+
+
+def _climbed(edges: DataFrame, state: DataFrame, total: float, unit: float, resolution: float, draws: Iterator[int], rounds: int | None, levels: int | None) -> tuple[DataFrame, bool]:
+    """(node, label) after communities have moved as nodes of a smaller graph, level by level until none does, and whether any did."""
+    member, level = _named(state), 0
+    small = _aggregated(edges, member)
+    while levels is None or level < levels:
+        rows = small.limit(_HELD + 1).toArrow() if rounds is None else None
+        if rows is not None and len(rows) <= _HELD:
+            made = _climbed_in_turn(_lists(rows), total, unit, resolution, None if levels is None else levels - level)
+            if made:
+                kind = member.schema["label"].dataType.simpleString()
+                to = member.sparkSession.createDataFrame(list(made.items()), f"label {kind}, to {kind}")
+                member, level = stored(member.join(F.broadcast(to), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "step"), level + 1
             break
-        state = _named(state)
-        member, edges = _carried(member, state), _aggregated(edges, state)
-    return member
+        start = stored(small.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")), "step")
+        state, moved = _settled(small, start, total, unit, resolution, draws, rounds, True)
+        if not moved:
+            break
+        state, below = _named(state), small
+        member, small, level = _carried(member, state), _aggregated(small, state), level + 1
+        forget(below)
+    return member, level > 0
+
+
+def louvain(graph: DataFrame, resolution: float = 1.0, levels: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(node, label) by Louvain with parallel moves, until neither a node nor a community gains by a move to a neighbouring community.
+
+    Nodes move; then communities become nodes of a smaller graph and it starts again, until none of them moves. On the way
+    up a level is left once few of its nodes would move, as these settle at the end: nodes move once more, from the communities
+    found, until none gains, and if communities gain then, all is repeated. No move lowers modularity (see :func:`_taken`).
+    Moves are distributed; the last few of a table's nodes, and graphs of communities that have become small, are
+    moved in turn on the driver, which holds ``_HELD`` edges at most.
+    ``levels`` and ``rounds`` bound the levels and the rounds of each for who wants less than that; there is one way up then,
+    and if rounds are bounded, no move is made in turn.
+    A community is named after its least node.
+    """
+    with freeing_shuffles(graph.sparkSession):
+        edges = stored(_both_ways(graph), "edges")
+        total, rows = edges.agg(F.sum("w"), F.count("w")).first()  # 2m
+        alone = stored(edges.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")), "nodes")
+        if not total:
+            return alone.select("node", "label")
+        rules, once, draws = (total, total / rows, resolution), levels is not None or rounds is not None, count()
+        start, first = alone, True
+        while True:
+            state, _ = _settled(edges, start, *rules, draws, rounds, first)
+            member, climbed = _climbed(edges, state, *rules, draws, rounds, None if levels is None else levels - 1)
+            if once or not (first or climbed):
+                return member
+            start, first = stored(alone.select("node", "k").join(member, "node"), "step"), False
 
 
 def _refined(edges: DataFrame, state: DataFrame, total: float, resolution: float, rounds: int, level: int) -> DataFrame:
