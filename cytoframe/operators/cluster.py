@@ -5,6 +5,7 @@ Graphs are edge lists (i, j, w) with i < j. Labels are (node or cell_id, label).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import count
 
@@ -268,8 +269,10 @@ def _in_turn(edges: dict, k: dict, label: dict, volume: dict, total: float, unit
     """The changed labels of the nodes of ``edges`` (node: [(other, w)]) once they have moved one after another until none of them gains; other nodes stay."""
     before, moved = {node: label[node] for node in edges}, True
     while moved:
-        moved = False
-        for node in sorted(edges):
+        moved, todo, waiting = False, deque(sorted(edges)), set(edges)  # all once more, as volumes have changed
+        while todo:
+            node = todo.popleft()
+            waiting.discard(node)
             own, links = label[node], {label[node]: 0.0}
             for other, w in edges[node]:
                 if other != node:
@@ -280,6 +283,9 @@ def _in_turn(edges: dict, k: dict, label: dict, volume: dict, total: float, unit
             volume[best] += k[node]
             if best != own:
                 label[node], moved = best, True
+                near = [other for other, _ in edges[node] if other in edges and other not in waiting]
+                todo.extend(near)
+                waiting.update(near)
     return {node: label[node] for node, c in before.items() if label[node] != c}
 
 
@@ -287,7 +293,7 @@ def _lists(rows: pa.Table) -> dict:
     out: dict = {}
     for node, other, w in zip(*(rows[c].to_pylist() for c in ("node", "other", "w"))):
         out.setdefault(node, []).append((other, w))
-    return out
+    return {node: sorted(near) for node, near in out.items()}
 
 
 def _moved_in_turn(edges: DataFrame, offers: DataFrame, total: float, unit: float, resolution: float) -> DataFrame | None:
@@ -344,7 +350,7 @@ def _climbed_in_turn(edges: dict, total: float, unit: float, resolution: float,
             at = sums.setdefault(to[node], {})
             for other, w in near:
                 at[to[other]] = at.get(to[other], 0.0) + w
-        of, edges, level = {node: to[c] for node, c in of.items()}, {node: list(near.items()) for node, near in sums.items()}, level + 1
+        of, edges, level = {node: to[c] for node, c in of.items()}, {node: sorted(near.items()) for node, near in sums.items()}, level + 1
     return {node: c for node, c in of.items() if node != c}
 
 
